@@ -7,6 +7,7 @@ spelled out instead of relying on the engine's ASCII shorthands.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ BLANKS = "".join(
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -52,13 +58,18 @@ def overlap_share(a: Column, b: Column) -> Column:
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
     """True if the lower-cased text holds any of the phrases; NULL text gives false."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: _any_in(low, phrases))
+
+
+def _any_in(low: Column, phrases: list[str]) -> Column:
     return reduce(lambda x, y: x | y, [F.contains(low, F.lit(p)) for p in phrases])
 
 
 def has_floor(text: Column, phrases=V.FLOOR_PHRASES, negations=V.FLOOR_NEGATIONS) -> Column:
     """A price floor is granted: some floor phrase and no negated one."""
-    return contains_any(text, phrases) & ~contains_any(text, negations)
+    return let(
+        F.lower(F.coalesce(text, F.lit(""))), lambda low: _any_in(low, phrases) & ~_any_in(low, negations)
+    )
 
 
 def has_floor_simple(text: Column) -> Column:
@@ -76,7 +87,10 @@ _HEADINGS = [p.replace("{WS}", BLANK) for p in V.HEADING_PATTERNS]
 
 def detect_clause(text: Column) -> Column:
     """Clause number and title of a heading, as a struct; NULL if the first line is no heading."""
-    line = strip(F.element_at(F.split(text, "\n"), 1))
+    return let(strip(F.element_at(F.split(text, "\n"), 1)), _heading)
+
+
+def _heading(line: Column) -> Column:
     found = None
     for pattern in _HEADINGS:
         whole = F.regexp_extract(line, pattern, 0)
@@ -106,6 +120,10 @@ def _in_category(low: Column, rule: dict[str, list[str]]) -> Column:
     return primary | (hits >= V.SECONDARY_HITS_NEEDED)
 
 
+def _categories(low: Column, taxonomy: dict) -> list[Column]:
+    return [F.when(_in_category(low, rule), F.lit(cat)) for cat, rule in taxonomy.items()]
+
+
 def _fold(text: Column) -> Column:
     # Lower case, and the long s counts as an s in case-insensitive matching.
     return F.translate(F.lower(text), "ſ", "s")
@@ -113,16 +131,12 @@ def _fold(text: Column) -> Column:
 
 def tag_chunk(text: Column, taxonomy: dict = V.RISK_TAXONOMY) -> Column:
     """First risk category, in priority order, whose terms the text mentions; NULL if none."""
-    low = _fold(text)
-    return F.coalesce(*[F.when(_in_category(low, rule), F.lit(cat)) for cat, rule in taxonomy.items()])
+    return let(_fold(text), lambda low: F.coalesce(*_categories(low, taxonomy)))
 
 
 def tag_all(text: Column, taxonomy: dict = V.RISK_TAXONOMY) -> Column:
     """All matching risk categories in priority order."""
-    low = _fold(text)
-    return F.array_compact(
-        F.array(*[F.when(_in_category(low, rule), F.lit(cat)) for cat, rule in taxonomy.items()])
-    )
+    return let(_fold(text), lambda low: F.array_compact(F.array(*_categories(low, taxonomy))))
 
 
 def register_tag_text(spark) -> None:
@@ -139,7 +153,7 @@ def register_tag_text(spark) -> None:
         branches.append(f"WHEN {primary} OR ({hits}) >= {V.SECONDARY_HITS_NEEDED} THEN '{cat}'")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION tag_text(body STRING) RETURNS STRING RETURN "
-        f"(SELECT CASE {' '.join(branches)} END FROM (SELECT translate(lower(body), 'ſ', 's') AS low))"
+        f"transform(array(translate(lower(body), 'ſ', 's')), low -> CASE {' '.join(branches)} END)[0]"
     )
 
 

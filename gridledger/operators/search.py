@@ -138,11 +138,11 @@ def scan_topk(queries: DataFrame, corpus: DataFrame, *, k: int, scorer: Scorer,
     else:
         n_query = -(-asked.count() // (max_query_block // 2))
         n_corpus = max(1, -(-source.count() // corpus_block_rows))
-        left = asked.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(n_query))).withColumn(
+        left = asked.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(n_query).cast("bigint"))).withColumn(
             "_cb", F.explode(F.sequence(F.lit(0), F.lit(n_corpus - 1)))
         )
         right = source.withColumn("_cb", F.pmod(F.xxhash64(row_key), F.lit(n_corpus)).cast("int")).withColumn(
-            "_qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).cast("bigint")
+            "_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_query - 1).cast("bigint")))
         )
 
         def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:

@@ -468,21 +468,21 @@ def _(spark, sf):
 
 @add("calc_exposure", """
 SELECT delivery_date, market,
-       round_even(negative_hours * (365 / 90.0::DOUBLE) * 10 * abs(avg_negative_price_eur), 0) AS exposure_eur
+       round_even(negative_hours * (365 / 90.0::DOUBLE) * 10 * abs(round(avg_negative_price_eur, 6)), 0) AS exposure_eur
 FROM daily""")
 def _(spark, sf):
     daily = gold.portfolio_exposure_daily(D.signals(spark, sf))
-    avg = F.col("avg_negative_price_eur")
+    avg = F.round("avg_negative_price_eur", 6)
     return daily.select("delivery_date", "market", M.calc_exposure(F.col("negative_hours"), avg).alias("exposure_eur"))
 
 
 @add("curtailment_exposure", """
 SELECT delivery_date, market,
        round_even(CAST(trunc(negative_hours * 0.3::DOUBLE) AS INT) * (365 / 90.0::DOUBLE) * 10
-                  * (abs(avg_negative_price_eur) * 0.5), 0) AS exposure_eur FROM daily""")
+                  * (abs(round(avg_negative_price_eur, 6)) * 0.5), 0) AS exposure_eur FROM daily""")
 def _(spark, sf):
     daily = gold.portfolio_exposure_daily(D.signals(spark, sf))
-    avg = F.col("avg_negative_price_eur")
+    avg = F.round("avg_negative_price_eur", 6)
     return daily.select(
         "delivery_date", "market", M.curtailment_exposure(F.col("negative_hours"), avg).alias("exposure_eur")
     )
@@ -608,11 +608,11 @@ SELECT market, delivery_ts, price_eur_mwh,
        round(avg(price_eur_mwh) OVER b, 9) AS rolling_90d_mean,
        CASE WHEN count(*) OVER b > 1 THEN round(stddev_samp(price_eur_mwh) OVER b, 9) END AS rolling_90d_std
 FROM prices
-WINDOW a AS (PARTITION BY market ORDER BY epoch(delivery_ts) RANGE 863999 PRECEDING),
-       b AS (PARTITION BY market ORDER BY epoch(delivery_ts) RANGE 1727999 PRECEDING)""")
+WINDOW a AS (PARTITION BY market ORDER BY epoch(delivery_ts) RANGE 345599 PRECEDING),
+       b AS (PARTITION BY market ORDER BY epoch(delivery_ts) RANGE 863999 PRECEDING)""")
 def _(spark, sf):
-    # A month of data: frames of 10 and 20 days, so that they start to move.
-    return rounded(rolling.feat_rolling_30_90(D.prices(spark, sf), short_days=10, long_days=20), 9)
+    # A month of data: frames of 4 and 10 days, so that they start to move.
+    return rounded(rolling.feat_rolling_30_90(D.prices(spark, sf), short_days=4, long_days=10), 9)
 
 
 @add("feat_percentile_90d", """

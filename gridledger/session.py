@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", *, app: str = "gridledger", memory: str = "12g") -> SparkSession:
@@ -14,6 +14,7 @@ def local_session(cpus: int | str = "*", *, app: str = "gridledger", memory: str
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -36,3 +37,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="gridledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, for results that several branches of a plan read.
+
+    Runs a job.  The files are in the shared folder, so losing executors does
+    not lose them.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(base or scratch_path(spark, "checkpoints").rsplit("/", 1)[0])
+    return df.checkpoint()
