@@ -17,11 +17,11 @@ _BINARY = "path string, modificationTime timestamp, length bigint, content binar
 
 
 def read_documents(spark: SparkSession, path: str, *, stream: bool = False, glob: str = "*.pdf",
-                   keep: list[str] | None = None, content: bool = False) -> DataFrame:
+                   keep: list[str] | DataFrame | None = None, content: bool = False) -> DataFrame:
     """Document files as (path, last_modified, file_size_bytes, contract_id, ingestion_ts).
 
     File contents are read only with ``content``.  ``keep`` restricts to the named
-    contract ids.
+    contract ids; a long list comes as a frame with a contract_id column.
     """
     reader = (spark.readStream.schema(_BINARY) if stream else spark.read).format("binaryFile")
     files = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
@@ -34,6 +34,8 @@ def read_documents(spark: SparkSession, path: str, *, stream: bool = False, glob
         F.current_timestamp().alias("ingestion_ts"),
         *(["content"] if content else []),
     )
+    if isinstance(keep, DataFrame):
+        return out.join(keep.select("contract_id"), "contract_id", "left_semi")
     return out.filter(F.col("contract_id").isin(keep)) if keep else out
 
 
