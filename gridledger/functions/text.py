@@ -87,7 +87,14 @@ _HEADINGS = [p.replace("{WS}", BLANK) for p in V.HEADING_PATTERNS]
 
 def detect_clause(text: Column) -> Column:
     """Clause number and title of a heading, as a struct; NULL if the first line is no heading."""
-    return let(strip(F.element_at(F.split(text, "\n"), 1)), _heading)
+    return let(strip(F.element_at(F.split(text, "\n"), 1)), lambda line: F.when(_may_open(line), _heading(line)))
+
+
+def _may_open(line: Column) -> Column:
+    # Headings start with one of A, S, a bracket or a digit; most lines are
+    # settled by their first character.  Letters beyond ASCII go on to the patterns.
+    first = F.ascii(line)
+    return first.isin(*[ord(c) for c in "(AaSs"]) | first.between(ord("0"), ord("9")) | (first > 127)
 
 
 def _heading(line: Column) -> Column:
@@ -108,35 +115,59 @@ def _heading(line: Column) -> Column:
 # --- risk tags ---------------------------------------------------------------
 
 
-def _mentions(low: Column, term: str) -> Column:
-    # The plain substring test is far cheaper and decides almost every row.
-    exact = rf"(?<!{WORD})\Q{term}\E(?!{WORD})"
-    return F.contains(low, F.lit(term)) & F.rlike(low, F.lit(exact))
+def _first_word(term: str) -> str:
+    return re.match(r"\w+", term).group()
+
+
+def _vocabulary(taxonomy: dict) -> list[str]:
+    terms = [t.lower() for rule in taxonomy.values() for weight in ("primary", "secondary") for t in rule[weight]]
+    return sorted({_first_word(t) for t in terms})
+
 
+def _mentions(seen: Column, term: str) -> Column:
+    """Whether the term stands in the text as whole words.
 
-def _in_category(low: Column, rule: dict[str, list[str]]) -> Column:
-    primary = reduce(lambda x, y: x | y, [_mentions(low, t.lower()) for t in rule["primary"]])
-    hits = reduce(lambda x, y: x + y, [_mentions(low, t.lower()).cast("int") for t in rule["secondary"]])
+    ``seen`` holds the lower-cased text and those of its words some term begins
+    with.  Terms begin and end with a word character, so a term whose first word
+    is missing is settled by that, and so is a term of one word.
+    """
+    known = F.array_contains(seen["words"], _first_word(term))
+    if _first_word(term) == term:
+        return known
+    exact = rf"\Q{term}\E(?<!{WORD}\Q{term}\E)(?!{WORD})"
+    return known & F.contains(seen["low"], F.lit(term)) & F.rlike(seen["low"], F.lit(exact))
+
+
+def _in_category(seen: Column, rule: dict[str, list[str]]) -> Column:
+    primary = reduce(lambda x, y: x | y, [_mentions(seen, t.lower()) for t in rule["primary"]])
+    hits = reduce(lambda x, y: x + y, [_mentions(seen, t.lower()).cast("int") for t in rule["secondary"]])
     return primary | (hits >= V.SECONDARY_HITS_NEEDED)
 
 
-def _categories(low: Column, taxonomy: dict) -> list[Column]:
-    return [F.when(_in_category(low, rule), F.lit(cat)) for cat, rule in taxonomy.items()]
+def _categories(seen: Column, taxonomy: dict) -> list[Column]:
+    return [F.when(_in_category(seen, rule), F.lit(cat)) for cat, rule in taxonomy.items()]
 
 
-def _fold(text: Column) -> Column:
+def _with_terms(text: Column, taxonomy: dict, body: Callable[[Column], Column]) -> Column:
     # Lower case, and the long s counts as an s in case-insensitive matching.
-    return F.translate(F.lower(text), "ſ", "s")
+    low = F.translate(F.lower(text), "ſ", "s")
+
+    def seen(t: Column) -> Column:
+        all_words = F.regexp_extract_all(t, F.lit(f"({WORD}+)"), F.lit(1))
+        known = F.array(*[F.lit(w) for w in _vocabulary(taxonomy)])
+        return F.struct(t.alias("low"), F.array_intersect(all_words, known).alias("words"))
+
+    return let(let(low, seen), body)
 
 
 def tag_chunk(text: Column, taxonomy: dict = V.RISK_TAXONOMY) -> Column:
     """First risk category, in priority order, whose terms the text mentions; NULL if none."""
-    return let(_fold(text), lambda low: F.coalesce(*_categories(low, taxonomy)))
+    return _with_terms(text, taxonomy, lambda seen: F.coalesce(*_categories(seen, taxonomy)))
 
 
 def tag_all(text: Column, taxonomy: dict = V.RISK_TAXONOMY) -> Column:
     """All matching risk categories in priority order."""
-    return let(_fold(text), lambda low: F.array_compact(F.array(*_categories(low, taxonomy))))
+    return _with_terms(text, taxonomy, lambda seen: F.array_compact(F.array(*_categories(seen, taxonomy))))
 
 
 def register_tag_text(spark) -> None:

@@ -52,7 +52,11 @@ def split_sections(docs: DataFrame, *, doc: str = "contract_id", blocks: str = "
         "_starts",
         F.array_compact(F.transform("_heads", lambda h, i: F.when((i == 0) | h.isNotNull(), i))),
     )
-    placed = opened.select(doc, "_blocks", "_heads", "_starts", F.posexplode("_starts").alias("_ord", "_from"))
+    # The outer form: for the inner one the optimizer adds a test of the array
+    # below, which would detect all headings once more.
+    placed = opened.select(
+        doc, "_blocks", "_heads", "_starts", F.posexplode_outer("_starts").alias("_ord", "_from")
+    ).filter(F.col("_from").isNotNull())
     until = F.coalesce(F.get("_starts", F.col("_ord") + 1), F.size("_blocks"))
     head = F.get("_heads", F.col("_from"))
     body = F.slice("_blocks", F.col("_from") + 1, until - F.col("_from"))
@@ -105,7 +109,7 @@ def chunk_words(sections: DataFrame, *, doc: str = "contract_id", size: int = V.
                 overlap: int = V.WORDS_OVERLAP, legacy_ids: bool = False) -> DataFrame:
     """Sections to windows of ``size`` words that share ``overlap`` words with the one before."""
     step = size - overlap
-    worded = sections.withColumn("_words", X.words(F.col("section_text"))).filter(F.size("_words") > 0)
+    worded = sections.withColumn("_words", X.words(F.col("section_text")))
     last = F.greatest(F.lit(1), F.size("_words") - overlap) - 1
     placed = worded.withColumn("_pos", F.explode(F.sequence(F.lit(0), last, F.lit(step))))
     window = F.slice("_words", F.col("_pos") + 1, F.lit(size))
@@ -122,7 +126,7 @@ def chunk_words(sections: DataFrame, *, doc: str = "contract_id", size: int = V.
         F.size(window).alias("token_count"),
         F.lit(None).cast("string").alias("risk_category"),
         (F.col("_pos") * V.CHARS_PER_WORD).alias("char_start"),
-    )
+    ).filter(F.col("token_count") > 0)
 
 
 def tag_batch(chunks: DataFrame, *, text: str = "chunk_text", out: str = "risk_category",

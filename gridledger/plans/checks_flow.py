@@ -22,7 +22,10 @@ from .reference_sql import hourly, tag_case, with_tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-STAMP = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+
+def stamp():
+    """The ingestion time of all made feeds."""
+    return F.to_timestamp(F.lit("2024-02-01 00:00:00"))
 
 
 def add(name: str, sql: str | None = None):
@@ -47,14 +50,14 @@ def price_envelopes(spark, sf) -> DataFrame:
     ).withColumn("_m", F.col("market"))
     feed = rows.select("delivery_ts", "hour", "price_eur_mwh", "is_negative", F.col("_m").alias("market"), "delivery_date")
     out = E.daily_envelopes(feed.withColumn("feed", F.col("market")), order_by=["delivery_ts"], keys=["feed"],
-                            constants={"source_api": F.lit("day-ahead")}, ingestion_ts=STAMP)
+                            constants={"source_api": F.lit("day-ahead")}, ingestion_ts=stamp())
     return out.withColumnRenamed("feed", "market").select(*[f.name for f in S.PRICE_ENVELOPE])
 
 
 def generation_envelopes(spark, sf) -> DataFrame:
     iso = F.date_format("delivery_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     rows = D.generation(spark, sf).withColumn("delivery_ts", iso)
-    return E.daily_envelopes(rows, order_by=["delivery_ts"], ingestion_ts=STAMP, constants={
+    return E.daily_envelopes(rows, order_by=["delivery_ts"], ingestion_ts=stamp(), constants={
         "source_api": F.lit("generation"), "country": F.lit("NL"),
     }).select(*[f.name for f in S.GENERATION_ENVELOPE])
 
@@ -66,7 +69,7 @@ def congestion_envelopes(spark, sf) -> DataFrame:
         "day": F.to_date("start_time"), "start_time": F.date_format("start_time", iso),
         "end_time": F.date_format("end_time", iso),
     })
-    return E.daily_envelopes(rows, date_col="day", order_by=["event_id"], parts=16, ingestion_ts=STAMP, constants={
+    return E.daily_envelopes(rows, date_col="day", order_by=["event_id"], parts=16, ingestion_ts=stamp(), constants={
         "source": F.lit("congestion"),
     }).select(*[f.name for f in S.CONGESTION_ENVELOPE])
 
@@ -342,7 +345,7 @@ def _(spark, sf):
     key = F.concat(F.lit("contract."), F.col("contract_id")).alias("config_key")
     book = D.contracts(spark, sf)
     draft = book.select(key, F.lit("unset").alias("config_value"), F.to_timestamp(F.lit("2024-01-01")).alias("updated_ts"))
-    final = book.select(key, F.col("strike_price_eur").cast("string").alias("config_value"), STAMP.alias("updated_ts"))
+    final = book.select(key, F.col("strike_price_eur").cast("string").alias("config_value"), stamp().alias("updated_ts"))
     snapshots.upsert(spark, path, draft, key=["config_key"])
     snapshots.upsert(spark, path, final, key=["config_key"])
     return snapshots.read_snapshot(spark, path)
@@ -365,7 +368,7 @@ def _(spark, sf):
     files.feedback_append(files.feedback_table(spark), path)
     rows = D.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("text").alias("query"), F.lit(None).alias("response_summary"),
-        (F.col("turn") % 2 == 0).alias("thumbs_up"), F.col("role").alias("comment"), STAMP.alias("created_at"),
+        (F.col("turn") % 2 == 0).alias("thumbs_up"), F.col("role").alias("comment"), stamp().alias("created_at"),
     )
     files.feedback_append(rows, path)
     return spark.read.schema(S.FEEDBACK).parquet(path)

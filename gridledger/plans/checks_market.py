@@ -17,12 +17,15 @@ from .reference_sql import hourly, with_tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-AS_OF = F.to_timestamp(F.lit(D.AS_OF))
 # The given prices never leave the published range, so the checks use a tighter one.
 TIGHT = dict(V.PRICE_RULES, valid_price_range="price_eur_mwh BETWEEN -100 AND 500")
 TIGHT_SQL = "price_eur_mwh BETWEEN -100 AND 500"
 
 
+def as_of():
+    return F.to_timestamp(F.lit(D.AS_OF))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, so that the order of additions leaves no trace."""
     return df.select(*[
@@ -101,7 +104,7 @@ def _(spark, sf):
 
 @add("lookback_filter", f"SELECT * FROM congestion WHERE start_time >= TIMESTAMP '{D.AS_OF}' - INTERVAL 48 HOUR")
 def _(spark, sf):
-    return C.lookback_filter(D.congestion(spark, sf), as_of=AS_OF)
+    return C.lookback_filter(D.congestion(spark, sf), as_of=as_of())
 
 
 @add("normalise_columns", """
@@ -161,7 +164,7 @@ FROM contracts c JOIN congestion e ON {_ACTIVE} AND {_MATCH}""")
 def _(spark, sf):
     return C.congestion_point_join(
         D.contracts(spark, sf).select("contract_id", "delivery_point"),
-        D.congestion(spark, sf).select("event_id", "dso_zone", "start_time", "end_time", "mw_needed"), as_of=AS_OF,
+        D.congestion(spark, sf).select("event_id", "dso_zone", "start_time", "end_time", "mw_needed"), as_of=as_of(),
     ).drop("start_time", "end_time")
 
 
@@ -176,14 +179,14 @@ FROM contracts c LEFT JOIN congestion e ON {_ACTIVE} AND {_MATCH} GROUP BY c.con
 @add("congestion_level", _LEVEL_SQL)
 def _(spark, sf):
     points = D.contracts(spark, sf).select("contract_id", "delivery_point")
-    return C.congestion_level(points, D.congestion(spark, sf), as_of=AS_OF)
+    return C.congestion_level(points, D.congestion(spark, sf), as_of=as_of())
 
 
 @add("get_gopacs_congestion", _LEVEL_SQL)
 def _(spark, sf):
     # The same as a SQL view, the way a SQL user asks for it.
     points = D.contracts(spark, sf).select("contract_id", "delivery_point")
-    C.congestion_level(points, D.congestion(spark, sf), as_of=AS_OF).createOrReplaceTempView("gopacs_congestion")
+    C.congestion_level(points, D.congestion(spark, sf), as_of=as_of()).createOrReplaceTempView("gopacs_congestion")
     return spark.sql("SELECT contract_id, delivery_point, congested, active_events, max_mw, risk_level FROM gopacs_congestion")
 
 

@@ -50,3 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
         base = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(base or scratch_path(spark, "checkpoints").rsplit("/", 1)[0])
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores if its files make fewer tasks than there are cores, else unchanged.
+
+    A small table in one file would keep one core busy with work that is heavy
+    per row.  A table with fewer splits than cores is small next to the
+    cluster, so its one extra shuffle is, too; large tables are not touched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
