@@ -24,22 +24,27 @@ def category_distribution(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Totals per contract, per category, untagged and overall in one pass over the chunks."""
-    counts = chunks.groupingSets(
+    """Totals per contract, per category, untagged and overall.
+
+    The chunks are read once, into counts per contract and category; subtotals
+    and the grand total come from those.
+    """
+    base = chunks.groupBy("contract_id", "risk_category").agg(F.count(F.lit(1)).alias("_n"))
+    counts = base.groupingSets(
         [[F.col("contract_id")], [F.col("risk_category")], []], F.col("contract_id"), F.col("risk_category")
-    ).agg(F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("n_chunks"))
+    ).agg(F.grouping_id().alias("_level"), F.sum("_n").alias("n_chunks"))
     level = (
         F.when(F.col("_level") == 3, F.lit("total"))
         .when(F.col("_level") == 1, F.lit("contract"))
         .when(F.col("risk_category").isNull(), F.lit("untagged"))
         .otherwise(F.lit("category"))
     )
-    total = chunks.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.join(F.broadcast(total)).select(
+    total = base.agg(F.sum("_n")).scalar()
+    return counts.select(
         level.alias("level"),
         F.coalesce("contract_id", "risk_category", F.lit("")).alias("name"),
         "n_chunks",
-        F.round(F.col("n_chunks") / F.col("_total") * 100, 1).alias("pct"),
+        F.round(F.col("n_chunks") / total * 100, 1).alias("pct"),
     )
 
 

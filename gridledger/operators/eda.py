@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,15 +37,15 @@ def describe_stats(prices: DataFrame, *, approximate: bool = False) -> DataFrame
     )
 
 
-def _with_range(df: DataFrame, value: str, low: str, high: str, pad: float = 0.0) -> DataFrame:
-    # A one-row aggregate joined back: its size is one row by construction.
-    span = df.agg((F.min(value) - pad).alias(low), (F.max(value) + pad).alias(high))
-    return df.join(F.broadcast(span))
+def _range(df: DataFrame, value: str) -> tuple[Column, Column]:
+    """Smallest and largest value as scalar subqueries: no join, no trip through the driver."""
+    return df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
 
 
 def price_histogram(prices: DataFrame, *, bins: int = 79, pad: float = 5.0) -> DataFrame:
     """Equal-width counts of negative and other prices; the top edge belongs to the last bin."""
-    ranged = _with_range(prices, "price_eur_mwh", "_lo", "_hi", pad)
+    low, high = _range(prices, "price_eur_mwh")
+    ranged = prices.select("price_eur_mwh", "is_negative", (low - pad).alias("_lo"), (high + pad).alias("_hi"))
     bucket = F.least(F.width_bucket("price_eur_mwh", "_lo", "_hi", F.lit(bins)), F.lit(bins))
     width = (F.col("_hi") - F.col("_lo")) / bins
     return ranged.groupBy(bucket.alias("bin"), "_lo", "_hi").agg(
@@ -58,7 +58,10 @@ def price_histogram(prices: DataFrame, *, bins: int = 79, pad: float = 5.0) -> D
 
 def renewable_bins(df: DataFrame, *, bins: int = 10, share: str = "renewable_pct") -> DataFrame:
     """Equal-width, right-closed bins of the renewable share with the negative-price rate of each."""
-    ranged = _with_range(df.filter(F.col(share).isNotNull()), share, "_lo", "_hi")
+    low, high = _range(df, share)
+    ranged = df.filter(F.col(share).isNotNull()).select(
+        share, "is_negative", low.alias("_lo"), high.alias("_hi")
+    )
     # Mirror the axis: width_bucket is left-closed, and -x turns that into right-closed.
     bucket = F.lit(bins + 1) - F.least(
         F.width_bucket(-F.col(share), -F.col("_hi"), -F.col("_lo"), F.lit(bins)), F.lit(bins)

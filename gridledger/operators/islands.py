@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 
 
+def _breaks(ts: str, previous: Column, gap_seconds: int) -> Column:
+    step = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(previous.cast("timestamp"))
+    return F.coalesce((step > gap_seconds * 1_000_000).cast("int"), F.lit(0))
+
+
 def gap_island(df: DataFrame, *, keys: list[str], ts: str, gap_seconds: int) -> DataFrame:
     """Add ``island``, the running number of the run a row belongs to within its key.
 
     A new run starts when the step from the row before is longer than
-    ``gap_seconds``.  Whole series are ordered here; to aggregate runs of long
-    series use :func:`sessions`, which does not need that.
+    ``gap_seconds``.  Rows are ordered within (key, day) only; what the days
+    before add comes from a table with one row per key and day.
     """
-    w = Window.partitionBy(*keys).orderBy(ts)
-    step = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
-    broke = F.coalesce((step > gap_seconds * 1_000_000).cast("int"), F.lit(0))
-    return df.withColumn("_broke", broke).withColumn(
-        "island", F.sum("_broke").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_broke")
+    day = [*keys, "_day"]
+    rows = df.withColumn("_day", F.to_date(ts))
+    within = Window.partitionBy(*day).orderBy(ts)
+    rows = rows.withColumn("_broke", _breaks(ts, F.lag(ts).over(within), gap_seconds)).withColumn(
+        "_inside", F.sum("_broke").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    days = rows.groupBy(*day).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_broke").alias("_n")
+    )
+    order = Window.partitionBy(*keys).orderBy("_day")
+    days = days.withColumn("_open", _breaks("_first", F.lag("_last").over(order), gap_seconds))
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("_open") + F.col("_n")).over(past), F.lit(0)) + F.col("_open")
+    return rows.join(days.select(*day, before.alias("_before")), day).select(
+        *df.columns, (F.col("_before") + F.col("_inside")).alias("island")
+    )
 
 
 def _join_runs(runs: DataFrame, keys: list[str], bucket: str | None, gap_seconds: int) -> DataFrame:
@@ -29,9 +44,7 @@ def _join_runs(runs: DataFrame, keys: list[str], bucket: str | None, gap_seconds
         runs = runs.withColumn("_bucket", F.date_trunc(bucket, "window_start"))
         part.append("_bucket")
     w = Window.partitionBy(*part).orderBy("window_start")
-    step = F.unix_micros("window_start") - F.unix_micros(F.lag("window_end").over(w))
-    broke = F.coalesce((step > gap_seconds * 1_000_000).cast("int"), F.lit(0))
-    marked = runs.withColumn("_broke", broke).withColumn(
+    marked = runs.withColumn("_broke", _breaks("window_start", F.lag("window_end").over(w), gap_seconds)).withColumn(
         "_run", F.sum("_broke").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
     return marked.groupBy(*part, "_run").agg(

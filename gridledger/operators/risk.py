@@ -13,12 +13,15 @@ from ..functions import text as X
 def clause_market_cross(clauses: DataFrame, stats: DataFrame, *, on: list[str] = ("market",)) -> DataFrame:
     """Clauses with the market state they are scored against.
 
-    With several markets this is an equality join on the market; ``on=[]`` joins
-    the one row of a single market's statistics.  A market without negative
-    hours has no row and counts as calm.
+    With several markets this is an equality join on the market; with ``on=[]``
+    the statistics are the one row of a single market and enter as a scalar.  A
+    market without negative hours has no row and counts as calm.
     """
-    state = stats.select(*on, "negative_hours_90d", "avg_negative_price", "has_congestion")
-    joined = clauses.join(state, list(on), "left") if on else clauses.join(F.broadcast(state.limit(1)), how="left")
+    facts = ["negative_hours_90d", "avg_negative_price", "has_congestion"]
+    if on:
+        joined = clauses.join(stats.select(*on, *facts), list(on), "left")
+    else:
+        joined = clauses.withColumn("_state", stats.select(F.struct(*facts)).scalar()).select("*", "_state.*").drop("_state")
     return joined.withColumns({
         "negative_hours_90d": F.coalesce("negative_hours_90d", F.lit(0).cast("bigint")),
         "avg_negative_price": F.coalesce("avg_negative_price", F.lit(0.0)),

@@ -25,20 +25,12 @@ def with_blocks(df: DataFrame, *, keys: list[str], ts: str, block_rows: int, hal
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("_n").over(before), F.lit(0))
     days = days.withColumn("_first", first).withColumn("_home", F.floor(F.col("_first") / block_rows))
-    # Rows of a later block k reach back halo_rows rows from that block's first
-    # row, which is the first row of the first day whose offset is >= k * block_rows.
-    # A day is needed there if its last row is less than halo_rows before it.
-    starts = days.groupBy(*keys, F.col("_home").alias("_block")).agg(F.min("_first").alias("_start"))
-    reach = F.floor((F.col("_first") + F.col("_n") + F.lit(halo_rows - 1)) / block_rows) + F.lit(1)
-    candidates = days.select(
-        *keys, "_day", "_first", "_n", "_home",
-        F.explode(F.sequence(F.col("_home"), reach)).alias("_block"),
-    )
-    needed = candidates.join(starts, [*keys, "_block"]).filter(
-        (F.col("_block") == F.col("_home"))
-        | (F.col("_first") + F.col("_n") + F.lit(halo_rows) > F.col("_start"))
-    )
-    placed = needed.select(*keys, "_day", "_block", (F.col("_block") == F.col("_home")).alias("_own"))
+    # Block k starts at row k * block_rows or a little later; a day is needed
+    # there if its last row is at most halo_rows before that.
+    reach = F.floor((F.col("_first") + F.col("_n") + F.lit(halo_rows - 1)) / block_rows)
+    placed = days.select(
+        *keys, "_day", "_home", F.explode(F.sequence("_home", F.greatest("_home", reach))).alias("_block")
+    ).select(*keys, "_day", "_block", (F.col("_block") == F.col("_home")).alias("_own"))
     return df.withColumn("_day", F.to_date(ts)).join(placed, [*keys, "_day"]).drop("_day")
 
 

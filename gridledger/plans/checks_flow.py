@@ -69,7 +69,7 @@ def congestion_envelopes(spark, sf) -> DataFrame:
         "day": F.to_date("start_time"), "start_time": F.date_format("start_time", iso),
         "end_time": F.date_format("end_time", iso),
     })
-    return E.daily_envelopes(rows, date_col="day", order_by=["event_id"], parts=16, ingestion_ts=stamp(), constants={
+    return E.daily_envelopes(rows, date_col="day", order_by=["event_id"], max_rows=500, ingestion_ts=stamp(), constants={
         "source": F.lit("congestion"),
     }).select(*[f.name for f in S.CONGESTION_ENVELOPE])
 
@@ -269,8 +269,9 @@ def _(spark, sf):
         "id", "question", F.array(F.lit("7.1"), F.lit("7.2")).alias("expected_clause_ids"),
         F.col("answer").alias("ground_truth"),
     )
-    # One pretty-printed JSON array per file and bucket of items.
-    arrays = pairs.groupBy(F.pmod(F.xxhash64("id"), F.lit(64)).alias("_b")).agg(F.collect_list(item).alias("_items"))
+    # One pretty-printed JSON array per file, about fifty items each.
+    buckets = 1 + pairs.count() // 50
+    arrays = pairs.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("_b")).agg(F.collect_list(item).alias("_items"))
     path = scratch_path(spark, "eval")
     text = F.to_json("_items", {"pretty": "true"})
     arrays.select(text.alias("value"), F.col("_b").alias("bucket")).repartition("bucket").write.partitionBy("bucket").text(path)

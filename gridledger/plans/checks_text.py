@@ -76,7 +76,7 @@ _CHUNKS_SQL = "SELECT * EXCLUDE (section_ord) FROM plain_chunks"
 
 @add("chunk_words", _CHUNKS_SQL)
 def _(spark, sf):
-    return sections.chunk_words(sections.split_sections(D.contract_documents(spark, sf))).drop("risk_category")
+    return D.untagged_chunks(spark, sf).drop("risk_category")
 
 
 @add("chunk_id", """
@@ -146,14 +146,14 @@ def _(spark, sf):
 
 @add("tag_chunk", "SELECT chunk_id, risk_category FROM chunks")
 def _(spark, sf):
-    rows = sections.chunk_words(sections.split_sections(D.contract_documents(spark, sf)))
+    rows = D.untagged_chunks(spark, sf)
     return rows.select("chunk_id", X.tag_chunk(F.col("chunk_text")).alias("risk_category"))
 
 
 @add("tag_text", "SELECT chunk_id, risk_category FROM chunks")
 def _(spark, sf):
     X.register_tag_text(spark)
-    rows = sections.chunk_words(sections.split_sections(D.contract_documents(spark, sf)))
+    rows = D.untagged_chunks(spark, sf)
     rows.createOrReplaceTempView("untagged_chunks")
     return spark.sql("SELECT chunk_id, tag_text(chunk_text) AS risk_category FROM untagged_chunks")
 
@@ -163,7 +163,7 @@ SELECT chunk_id, array_to_string(list_filter([{', '.join(
     f"CASE WHEN {in_category('lower(chunk_text)', r)} THEN '{c}' END" for c, r in V.RISK_TAXONOMY.items())}],
     lambda x: x IS NOT NULL), ',') AS categories FROM plain_chunks""")
 def _(spark, sf):
-    rows = sections.chunk_words(sections.split_sections(D.contract_documents(spark, sf)))
+    rows = D.untagged_chunks(spark, sf)
     return rows.select("chunk_id", F.array_join(X.tag_all(F.col("chunk_text")), ",").alias("categories"))
 
 
@@ -172,7 +172,7 @@ SELECT chunk_id, CASE WHEN page_number > 1 THEN 'later_page' ELSE {tag_case('low
 FROM plain_chunks""")
 def _(spark, sf):
     # Some chunks come with a category already; it stays.
-    rows = sections.chunk_words(sections.split_sections(D.contract_documents(spark, sf))).withColumn(
+    rows = D.untagged_chunks(spark, sf).withColumn(
         "risk_category", F.when(F.col("page_number") > 1, F.lit("later_page"))
     )
     return sections.tag_batch(rows).select("chunk_id", "risk_category")
@@ -189,18 +189,18 @@ def _(spark, sf):
 
 @add("has_floor", f"SELECT chunk_id, {has_floor('chunk_text')} AS has_floor FROM plain_chunks")
 def _(spark, sf):
-    return D.chunks(spark, sf).select("chunk_id", X.has_floor(F.col("chunk_text")).alias("has_floor"))
+    return D.untagged_chunks(spark, sf).select("chunk_id", X.has_floor(F.col("chunk_text")).alias("has_floor"))
 
 
 @add("has_floor_simple", f"SELECT chunk_id, {any_of('chunk_text', V.FLOOR_WORDS)} AS has_floor FROM plain_chunks")
 def _(spark, sf):
-    return D.chunks(spark, sf).select("chunk_id", X.has_floor_simple(F.col("chunk_text")).alias("has_floor"))
+    return D.untagged_chunks(spark, sf).select("chunk_id", X.has_floor_simple(F.col("chunk_text")).alias("has_floor"))
 
 
 @add("no_compensation", f"""
 SELECT chunk_id, {any_of('chunk_text', V.NO_COMPENSATION_PHRASES)} AS no_compensation FROM plain_chunks""")
 def _(spark, sf):
-    return D.chunks(spark, sf).select("chunk_id", X.no_compensation(F.col("chunk_text")).alias("no_compensation"))
+    return D.untagged_chunks(spark, sf).select("chunk_id", X.no_compensation(F.col("chunk_text")).alias("no_compensation"))
 
 
 # --- corpus statistics ---------------------------------------------------------------
@@ -208,7 +208,7 @@ def _(spark, sf):
 
 @add("corpus_counts", "SELECT count(DISTINCT contract_id) AS n_contracts, count(DISTINCT clause_id) AS n_clauses FROM plain_chunks")
 def _(spark, sf):
-    return corpus.corpus_counts(D.chunks(spark, sf))
+    return corpus.corpus_counts(D.untagged_chunks(spark, sf))
 
 
 @add("category_distribution", """
@@ -254,8 +254,8 @@ _HIT = "query_id, chunk_id, contract_id, clause_id, section_title, risk_category
 
 
 def _hits(spark, sf, k):
-    found = search.token_overlap_search(D.questions(spark, sf), D.chunks(spark, sf), k=k)
-    return rounded(found.drop("chunk_text"), 9)
+    found = search.token_overlap_search(D.questions(spark, sf), D.untagged_chunks(spark, sf), k=k)
+    return rounded(sections.tag_batch(found).drop("chunk_text"), 9)
 
 
 @add("token_overlap_search", f"SELECT {_HIT} FROM hits WHERE rank <= 10")
@@ -272,9 +272,9 @@ def _(spark, sf):
 def _(spark, sf):
     # The form for query tables too large for one batch: both sides in blocks, same result.
     found = search.token_overlap_search(
-        D.questions(spark, sf), D.chunks(spark, sf), k=5, max_query_block=16, corpus_block_rows=2_000
+        D.questions(spark, sf), D.untagged_chunks(spark, sf), k=5, max_query_block=16, corpus_block_rows=2_000
     )
-    return rounded(found.drop("chunk_text"), 9)
+    return rounded(sections.tag_batch(found).drop("chunk_text"), 9)
 
 
 @add("token_intersect", """
@@ -384,16 +384,21 @@ def _(spark, sf):
 
 
 def _vectors(spark, sf):
+    """One query per label, the mean vector of the label, and the table they search."""
     table = D.table(spark, sf, "embeddings")
-    return table.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"),
-                        F.col("label").alias("query_label")), table
+    means = table.select("label", F.posexplode("embedding").alias("_i", "_x")).groupBy("label", "_i").agg(
+        F.avg(F.col("_x").cast("double")).alias("_x")
+    )
+    vector = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda v: v["_x"])
+    return means.groupBy(F.col("label").alias("query_id")).agg(vector.alias("query_vector")), table
 
 
 _COSINE = """
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
-  SELECT a.vec_id AS query_id, a.label AS query_label, b.vec_id, b.label,
-         list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
-  FROM embeddings a, embeddings b {where})"""
+  SELECT q.query_id, b.vec_id, b.label, list_cosine_similarity(q.v, b.embedding::DOUBLE[]) AS score
+  FROM (SELECT label AS query_id, list(x ORDER BY i) AS v FROM (
+          SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
+                                             FROM embeddings) GROUP BY ALL) GROUP BY label) q, embeddings b {where})"""
 
 
 @add("vector_search", f"SELECT query_id, vec_id, label, round(score, 6) AS score, rank FROM ({_COSINE.format(where='')}) WHERE rank <= 10")
@@ -408,7 +413,7 @@ def _(spark, sf):
     # Only some categories, and the blocked form.
     asked, table = _vectors(spark, sf)
     return rounded(search.vector_search(
-        asked, table, k=5, filters=F.col("label") < 5, columns=["label"], max_query_block=256, corpus_block_rows=400
+        asked, table, k=5, filters=F.col("label") < 5, columns=["label"], max_query_block=6, corpus_block_rows=400
     ))
 
 
@@ -434,7 +439,7 @@ def _results(spark, sf):
     asked = D.questions(spark, sf)
     wanted = F.array(*[F.concat(F.lit("doc-"), (F.col("query_id") + i).cast("string")) for i in (0, 1)])
     expected = asked.select("query_id", F.col("market").alias("category"), wanted.alias("expected_ids"))
-    found = search.token_overlap_search(asked, D.chunks(spark, sf), k=V.RETRIEVE_TOP_K)
+    found = search.token_overlap_search(asked, D.untagged_chunks(spark, sf), k=V.RETRIEVE_TOP_K)
     return evaluation.eval_expected_join(expected, found.withColumnRenamed("contract_id", "item_id"))
 
 

@@ -52,7 +52,9 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 def hourly(rows: DataFrame, *, latest: bool = False) -> DataFrame:
     """Hourly price per market: the first (or latest) event value of the hour, scaled to EUR/MWh."""
     pick = F.max_by if latest else F.min_by
-    value = pick("value", F.struct("ts", "event_id"))
+    # Time and id as one number: with it the aggregate hashes; with a struct it would sort all events.
+    order = F.unix_micros("ts").cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("event_id")
+    value = pick("value", order)
     ts = F.date_trunc("hour", "ts")
     return rows.groupBy(F.col("event_type").alias("market"), ts.alias("delivery_ts")).agg(
         F.round(3 * value - 120, 2).alias("price_eur_mwh")
@@ -157,8 +159,12 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def untagged_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.chunk_words(sections.split_sections(contract_documents(spark, sf)))
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.chunk_documents(contract_documents(spark, sf))
+    return sections.tag_batch(untagged_chunks(spark, sf))
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,10 +177,14 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    """The 15 best chunks per question, with the question's text and market."""
+    """The 15 best chunks per question, with the question's text and market.
+
+    Without a filter on the category only the hits need one, so they are tagged
+    after the search.
+    """
     asked = questions(spark, sf)
-    found = search.token_overlap_search(asked, chunks(spark, sf), k=V.RETRIEVE_TOP_K)
-    return found.join(asked, "query_id")
+    found = search.token_overlap_search(asked, untagged_chunks(spark, sf), k=V.RETRIEVE_TOP_K)
+    return sections.tag_batch(found).join(asked, "query_id")
 
 
 def clauses(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,13 +36,18 @@ def load_schema(text: str) -> T.StructType:
 
 def daily_envelopes(df: DataFrame, *, date_col: str = "delivery_date", order_by: list[str],
                     keys: list[str] = (), constants: dict[str, Column] | None = None,
-                    ingestion_ts: Column | None = None, parts: int = 1) -> DataFrame:
+                    ingestion_ts: Column | None = None, max_rows: int | None = None) -> DataFrame:
     """Group rows by day (and ``keys``) into envelopes, rows in ``order_by`` order inside.
 
     Hourly feeds hold a few dozen rows per day and key.  For feeds without such
-    a bound, ``parts`` spreads a day over that many envelopes by a hash of the
-    order columns.
+    a bound give ``max_rows``: the largest day is counted first (one small job)
+    and every day is spread, by a hash of the order columns, over as many
+    envelopes as keep it to about that many rows each.
     """
+    parts = 1
+    if max_rows is not None:
+        largest = df.groupBy(date_col, *keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0]
+        parts = max(1, -(-(largest or 0) // max_rows))
     payload = [c for c in df.columns if c != date_col]
     rest = [c for c in payload if c not in order_by]
     item = F.struct(*order_by, *rest)
