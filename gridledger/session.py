@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", *, app: str = "gridledger", memory: str
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Call sites are looked up per column expression; long expressions feel it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
