@@ -43,8 +43,9 @@ def token_overlap_scorer(texts: list) -> Callable[[pd.Series], np.ndarray]:
         counts = np.zeros((len(batch), len(sets)))
         for row, text in enumerate(batch):
             if isinstance(text, str):
-                for token in vocabulary & set(text.lower().split()):
-                    counts[row, lists[token]] += 1.0
+                shared = [lists[t] for t in vocabulary & set(text.lower().split())]
+                if shared:
+                    counts[row] = np.bincount(np.concatenate(shared), minlength=len(sets))
         return counts / sizes
 
     return score
