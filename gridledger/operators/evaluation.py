@@ -103,15 +103,25 @@ def answer_length_breakdown(samples: DataFrame) -> DataFrame:
     )
 
 
-def question_answer_pairs(turns: DataFrame) -> DataFrame:
+def question_answer_pairs(turns: DataFrame, *, block_turns: int = 1024) -> DataFrame:
     """User turns with the assistant turn that follows, from a conversation table.
 
-    The window runs per conversation; the turn after is one row ahead in it.
+    The follower is the next row within a block of turns; the last row of a
+    block looks into a table with the first row of each block.  However long a
+    conversation is, no task holds more than a block of it.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return turns.select(
-        "conv_id", "turn", "role", "text",
-        F.lead("role").over(w).alias("_next_role"), F.lead("text").over(w).alias("answer"),
-    ).filter((F.col("role") == "user") & (F.col("_next_role") == "assistant")).select(
-        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"), "answer"
+    block = ["conv_id", "_block"]
+    rows = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / block_turns).alias("_block"))
+    within = Window.partitionBy(*block).orderBy("turn")
+    item = F.struct("role", "text")
+    rows = rows.withColumn("_next", F.lead(item).over(within))
+    firsts = rows.groupBy(*block).agg(F.min(F.struct("turn", "role", "text")).alias("_first"))
+    later = Window.partitionBy("conv_id").orderBy("_block")
+    firsts = firsts.select(
+        *block, F.lead(F.struct("_first.role", "_first.text")).over(later).alias("_after")
+    ).filter(F.col("_after").isNotNull())
+    joined = rows.join(firsts, block, "left").withColumn("_next", F.coalesce("_next", "_after"))
+    return joined.filter((F.col("role") == "user") & (F.col("_next.role") == "assistant")).select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"),
+        F.col("_next.text").alias("answer"),
     )

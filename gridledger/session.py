@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -30,15 +31,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
     Only where that setting is missing (a laptop, a test) a temporary folder of
-    this machine is taken and set for the rest of the session.
+    this machine is taken.
     """
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    if not base:
-        base = tempfile.mkdtemp(prefix="gridledger-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return (base or _own_folder()).rstrip("/")
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="gridledger-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,8 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or scratch_path(spark, "checkpoints").rsplit("/", 1)[0])
+        spark.sparkContext.setCheckpointDir(_shared_folder(spark))
     return df.checkpoint()
 
 

@@ -262,3 +262,12 @@ def test_chunk_stats_tell_untagged_from_totals(rows):
     got = {(r["level"], r["name"]): (r["n_chunks"], r["pct"]) for r in corpus.chunk_stats(df).collect()}
     assert got == {("total", ""): (3, 100.0), ("contract", "k1"): (2, 66.7), ("contract", "k2"): (1, 33.3),
                    ("category", "price_risk"): (1, 33.3), ("untagged", ""): (2, 66.7)}
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_answers_follow_their_questions(rows, block):
+    df = rows([(1, 0, "user", "q0"), (1, 1, "assistant", "a1"), (1, 3, "user", "q3"), (1, 9, "assistant", "a9"),
+               (1, 10, "user", "q10"), (2, 0, "assistant", "a0"), (2, 1, "user", "q1"), (2, 2, "user", "q2")],
+              "conv_id bigint, turn bigint, role string, text string")
+    got = sorted(tuple(r) for r in evaluation.question_answer_pairs(df, block_turns=block).collect())
+    assert got == [("1-0", "q0", "a1"), ("1-3", "q3", "a9")]
