@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, sharding, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,18 @@ def add(name: str, sql: str | None = None):
     return keep
 
 
+def tokenizer_file() -> str:
+    """The public tokenizer that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@add("op1_token_counts")
+def _(spark, sf):
+    return token_counts.token_counts(table(spark, sf, "documents"), tokenizer_file())
+
+
 @add("op4_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -37,6 +49,11 @@ def _(spark, sf):
     return sharding.place(table(spark, sf, "documents"))
 
 
+@add("op9_packing")
+def _(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), tokenizer_file())
+
+
 @add("op10_mixing")
 def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
