@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, sharding, token_counts
+from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def _(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), tokenizer_file())
 
 
+@add("op2_near_dedup")
+def _(spark, sf):
+    return near_dedup.link(table(spark, sf, "documents"))
+
+
 @add("op4_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -49,6 +54,12 @@ def _(spark, sf):
     return sharding.place(table(spark, sf, "documents"))
 
 
+@add("op8_quality")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.judge(docs, quality.references(docs))
+
+
 @add("op9_packing")
 def _(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), tokenizer_file())
