@@ -15,7 +15,8 @@ from .common import slices
 #: Base rules: fewest words; most per cent of words in repeated 3-word windows.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 #: Divergence rules: fewest words to be judged; largest Jensen-Shannon distances from the nearest reference.
-GUARD, MOST_CHARS, MOST_COMMON = 50, 0.30, 0.62
+#: A histogram of n words is off by chance by some 1 / sqrt(n): the word bound is MOST_COMMON + CHANCE / sqrt(n).
+GUARD, MOST_CHARS, MOST_COMMON, CHANCE = 50, 0.30, 0.15, 2.6
 #: Common words of a reference; share of a block's words that makes a word a candidate; words of a block.
 COMMON, SHARE, BLOCK = 50, 0.002, 20_000
 
@@ -160,14 +161,15 @@ _FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 def judge(
     docs: DataFrame, refs: dict, *, guard: int = GUARD, most_chars: float = MOST_CHARS, most_common: float = MOST_COMMON,
-    id_col: str = "doc_id", text_col: str = "text",
+    chance: float = CHANCE, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: ``id_col``, base counts, distances, ``base_failed, kept``.
 
     A document's class histogram and common-word histogram (common words and all
     others as one) are compared with every language's; the nearest counts,
     so a wrong or missing label or a text in two languages is no reason to reject.
-    Documents under ``guard`` words are not judged by distance (their distances are
+    The bound of the word distance is wider for short texts, whose histograms are
+    off by chance.  Documents under ``guard`` words are not judged by distance (their distances are
     null), nor is any if there is no reference.
 
     A null text has no words and fails the base rules, like an empty one.  Null and repeated
@@ -209,6 +211,7 @@ def judge(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rated = rows.mapInArrow(rate, f"id {dict(rows.dtypes)['id']}, {_FIELDS}")
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    far = (F.coalesce("char_distance", F.lit(0.0)) > most_chars) | (F.coalesce("word_distance", F.lit(0.0)) > most_common)
+    bound = most_common + chance / F.sqrt(F.greatest("n_words", F.lit(1)))
+    far = F.coalesce(F.col("char_distance") > most_chars, F.lit(False)) | F.coalesce(F.col("word_distance") > bound, F.lit(False))
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     return rated.select(F.col("id").alias(id_col), *names, failed.alias("base_failed"), (~failed & ~far).alias("kept"))
