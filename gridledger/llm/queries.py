@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_counts
+from ..session import scratch_path
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, secrets, sharding, token_counts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +43,12 @@ def _(spark, sf):
     return near_dedup.link(table(spark, sf, "documents"))
 
 
+@add("op3_secrets")
+def _(spark, sf):
+    found = secrets.scan_versions(table(spark, sf, "documents"), scratch_path(spark, "blob-ledger"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
 @add("op4_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -49,11 +57,27 @@ def _(spark, sf):
     return exact_dedup.mark_copies(table(spark, sf, "documents"))
 
 
+@add("op5_warc", """
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN big AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN big AND page_id <> last THEN last END AS refers_to
+FROM (SELECT page_id, h, octet_length(encode(h)) >= 1000 AS big, max(page_id) OVER (PARTITION BY h) AS last
+  FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""")
+def _(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"), scratch_path(spark, "warc"))
+
+
 @add("op6_sharding")
 def _(spark, sf):
     return sharding.place(table(spark, sf, "documents"))
 
 
+@add("op7_language")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 @add("op8_quality")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
