@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
 
 WORDS, PERCENT = 5, 75
-HASHES, ROWS, BITS = 128, 4, 4
+#: Minima of a signature; those of them that make bands, whole minima of a band; bits kept of a minimum.
+HASHES, BANDED, ROWS, BITS = 256, 128, 4, 4
+#: Most signatures in a block of a bucket; most sets, and shingles, in a block of a cluster.
+BLOCK, SETS, SHINGLES = 1024, 512, 1_500_000
 #: Standard deviations that an estimate may lie below the threshold and still be confirmed exactly.
 SIGMAS = 5.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -74,24 +77,24 @@ def _arrays(values: np.ndarray) -> pa.Array:
 
 
 def signatures(
-    docs: DataFrame, *, hashes: int = HASHES, rows: int = ROWS, bits: int = BITS, words: int = WORDS,
+    docs: DataFrame, *, hashes: int = HASHES, banded: int = BANDED, rows: int = ROWS, bits: int = BITS, words: int = WORDS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: ``id, n`` (set size), ``digest`` of the set, ``signature``, ``bands``.
 
     Of each of ``hashes`` minima the signature keeps the ``bits`` lowest bits, as
-    ``bits`` planes of ``hashes`` bits packed in longs; ``rows`` whole minima make
-    the hash of a band.
+    ``bits`` planes of ``hashes`` bits packed in longs; ``rows`` whole minima of the
+    first ``banded`` make the hash of a band.
     """
     def sign(batches) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         known, xors, factors = _Hash(), _series(1, hashes), _series(2, hashes)
-        of_row, of_band = _series(3, rows), _series(4, hashes // rows)
+        of_row, of_band = _series(3, rows), _series(4, banded // rows)
         for part in slices(batches):
             sets = [shingle_set(x, known, words) for x in part.column(1).to_pylist()]
             least = np.stack([_minima(s, xors, factors) for s in sets])
-            bands = _mixed((least.reshape(len(sets), -1, rows) * of_row).sum(axis=2, dtype=np.uint64) ^ of_band)
+            bands = _mixed((least[:, :banded].reshape(len(sets), -1, rows) * of_row).sum(axis=2, dtype=np.uint64) ^ of_band)
             low = _mixed(least)
             planes = [((low >> np.uint64(b)) & np.uint64(1)).astype(np.uint8) for b in range(bits)]
             packed = np.concatenate([np.packbits(p, axis=1) for p in planes], axis=1).copy().view(np.uint64)
@@ -108,22 +111,6 @@ def signatures(
     )
 
 
-def similarity(one: Column, other: Column, *, hashes: int = HASHES, bits: int = BITS) -> Column:
-    """Estimated similarity of two signatures: the share of equal minima, less those that agree by chance.
-
-    Minima that differ agree in their low bits with probability ``2 ** -bits``.
-    """
-    longs = hashes // 64
-    unequal = F.lit(0)
-    for j in range(longs):
-        diff = F.lit(0).cast("long")
-        for b in range(bits):
-            diff = diff.bitwiseOR(one[b * longs + j].bitwiseXOR(other[b * longs + j]))
-        unequal = unequal + F.bit_count(diff)
-    chance = 2.0**-bits
-    return (F.lit(1.0) - unequal / F.lit(float(hashes)) - chance) / (1 - chance)
-
-
 def floor_of_estimates(percent: int = PERCENT, *, hashes: int = HASHES, bits: int = BITS, sigmas: float = SIGMAS) -> float:
     """The estimate below which a pair of at least ``percent`` similarity lies with negligible probability."""
     chance = 2.0**-bits
@@ -157,70 +144,215 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-class _Confirm:
-    """Exact check of pairs on the full shingle sets, which are made from the texts when first asked for."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.words, self.percent, self.sets = words, percent, None
-
-    def _add(self, ids: DataFrame) -> None:
-        if self.sets is not None:
-            ids = stored(ids.join(self.sets, "id", "left_anti"), "new-ids")
-            if ids.isEmpty():
-                return
-        words = self.words
-
-        def sets(batches):
-            known = _Hash()
-            for part in slices(batches):
-                found = [shingle_set(x, known, words).view(np.int64) for x in part.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"]
-                )
-
-        made = stored(self.docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>"), "sets")
-        self.sets = made if self.sets is None else self.sets.unionByName(made)
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The rows (a, b) of ``pairs`` that reach the threshold."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        self._add(stored(ids, "pair-ids"))
-        one = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        other = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        full = pairs.select("a", "b").join(one, "a").join(other, "b").withColumn("both", both)
-        return full.filter(
-            100 * F.col("both") >= self.percent * (F.size("sa").cast("long") + F.size("sb") - F.col("both"))
-        ).select("a", "b")
+def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+    """``rows`` dealt to pairs of blocks (i <= j) of their group ``key``, of which a row is in ``blocks`` many.
+
+    ``side`` is 0 for rows of block i and 1 for those of block j.  Any two rows of a
+    group meet in one pair of blocks, and no task gets more of a group than two blocks.
+    """
+    own = F.pmod(F.xxhash64("id", key), F.col(blocks)).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    paired = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return paired.withColumn("side", (F.col("own") > F.col("i")).cast("int")).drop("own", "other", blocks)
+
+
+def _groups(batches, keys: int, convert):
+    """Columns of each run of rows with equal first ``keys`` columns; rows come sorted by them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(keys)], axis=1)
+        columns = [key, *convert(batch)]
+        if held is not None:
+            columns = [np.concatenate([x, y]) for x, y in zip(held, columns, strict=True)]
+            key = columns[0]
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+        for at, end in zip(edges, edges[1:], strict=False):
+            yield [c[at:end] for c in columns[1:]]
+        held = [c[edges[-1] :] for c in columns]
+    if held is not None:
+        yield held[1:]
+
+
+def _forest(near: np.ndarray, one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that connect what the matrix ``near`` of ``one`` times ``other`` connects: one per node at most."""
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    near, one, other = near[np.ix_(rows, columns)], one[rows], other[columns]
+    top = np.iinfo(np.int64).max
+    mine, yours = one.copy(), other.copy()
+    while True:
+        new_yours = np.minimum(yours, np.where(near, mine[:, None], top).min(axis=0))
+        new_mine = np.minimum(mine, np.where(near, new_yours[None, :], top).min(axis=1))
+        if (new_mine == mine).all() and (new_yours == yours).all():
+            break
+        mine, yours = new_mine, new_yours
+    node, root = np.concatenate([one, other]), np.concatenate([mine, yours])
+    return node[node != root], root[node != root]
+
+
+def _edges(found) -> Iterator[pa.RecordBatch]:
+    """(node, root) arrays as batches of rows."""
+    held, size = [], 0
+    for node, root in found:
+        if len(node):
+            held.append((node, root))
+            size += len(node)
+        if size > 50_000:
+            yield _edge_batch(held)
+            held, size = [], 0
+    if held:
+        yield _edge_batch(held)
+
+
+def _edge_batch(held) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["a", "b"])
+
+
+def similarity(one: np.ndarray, other: np.ndarray, *, bits: int = BITS) -> np.ndarray:
+    """Estimated similarity of each pair of packed signatures: the share of equal minima, less chance agreement.
+
+    A minimum differs if any of its bit planes does; the bits that differ are counted a
+    long at a time.  Different minima agree in their low bits with probability ``2 ** -bits``.
+    """
+    longs = one.shape[1] // bits
+    unequal = np.zeros((len(one), len(other)), np.uint16)
+    for j in range(longs):
+        diff = one[:, None, j] ^ other[None, :, j]
+        for b in range(1, bits):
+            diff |= one[:, None, b * longs + j] ^ other[None, :, b * longs + j]
+        unequal += np.bitwise_count(diff)
+    chance = 2.0**-bits
+    return (1 - unequal / (64.0 * longs) - chance) / (1 - chance)
+
+
+def candidates(buckets: DataFrame, *, percent: int, least: float, bits: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect all rows of a bucket whose sizes and estimate allow the similarity.
+
+    ``buckets``: band, id, n, signature, and ``m`` rows in the bucket.  Signatures are
+    compared by bit counts, a pair of blocks at a time; a pair of blocks gives at most one
+    edge per row, however many of its pairs are near.
+    """
+    def compare(batches):
+        def convert(batch):
+            sig = batch.column(6)
+            flat = sig.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+            return [*[batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5)], flat]
+
+        def found():
+            for side, ids, n, sig in _groups(batches, 3, convert):
+                one, other = (side == 0, side == 1) if side.any() else (side == 0, side == 0)
+                na, nb = n[one][:, None], n[other][None, :]
+                near = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+                near &= similarity(sig[one], sig[other], bits=bits) >= least
+                near &= ids[one][:, None] != ids[other][None, :]
+                yield _forest(near, ids[one], ids[other])
+
+        yield from _edges(found())
+
+    blocked = _blocked(buckets.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "band", "blocks")
+    rows = blocked.select("band", "i", "j", "side", "id", "n", "signature")
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def confirmed(members: DataFrame, *, percent: int, block: int = SETS, weight: int = SHINGLES) -> DataFrame:
+    """Edges (a, b) that connect all members of a cluster whose full sets reach the similarity.
+
+    ``members``: cluster, id, n, shingles, and the cluster's ``m`` rows and ``total``
+    shingles.  Blocks hold ``block`` sets or ``weight`` shingles on average; the
+    intersections of two blocks are one product of their incidence matrices, over the
+    shingles that occur twice, a slice of shingles at a time.
+    """
+    def compare(batches):
+        def convert(batch):
+            sets = np.empty(batch.num_rows, object)
+            column = batch.column(5)
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            for i in range(batch.num_rows):
+                sets[i] = flat[ends[i] - ends[0] : ends[i + 1] - ends[0]]
+            return [*[batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4)], sets]
+
+        def found():
+            for side, ids, sets in _groups(batches, 3, convert):
+                one, other = (side == 0, side == 1) if side.any() else (side == 0, side == 0)
+                both = _intersections(sets[one], sets[other])
+                n = np.asarray([len(x) for x in sets], np.int64)
+                near = 100 * both >= percent * (n[one][:, None] + n[other][None, :] - both)
+                near &= ids[one][:, None] != ids[other][None, :]
+                yield _forest(near, ids[one], ids[other])
+
+        yield from _edges(found())
+
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("total") / weight)).cast("int")
+    rows = _blocked(members.withColumn("blocks", blocks), "cluster", "blocks")
+    rows = rows.select("cluster", "i", "j", "side", "id", "shingles")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def _intersections(one, other) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets."""
+    same = len(one) == len(other) and all(x is y for x, y in zip(one, other, strict=True))
+    lists = list(one) if same else [*one, *other]
+    values, at, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    shared = times[at] > 1
+    place = np.cumsum(times > 1)[at][shared] - 1
+    row, width = row[shared], int((times > 1).sum())
+    if same:  # a set with itself shares everything, singles too; such pairs are not asked for
+        left = right = len(one)
+    else:
+        left, right = len(one), len(other)
+    out = np.zeros((left, right), np.int64)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for low in range(0, width, 4096):
+        a, z = np.searchsorted(place, [low, low + 4096])
+        grid = np.zeros((len(lists), min(4096, width - low)), np.float32)
+        grid[row[a:z], place[a:z] - low] = 1
+        out += (grid @ grid.T if same else grid[:left] @ grid[left:].T).astype(np.int64)
+    return out
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, shingles) of the documents (id, text) whose id is in ``ids``."""
+    def sets(batches):
+        known = _Hash()
+        for part in slices(batches):
+            found = [shingle_set(x, known, words).view(np.int64) for x in part.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            values = pa.array(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
+
+    return docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>")
 
 
 def link(
-    docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS, hashes: int = HASHES, rows: int = ROWS,
-    bits: int = BITS, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS, hashes: int = HASHES, banded: int = BANDED,
+    rows: int = ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``.
 
     1. Documents of one shingle set are a class, named by its smallest id.
-    2. Classes that share a band hash are a bucket.  Each is compared with its
-       buckets' smallest ids by bit counts of the packed signatures; its most similar one is
-       confirmed on the full sets.  That joins groups of near copies with one
-       confirmed pair a class, without pairing their members.
-    3. Buckets that still hold several components are compared across components only,
-       all but the largest component against all; pairs whose estimate is not more than
-       SIGMAS deviations below the threshold are confirmed, first the best
-       of a class and a component, then those whose components still differ.
-    So every pair of a bucket is confirmed, ruled out by its estimate, or already connected.
-
-    A text without words, or null, has no shingles and is linked with nothing. A null id can
+    2. Classes that share a band hash are a bucket.  Its members are compared by bit
+       counts of their packed signatures, and those whose estimate is not more than
+       SIGMAS deviations below the threshold are connected.
+    3. What is connected over all buckets is a cluster.  Its members' full sets are made
+       from the texts and compared; what reaches the threshold is connected.
+    4. Components of that, with their classes, are the result.
+
+    Buckets and clusters are compared in pairs of blocks of bounded size, which give
+    at most one edge per row: a group's pairs are never rows, and no task
+    holds a whole group.
+
+    A text without words, or null, has no shingles and is linked with nothing.  A null id can
     not be linked: component_id is null and the row is kept.  Rows that
     repeat an id are one document: their texts count as linked.  An empty table
     gives no rows.  Other columns are not read.
     """
     signed = stored(
-        signatures(docs, hashes=hashes, rows=rows, bits=bits, words=words, id_col=id_col, text_col=text_col), "signed"
+        signatures(docs, hashes=hashes, banded=banded, rows=rows, bits=bits, words=words, id_col=id_col, text_col=text_col), "signed"
     )
     named = signed.filter("n > 0 AND id IS NOT NULL")
     classes = stored(named.groupBy("digest").agg(F.min("id").alias("class")), "classes")
@@ -228,52 +360,18 @@ def link(
         named.join(classes.select("digest", F.col("class").alias("id")), ["digest", "id"]).select("id", "n", "signature", "bands"),
         "class-signatures",
     )
-    banded = members.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).filter("hub < _last")
-    buckets = stored(banded.join(shared.drop("_last"), "band"), "buckets")
-
-    traits = members.select("id", "n", "signature")
-    near_enough = floor_of_estimates(percent, hashes=hashes, bits=bits)
-    estimate = similarity(F.col("sa"), F.col("sb"), hashes=hashes, bits=bits)
-    may = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate >= near_enough)
-    side = lambda x: [F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")]
-    stars = buckets.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    rated = stars.join(traits.select(F.col("id").alias("a"), *side("a")), "a").join(
-        traits.select(F.col("id").alias("b"), *side("b")), "b"
-    ).filter(may).select("a", "b", estimate.alias("e"))
-    best = stored(rated.groupBy("b").agg(F.max_by("a", F.col("e") - F.col("a") * F.lit(1e-18)).alias("a")), "best-stars")
-
-    confirm = _Confirm(docs, id_col, text_col, words, percent)
-    labels = stored(components(stored(confirm.links(best), "links")), "labels")
-
-    def labelled(pairs: DataFrame, known: DataFrame, *names: str) -> DataFrame:
-        for x in names:
-            of = known.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
-            pairs = pairs.join(of, x, "left").withColumn(f"c{x}", F.coalesce(f"_{x}", x)).drop(f"_{x}")
-        return pairs
-
-    parts = labelled(buckets.select("band", "id"), labels, "id").withColumnRenamed("cid", "c")
-    parts = stored(parts, "parts")
-    counts = parts.groupBy("band", "c").agg(F.count("*").alias("k"))
-    mixed = counts.groupBy("band").agg(F.max_by("c", "k").alias("top"), F.count("*").alias("of")).filter("of > 1").drop("of")
-    rows_ = stored(parts.join(mixed, "band").join(traits, "id"), "mixed-buckets")
-    one = rows_.filter("c <> top").select("band", F.col("id").alias("a"), F.col("c").alias("ca"), *side("a"))
-    other = rows_.select("band", "top", F.col("id").alias("b"), F.col("c").alias("cb"), *side("b"))
-    across = one.join(other, "band").filter(
-        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))) & may
-    )
-    pairs = stored(across.select("a", "b", "ca", "cb", estimate.alias("e")).distinct(), "pairs")
-    if not pairs.isEmpty():
-        first = pairs.groupBy("a", "cb").agg(F.max_by("b", F.col("e") - F.col("b") * F.lit(1e-18)).alias("b"))
-        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        more = stored(confirm.links(stored(first, "first-pairs")), "links")
-        labels = stored(components(known.unionByName(more)), "labels")
-        rest = labelled(pairs.select("a", "b"), labels, "a", "b").filter("ca <> cb").join(first, ["a", "b"], "left_anti")
-        rest = stored(rest.select("a", "b"), "rest-pairs")
-        if not rest.isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            more = stored(confirm.links(rest), "links")
-            labels = stored(components(known.unionByName(more)), "labels")
+    band_rows = members.select("id", F.explode("bands").alias("band"))
+    shared = band_rows.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+    buckets = band_rows.join(shared, "band").join(members.select("id", "n", "signature"), "id")
+    least = floor_of_estimates(percent, hashes=hashes, bits=bits)
+    near = stored(candidates(buckets, percent=percent, least=least, bits=bits).distinct(), "candidates")
+
+    clusters = stored(components(near).withColumnRenamed("component", "cluster").withColumnRenamed("node", "id"), "clusters")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = stored(shingle_sets(texts, clusters.select("id"), words), "sets")
+    counted = clusters.join(members.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    links = confirmed(sets.join(clusters, "id").join(counted, "cluster"), percent=percent)
+    labels = components(links)
 
     joined = signed.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left")
     whole = joined.join(labels, F.col("class") == F.col("node"), "left")
