@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,77 +52,63 @@ def slices(batches, rows: int = 256) -> Iterator:
 class Tokens:
     """Token ids of texts by a tokenizer file of the ``tokenizers`` library.
 
-    ``of(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
-    A tokenizer that drops white space before it merges (its pre-tokenizer keeps
-    only matches that hold none) gives a text the ids of its words one after the
-    other; then the ids of a word are kept for when it comes back, and only new
-    words go to the library.  Any other tokenizer gets whole texts.  What is kept
-    is bounded by ``most_words``.
+    ``of(texts)`` gives each text's ids as unsigned 32-bit numbers, as bytes in the
+    machine's (little-endian) order.  A tokenizer that drops white space before it
+    merges (its pre-tokenizer keeps only matches that hold none) gives a text the ids
+    of its words one after the other; then a word's ids are kept for when it comes
+    back, and only new words go to the library.  Any other tokenizer gets
+    whole texts.  At most ``most_words`` words are kept.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         import json
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
-        self.most = most_words
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.by_word = _drops_white_space(spec)
-        self.bytes_as = str.maketrans(_byte_letters())
-        self.plain = re.compile(f"[{LATIN}]+").fullmatch
-        # Letters, then signs without an apostrophe: two matches of the pre-tokenizer.
-        self.ended = re.compile(rf"([{LATIN}]+)([!-&(-/:-@\[-`{{-~]+)").fullmatch
+            self.by_word = _drops_white_space(json.load(file))
+        self.kept = _WordIds(self.library, most_words)
 
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+            return [array("I", x.ids).tobytes() for x in found]
+        ids = self.kept.__getitem__
         # Lower case for A-Z is what the tokenizer does first, but for its special strings.
-        words = [(x.encode() if "<|" in x else x.encode().lower()).split() for x in texts]
-        self._learn(set().union(*words))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
-
-    def _learn(self, words: set[bytes]) -> None:
-        kept = self.kept
-        new = [w for w in words if w not in kept]
-        if len(kept) + len(new) > self.most:
-            kept.clear()
-            new = list(words)
-        rest = []
-        for word in new:
-            text = word.decode()
-            if self.plain(text):
-                kept[word] = self._letters(text)
-            elif m := self.ended(text):
-                for part in m.groups():
-                    if (key := part.encode()) not in kept:
-                        kept[key] = self._letters(part) if part is m[1] else self._whole(part)
-                kept[word] = kept[m[1].encode()] + kept[m[2].encode()]
-            else:
-                rest.append(word)
-        for at in range(0, len(rest), 1024):
-            part = rest[at : at + 1024]
-            found = self.library.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(found.ids, "<u4")
-            ends = 4 * np.cumsum(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(part)))
-            data, start = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist(), strict=True):
-                kept[word] = data[start:end]
-                start = end
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _letters(self, text: str) -> bytes:
-        """Ids of one run of letters: the merges alone."""
-        seen = text.lower().encode().decode("latin-1").translate(self.bytes_as)
-        return np.asarray([t.id for t in self.library.model.tokenize(seen)], "<u4").tobytes()
+        return [b"".join(map(ids, (x.encode() if "<|" in x else x.encode().lower()).split())) for x in texts]
+
+
+class _WordIds(dict):
+    """Ids of words (UTF-8), by the library when a word is new."""
+
+    def __init__(self, library, most: int):
+        import re
+
+        self.library, self.merge, self.most = library, library.model.tokenize, most
+        self.bytes_as = str.maketrans(_byte_letters())
+        # Letters, then signs without an apostrophe: at most two matches of the pre-tokenizer.
+        self.plain = re.compile(rf"([{LATIN}]+)([!-&(-/:-@\[-`{{-~]*)").fullmatch
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        text = word.decode()
+        parts = self.plain(text)
+        if parts is None:
+            ids = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        elif signs := parts[2]:
+            ids = self[parts[1].encode()] + self._merged(signs)
+        else:
+            low = text.lower()
+            ids = self._merged(low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes_as))
+        self[word] = ids
+        return ids
+
+    def _merged(self, match: str) -> bytes:
+        """Ids of one match of the pre-tokenizer, in lower case and with letters for its bytes: the merges alone."""
+        return array("I", [t.id for t in self.merge(match)]).tobytes()
 
 
 def _drops_white_space(spec: dict) -> bool:
