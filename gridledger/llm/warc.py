@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import content
 
-#: Payloads of at least REVISIT bytes are written once; blocks are cut into segments of SEGMENT code points.
+#: Payloads of at least REVISIT bytes are written once; payloads are cut into segments of SEGMENT code points.
 REVISIT, SEGMENT = 1000, 65_536
 #: Bytes of a chunk row when reading, and bytes of data in one batch of rows.
 CHUNK, BATCH = 65_536, 4 << 20
@@ -39,7 +39,7 @@ def write_archive(
     """Write a record per page to gzip files under ``path``, which Spark's text writer can reach anywhere.
 
     Of pages with equal payloads of at least ``revisit`` bytes the one with the
-    largest id is the response, the others are revisits that name it.  A block
+    largest id is the response, the others are revisits that name it.  A payload
     longer than ``segment`` code points becomes a segmented record: a first segment
     and continuations, each a row of its own (record, number), next to each other in
     one file, so that no reader needs more than a chunk of it.
@@ -57,12 +57,13 @@ def write_archive(
     http = F.concat(
         F.lit("HTTP/1.1 200 OK"), _lines(("Content-Type", "text/html; charset=utf-8"), ("Content-Length", F.col("n"))), F.lit(_END)
     )
-    block = F.when(F.col("again"), http).otherwise(F.concat(http, F.col("html")))
-    cut = rows.join(groups, "digest", "left").withColumn("again", again).withColumn("block", block).select(
-        "page", "url", "digest", "keeper", "again", F.octet_length("block").alias("total"),
-        F.posexplode(F.regexp_extract_all("block", F.lit(f"(?s).{{1,{segment}}}"), F.lit(0))).alias("no", "part"),
-        F.ceil(F.char_length("block") / segment).alias("of"),
-    )
+    # The HTTP header is never cut: the payload's parts are, and the first follows the header.
+    parts = F.regexp_extract_all("html", F.lit(f"(?s).{{1,{segment}}}"), F.lit(0))
+    stored_ = F.when(F.col("again") | (F.col("html") == ""), F.array(F.lit(""))).otherwise(parts)
+    cut = rows.join(groups, "digest", "left").withColumn("again", again).withColumn("http", http).withColumn("parts", stored_).select(
+        "page", "url", "digest", "keeper", "again", "http", (F.octet_length("http") + F.col("n")).alias("total"),
+        F.size("parts").alias("of"), F.posexplode("parts").alias("no", "part"),
+    ).withColumn("part", F.when(F.col("no") == 0, F.concat("http", "part")).otherwise(F.col("part")))
     first, many, last = F.col("no") == 0, F.col("of") > 1, F.col("no") + 1 == F.col("of")
     own = _record_id(F.col("page"))
     only = lambda test, value: F.when(test, value)
