@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .joins import join_same
 
 
 def _breaks(ts: str, previous: Column, gap_seconds: int) -> Column:
@@ -33,7 +34,7 @@ def gap_island(df: DataFrame, *, keys: list[str], ts: str, gap_seconds: int) ->
     days = days.withColumn("_open", _breaks("_first", F.lag("_last").over(order), gap_seconds))
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("_open") + F.col("_n")).over(past), F.lit(0)) + F.col("_open")
-    return rows.join(days.select(*day, before.alias("_before")), day).select(
+    return join_same(rows, days.select(*day, before.alias("_before")), day).select(
         *df.columns, (F.col("_before") + F.col("_inside")).alias("island")
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .joins import join_same
 
 
 def with_blocks(df: DataFrame, *, keys: list[str], ts: str, block_rows: int, halo_rows: int) -> DataFrame:
@@ -31,7 +32,7 @@ def with_blocks(df: DataFrame, *, keys: list[str], ts: str, block_rows: int, hal
     placed = days.select(
         *keys, "_day", "_home", F.explode(F.sequence("_home", F.greatest("_home", reach))).alias("_block")
     ).select(*keys, "_day", "_block", (F.col("_block") == F.col("_home")).alias("_own"))
-    return df.withColumn("_day", F.to_date(ts)).join(placed, [*keys, "_day"]).drop("_day")
+    return join_same(df.withColumn("_day", F.to_date(ts)), placed, [*keys, "_day"]).drop("_day")
 
 
 def partitioned_rolling(df: DataFrame, *, keys: list[str], ts: str, frames: dict[str, tuple[Column, int]],

@@ -52,22 +52,24 @@ def split_sections(docs: DataFrame, *, doc: str = "contract_id", blocks: str = "
         "_starts",
         F.array_compact(F.transform("_heads", lambda h, i: F.when((i == 0) | h.isNotNull(), i))),
     )
+
+    def section(start, ord_):
+        until = F.coalesce(F.get("_starts", ord_ + 1), F.size("_blocks"))
+        head = F.get("_heads", start)
+        body = F.slice("_blocks", start + 1, until - start)
+        return F.struct(
+            ord_.alias("section_ord"),
+            F.coalesce(head["clause_id"], F.lit(V.PREAMBLE_CLAUSE)).alias("clause_id"),
+            F.coalesce(head["section_title"], F.lit(V.PREAMBLE_TITLE)).alias("section_title"),
+            F.when(head.isNull(), F.lit(1)).otherwise(F.get("_blocks", start)["page"]).alias("page_number"),
+            F.array_join(F.transform(body, lambda b: b["text"]), " ").alias("section_text"),
+        )
+
+    # Sections are built inside the array, so a section row carries its own text only.
+    built = opened.select(doc, F.transform("_starts", section).alias("_sections"))
     # The outer form: for the inner one the optimizer adds a test of the array
     # below, which would detect all headings once more.
-    placed = opened.select(
-        doc, "_blocks", "_heads", "_starts", F.posexplode_outer("_starts").alias("_ord", "_from")
-    ).filter(F.col("_from").isNotNull())
-    until = F.coalesce(F.get("_starts", F.col("_ord") + 1), F.size("_blocks"))
-    head = F.get("_heads", F.col("_from"))
-    body = F.slice("_blocks", F.col("_from") + 1, until - F.col("_from"))
-    return placed.select(
-        doc,
-        F.col("_ord").alias("section_ord"),
-        F.coalesce(head["clause_id"], F.lit(V.PREAMBLE_CLAUSE)).alias("clause_id"),
-        F.coalesce(head["section_title"], F.lit(V.PREAMBLE_TITLE)).alias("section_title"),
-        F.when(head.isNull(), F.lit(1)).otherwise(F.get("_blocks", F.col("_from"))["page"]).alias("page_number"),
-        F.array_join(F.transform(body, lambda b: b["text"]), " ").alias("section_text"),
-    )
+    return built.select(doc, F.inline_outer("_sections")).filter(F.col("section_ord").isNotNull())
 
 
 def section_carry_forward(blocks: DataFrame, *, doc: str = "contract_id",

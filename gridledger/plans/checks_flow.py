@@ -269,9 +269,8 @@ def _(spark, sf):
         "id", "question", F.array(F.lit("7.1"), F.lit("7.2")).alias("expected_clause_ids"),
         F.col("answer").alias("ground_truth"),
     )
-    # One pretty-printed JSON array per file, about fifty items each.
-    buckets = 1 + pairs.count() // 50
-    arrays = pairs.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("_b")).agg(F.collect_list(item).alias("_items"))
+    # One pretty-printed JSON array per file, in a fixed number of files.
+    arrays = pairs.groupBy(F.pmod(F.xxhash64("id"), F.lit(32)).alias("_b")).agg(F.collect_list(item).alias("_items"))
     path = scratch_path(spark, "eval")
     text = F.to_json("_items", {"pretty": "true"})
     arrays.select(text.alias("value"), F.col("_b").alias("bucket")).repartition("bucket").write.partitionBy("bucket").text(path)

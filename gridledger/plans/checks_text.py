@@ -474,11 +474,10 @@ def _(spark, sf):
 
 
 def _samples(spark, sf):
-    """Question and answer from the conversations; the context is the answer's first line."""
+    """Question and answer from the conversations; the contexts are the whole answer and the question."""
     pairs = evaluation.question_answer_pairs(D.table(spark, sf, "conversations"))
-    first = F.element_at(F.split("answer", "\n"), 1)
     return pairs.select("id", "question", "answer", F.col("question").alias("ground_truth"),
-                        F.array(first, F.lit("")).alias("contexts"))
+                        F.array("answer", "question").alias("contexts"))
 
 
 def _overlap(a: str, b: str) -> str:
@@ -490,7 +489,7 @@ _SCORES_SQL = f"""
 SELECT id, CASE WHEN {strip('ctx')} = '' THEN 0.5 ELSE {_overlap('answer', 'ctx')} END AS faithfulness,
        {_overlap('answer', 'question')} AS answer_relevancy,
        CASE WHEN {strip('ctx')} = '' THEN 0.5 ELSE {_overlap('ctx', 'question')} END AS context_precision
-FROM (SELECT *, concat(string_split(answer, chr(10))[1], ' ') AS ctx FROM pairs)"""
+FROM (SELECT *, concat(answer, ' ', question) AS ctx FROM pairs)"""
 _MEANS_SQL = f"""
 SELECT round_even(avg(faithfulness), 3) AS faithfulness, round_even(avg(answer_relevancy), 3) AS answer_relevancy,
        round_even(avg(context_precision), 3) AS context_precision FROM ({_SCORES_SQL})"""

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..operators import gold, rerank, risk, search, sections, silver
-from ..session import spread
 
 # Events of each type run on this fuel; the share of renewables then crosses
 # the oversupply threshold in some hours.
@@ -147,7 +146,9 @@ def contract_documents(spark: SparkSession, sf: str) -> DataFrame:
         return F.struct((F.floor(i / 40) + 1).cast("int").alias("page"),
                         F.concat(head, line, F.lit(" "), sentence).alias("text"))
 
-    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
+    # The given table is one file with one row group.  Whatever its size it is dealt out once
+    # here, as a document table written for many tasks would be; operators do not shuffle text.
+    return table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("contract_id"),
         F.transform(F.split("text", "\n"), block).alias("blocks"),
     )

@@ -30,8 +30,8 @@ def local_session(cpus: int | str = "*", *, app: str = "gridledger", memory: str
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is missing (a laptop, a test) a temporary folder of
-    this machine is taken.
+    Only in a local session without that setting (a laptop, a test) a temporary
+    folder of this machine is taken; on a cluster the setting must be there.
     """
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -40,6 +40,8 @@ def _shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (base or _own_folder()).rstrip("/")
 
 
@@ -59,13 +61,3 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(_shared_folder(spark))
     return df.checkpoint()
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores if its files make fewer tasks than there are cores, else unchanged.
-
-    A small table in one file would keep one core busy with work that is heavy
-    per row.  A table with fewer splits than cores is small next to the
-    cluster, so its one extra shuffle is, too; large tables are not touched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..operators.joins import join_same
 from pyspark.sql import types as T
 
 from .. import schemas as S
@@ -40,18 +42,18 @@ def daily_envelopes(df: DataFrame, *, date_col: str = "delivery_date", order_by:
     """Group rows by day (and ``keys``) into envelopes, rows in ``order_by`` order inside.
 
     Hourly feeds hold a few dozen rows per day and key.  For feeds without such
-    a bound give ``max_rows``: the largest day is counted first (one small job)
-    and every day is spread, by a hash of the order columns, over as many
-    envelopes as keep it to about that many rows each.
+    a bound give ``max_rows``: a day is spread, by a hash of the order columns, over
+    as many envelopes as its own number of rows needs to keep them to about that many
+    rows each.  Other days play no part in that.
     """
-    parts = 1
-    if max_rows is not None:
-        largest = df.groupBy(date_col, *keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0]
-        parts = max(1, -(-(largest or 0) // max_rows))
     payload = [c for c in df.columns if c != date_col]
     rest = [c for c in payload if c not in order_by]
     item = F.struct(*order_by, *rest)
-    part = F.pmod(F.xxhash64(*order_by), F.lit(parts))
+    part = F.lit(0)
+    if max_rows is not None:
+        day = [date_col, *keys]
+        df = join_same(df, df.groupBy(*day).agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("_parts")), day)
+        part = F.pmod(F.xxhash64(*order_by), F.col("_parts"))
     grouped = df.groupBy(F.col(date_col).alias("_day"), *keys, part.alias("_part")).agg(
         F.sort_array(F.collect_list(item)).alias("_rows")
     )

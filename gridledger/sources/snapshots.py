@@ -82,11 +82,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame, *, key: list[str]) -> DataFram
     """Change rows between two snapshots: ``_change`` is insert, update or delete.
 
     Only keys and a 64-bit hash per row meet in the join, plus the new row for
-    output; deleted rows carry NULLs outside the key.
+    output; deleted rows carry NULLs outside the key.  The hash covers which
+    columns are NULL, as hashing alone passes over them.
     """
     rest = [c for c in new.columns if c not in key]
-    a = old.select(*key, F.xxhash64(*rest).alias("_old"))
-    b = new.select(*key, F.xxhash64(*rest).alias("_new"), *rest)
+    marked = [x for c in rest for x in (F.col(c).isNull(), F.col(c))]
+    a = old.select(*key, F.xxhash64(F.lit(0), *marked).alias("_old"))
+    b = new.select(*key, F.xxhash64(F.lit(0), *marked).alias("_new"), *rest)
     change = (
         F.when(F.col("_old").isNull(), F.lit("insert"))
         .when(F.col("_new").isNull(), F.lit("delete"))

@@ -134,3 +134,15 @@ def test_batch_sessions_equal_streamed_sessions(spark, rows):
 
 def test_trigger_of_the_market_feed():
     assert feeds.MARKET_REFRESH == {"processingTime": "15 minutes"}
+
+
+def test_snapshot_diff_sees_nulls_that_move(rows):
+    old = rows([("k", None, "x"), ("s", None, None)], "k string, a string, b string")
+    new = rows([("k", "x", None), ("s", None, None)], "k string, a string, b string")
+    assert [(r["k"], r["_change"]) for r in snapshots.snapshot_diff(old, new, key=["k"]).collect()] == [("k", "update")]
+
+
+def test_a_large_day_does_not_split_others(rows):
+    events = rows([("2024-01-01", i) for i in range(40)] + [("2024-01-02", i) for i in range(3)], "day string, event_id int")
+    out = envelopes.daily_envelopes(events, date_col="day", order_by=["event_id"], max_rows=4).collect()
+    assert sum(r["fetch_date"] == "2024-01-02" for r in out) == 1 and sum(r["fetch_date"] == "2024-01-01" for r in out) > 5

@@ -215,3 +215,11 @@ def test_indexation_is_capped_and_starts_in_year_three(rows):
 def test_eur_severity_bounds(rows):
     df = rows([(49_999.99,), (50_000.0,), (500_000.0,), (500_000.01,), (5_000_000.0,), (5_000_000.01,), (None,)], "x double")
     assert one(df.select(M.severity_by_eur(F.col("x")))) == ["LOW", "MEDIUM", "MEDIUM", "HIGH", "HIGH", "CRITICAL", None]
+
+
+def test_rows_without_key_or_time_stay(rows):
+    data = [(m, t, 1.0) for m in ("NL", None) for t in ("2024-01-01 00:00:00", "2024-01-01 01:00:00", None)]
+    df = rows(data, "market string, t string, price_eur_mwh double").selectExpr("market", "timestamp(t) AS delivery_ts", "price_eur_mwh")
+    assert islands.gap_island(df, keys=["market"], ts="delivery_ts", gap_seconds=3700).count() == 6
+    frames = {"m": (F.avg("price_eur_mwh"), 2)}
+    assert rolling.partitioned_rolling(df, keys=["market"], ts="delivery_ts", frames=frames).count() == 6

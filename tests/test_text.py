@@ -271,3 +271,11 @@ def test_answers_follow_their_questions(rows, block):
               "conv_id bigint, turn bigint, role string, text string")
     got = sorted(tuple(r) for r in evaluation.question_answer_pairs(df, block_turns=block).collect())
     assert got == [("1-0", "q0", "a1"), ("1-3", "q3", "a9")]
+
+
+def test_long_contracts_split_in_linear_space(spark):
+    for lines in (8_000, 32_000):
+        block = "struct(1 AS page, CASE WHEN i % 2 = 0 THEN concat('ARTICLE ', i, ' - Heading') ELSE concat('body line ', i) END AS text)"
+        d = spark.sql(f"SELECT 'c' AS contract_id, transform(sequence(0, {lines - 1}), i -> {block}) AS blocks")
+        got = sections.split_sections(d).selectExpr("count(*) AS n", "max(length(section_text)) AS longest").first()
+        assert got["n"] == lines // 2 and got["longest"] < 100
