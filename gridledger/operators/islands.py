@@ -40,31 +40,40 @@ def gap_island(df: DataFrame, *, keys: list[str], ts: str, gap_seconds: int) ->
 
 
 def _join_runs(runs: DataFrame, keys: list[str], bucket: str | None, gap_seconds: int) -> DataFrame:
-    part = list(keys)
-    if bucket is not None:
-        runs = runs.withColumn("_bucket", F.date_trunc(bucket, "window_start"))
-        part.append("_bucket")
+    """Join runs that touch within their bucket, and mark as ``_done`` those that no other bucket can extend.
+
+    Between the first and the last run of a bucket nothing can grow any more: those
+    runs go on as groups of their own, so they spread over all tasks.
+    """
+    open_bucket = F.lit(None).cast("timestamp") if bucket is None else F.date_trunc(bucket, "window_start")
+    runs = runs.withColumn("_bucket", F.when(F.col("_done"), F.col("window_start")).otherwise(open_bucket))
+    part = [*keys, "_done", "_bucket"]
     w = Window.partitionBy(*part).orderBy("window_start")
-    marked = runs.withColumn("_broke", _breaks("window_start", F.lag("window_end").over(w), gap_seconds)).withColumn(
-        "_run", F.sum("_broke").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    marked = (
+        runs.withColumn("_broke", _breaks("window_start", F.lag("window_end").over(w), gap_seconds))
+        .withColumn("_run", F.sum("_broke").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_last", F.max("_run").over(Window.partitionBy(*part)))
     )
-    return marked.groupBy(*part, "_run").agg(
+    joined = marked.groupBy(*part, "_run", "_last").agg(
         F.min("window_start").alias("window_start"),
         F.max("window_end").alias("window_end"),
         F.sum("_sum").alias("_sum"),
         F.min("min_price").alias("min_price"),
         F.sum("hours_count").alias("hours_count"),
-    ).drop("_run", "_bucket")
+    )
+    inside = (F.col("_run") > 0) & (F.col("_run") < F.col("_last"))
+    return joined.withColumn("_done", F.col("_done") | inside).drop("_run", "_last", "_bucket")
 
 
 def sessions(df: DataFrame, *, keys: list[str], ts: str, value: str, gap_seconds: int,
-             levels: tuple[str, ...] = ("day", "month")) -> DataFrame:
+             levels: tuple[str, ...] = ("day", "month", "year")) -> DataFrame:
     """Aggregate runs: start, end, mean, minimum and number of rows.
 
     Runs are found within each (key, day), then runs that touch are joined
-    within each (key, month), then across months.  A task sees a day of rows, a
-    month of daily runs, and in the last step the runs of one key, so no key's
-    raw series is ever ordered in one place.
+    within each (key, month) and (key, year), then across years.  From each bucket only
+    the first and the last run are compared with those of other buckets, so a task
+    sees a day of rows, two runs a day of a month, two runs a month of a year, and in the last
+    step two runs a year of one key.
     """
     runs = df.select(
         *keys,
@@ -73,6 +82,7 @@ def sessions(df: DataFrame, *, keys: list[str], ts: str, value: str, gap_seconds
         F.col(value).alias("_sum"),
         F.col(value).alias("min_price"),
         F.lit(1).cast("bigint").alias("hours_count"),
+        F.lit(False).alias("_done"),
     )
     for bucket in (*levels, None):
         runs = _join_runs(runs, keys, bucket, gap_seconds)

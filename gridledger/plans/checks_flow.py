@@ -452,7 +452,7 @@ def _(spark, sf):
         ))
     return spark.read.parquet(out).withColumn("late", F.lit(False)).unionByName(
         spark.read.parquet(late).withColumn("late", F.lit(True))
-    )
+    ).drop("batch_id")
 
 
 @add("stream_upsert", _MERGED_SQL)

@@ -395,6 +395,16 @@ def _(spark, sf):
     return rolling.rolling_90d_neg(rolling.daily_neg_count(D.prices(spark, sf)), rows=7, min_obs=3)
 
 
+@add("rolling_90d_neg_published", """
+SELECT market, delivery_date, neg_hours_per_day,
+       CASE WHEN count(*) OVER (w ROWS 89 PRECEDING) >= 30
+            THEN CAST(sum(neg_hours_per_day) OVER (w ROWS 89 PRECEDING) AS BIGINT) END AS rolling_90d
+FROM (SELECT market, delivery_date, count(*) FILTER (WHERE is_negative) AS neg_hours_per_day FROM prices GROUP BY ALL)
+WINDOW w AS (PARTITION BY market ORDER BY delivery_date)""")
+def _(spark, sf):
+    return rolling.rolling_90d_neg(rolling.daily_neg_count(D.prices(spark, sf)))
+
+
 @add("worst_k_signals", """
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY market ORDER BY price_eur_mwh, delivery_date DESC, hour) AS INT) AS worst_rank
                FROM (SELECT delivery_date, hour, market, price_eur_mwh, severity FROM top_signals)) WHERE worst_rank <= 3""")
@@ -618,6 +628,19 @@ def _(spark, sf):
     return rounded(rolling.feat_rolling_30_90(D.prices(spark, sf), short_days=4, long_days=10), 9)
 
 
+@add("feat_rolling_30_90_published", """
+SELECT market, delivery_ts, price_eur_mwh,
+       round(avg(price_eur_mwh) OVER a, 9) AS rolling_30d_mean,
+       CASE WHEN count(*) OVER a > 1 THEN round(stddev_samp(price_eur_mwh) OVER a, 9) END AS rolling_30d_std,
+       round(avg(price_eur_mwh) OVER b, 9) AS rolling_90d_mean,
+       CASE WHEN count(*) OVER b > 1 THEN round(stddev_samp(price_eur_mwh) OVER b, 9) END AS rolling_90d_std
+FROM prices
+WINDOW a AS (PARTITION BY market ORDER BY epoch(delivery_ts) RANGE 2591999 PRECEDING),
+       b AS (PARTITION BY market ORDER BY epoch(delivery_ts) RANGE 7775999 PRECEDING)""")
+def _(spark, sf):
+    return rounded(rolling.feat_rolling_30_90(D.prices(spark, sf)), 9)
+
+
 @add("feat_percentile_90d", """
 SELECT a.market, a.delivery_ts, a.price_eur_mwh,
        round(count(*) FILTER (WHERE b.price_eur_mwh <= a.price_eur_mwh)::DOUBLE / count(*), 6) AS price_percentile_90d
@@ -628,6 +651,16 @@ def _(spark, sf):
     return rounded(rolling.feat_percentile_90d(D.prices(spark, sf), days=20))
 
 
+@add("feat_percentile_90d_published", """
+SELECT a.market, a.delivery_ts, a.price_eur_mwh,
+       round(count(*) FILTER (WHERE b.price_eur_mwh <= a.price_eur_mwh)::DOUBLE / count(*), 6) AS price_percentile_90d
+FROM prices a JOIN prices b ON a.market = b.market AND b.delivery_ts <= a.delivery_ts
+     AND b.delivery_ts > a.delivery_ts - INTERVAL 90 DAY
+GROUP BY ALL""")
+def _(spark, sf):
+    return rounded(rolling.feat_percentile_90d(D.prices(spark, sf)))
+
+
 @add("feat_calendar", """
 SELECT market, delivery_ts, CAST(hour(l) AS INT) AS hour_of_day, CAST(isodow(l) AS INT) AS day_of_week, isodow(l) >= 6 AS is_weekend
 FROM (SELECT *, delivery_ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Amsterdam' AS l FROM prices)""")

@@ -68,4 +68,5 @@ def finish(spark: SparkSession, out_dir: str) -> None:
         spark.read.parquet(f"{out_dir}/silver/prices"), spark.read.parquet(f"{out_dir}/silver/generation")
     )
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("delivery_date").parquet(f"{out_dir}/gold/{name}")
+        # A date's rows (hours per market) go to one file, not one file per task.
+        df.repartition("delivery_date").write.mode("overwrite").partitionBy("delivery_date").parquet(f"{out_dir}/gold/{name}")

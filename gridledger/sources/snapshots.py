@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -24,8 +26,10 @@ def unique_source(source: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert_anti_join(target: DataFrame, source: DataFrame, *, key: list[str]) -> DataFrame:
-    """The target rows a merge leaves alone."""
-    return target.join(source.select(*key), key, "left_anti")
+    """The target rows a merge leaves alone; a NULL in a key matches a NULL."""
+    gone = source.select(*[F.col(k).alias(f"_source_{k}") for k in key])
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_source_{k}")) for k in key])
+    return target.join(gone, same, "left_anti")
 
 
 def upsert_union(target: DataFrame, source: DataFrame, *, key: list[str]) -> DataFrame:
@@ -33,49 +37,96 @@ def upsert_union(target: DataFrame, source: DataFrame, *, key: list[str]) -> Dat
     return upsert_anti_join(target, source, key=key).unionByName(unique_source(source, key).select(*target.columns))
 
 
+#: Buckets of a new table.  Each merge reads and writes the buckets that its keys fall into.
+BUCKETS = 64
+_ENTRY = "version bigint, buckets int, bucket int, folder string"
+
+
 def _log(path: str) -> str:
     return f"{path.rstrip('/')}/_log"
 
 
-def current_snapshot(spark: SparkSession, path: str) -> str | None:
-    """Folder of the latest finished snapshot, or None."""
+def _state(spark: SparkSession, path: str) -> tuple[int, int, dict[int, str]]:
+    """Version, number of buckets, and the folder of each bucket that holds rows (version 0: no table).
+
+    One entry of the log is one merge and bucket; the latest per bucket counts, so
+    at most as many rows as buckets come to the driver.
+    """
     try:
-        log = spark.read.schema("version bigint, folder string").json(_log(path))
+        log = spark.read.schema(_ENTRY).json(_log(path))
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
             raise
-        return None
-    last = log.orderBy(F.desc("version"), "folder").limit(1).collect()
-    return last[0]["folder"] if last else None
+        return 0, 0, {}
+    last = log.groupBy("buckets", "bucket").agg(
+        F.max("version").alias("version"), F.max_by("folder", "version").alias("folder")
+    ).collect()
+    if not last:
+        return 0, 0, {}
+    return max(r["version"] for r in last), last[0]["buckets"], {r["bucket"]: r["folder"] for r in last}
+
+
+def bucket_folders(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folder that holds each bucket of the table now."""
+    return _state(spark, path)[2]
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    folder = current_snapshot(spark, path)
-    if folder is None:
+    folders = bucket_folders(spark, path)
+    if not folders:
         raise FileNotFoundError(path)
-    return spark.read.parquet(folder)
+    return spark.read.parquet(*folders.values())
 
 
-def upsert(spark: SparkSession, path: str, source: DataFrame, *, key: list[str]) -> None:
+def upsert(spark: SparkSession, path: str, source: DataFrame, *, key: list[str], buckets: int = BUCKETS) -> None:
     """Merge ``source`` into the table at ``path``.
 
-    The merged table is written as a new folder and then entered in a small
-    log; readers follow the log, so they see the old or the new table whole,
-    and a failed write leaves no trace.  One writer at a time.
+    The table is cut into ``buckets`` by a hash of the key when it is made (later merges
+    follow its own number).  A merge reads and writes only the buckets that a source key
+    falls into: a change of a few keys touches a few buckets, and a table that
+    takes small changes wants many.  New buckets are written to new folders and then entered in
+    a small log, in one file; readers follow the log, so they see the old or the
+    new table whole, and a failed write leaves no trace.  One writer at a time.
+    ``vacuum`` removes what no reader is led to any more.
     """
-    folder = current_snapshot(spark, path)
-    merged = unique_source(source, key) if folder is None else upsert_union(
-        spark.read.parquet(folder), source, key=key
-    )
-    fresh = f"{path.rstrip('/')}/data-{uuid.uuid4().hex}"
-    merged.write.parquet(fresh)
-    log = spark.range(1)
-    if folder is None:
-        entry = log.select(F.lit(1).cast("bigint").alias("version"), F.lit(fresh).alias("folder"))
+    version, known, folders = _state(spark, path)
+    n = known or buckets
+    # As text, so that a key hashes alike whatever integer type a batch brings.
+    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(n)).cast("int")
+    touched = sorted(r[0] for r in source.select(bucket.alias("_bucket")).distinct().collect())
+    old = [folders[b] for b in touched if b in folders]
+    if old:
+        merged = upsert_union(spark.read.parquet(*old), source, key=key)
+    elif folders:
+        merged = unique_source(source, key).select(*read_snapshot(spark, path).columns)
     else:
-        seen = spark.read.schema("version bigint, folder string").json(_log(path))
-        entry = seen.agg((F.max("version") + 1).alias("version")).withColumn("folder", F.lit(fresh))
-    entry.coalesce(1).write.mode("append").json(_log(path))
+        merged = unique_source(source, key)
+    fresh = f"{path.rstrip('/')}/data-{uuid.uuid4().hex}"
+    if touched:
+        merged.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(fresh)
+    elif not folders:  # an empty table still has its columns
+        merged.write.parquet(f"{fresh}/_bucket=0")
+        touched = [0]
+    entries = [(version + 1, n, b, f"{fresh}/_bucket={b}") for b in touched]
+    if entries:
+        spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("append").json(_log(path))
+
+
+def vacuum(spark: SparkSession, path: str) -> list[str]:
+    """Delete bucket folders that a later merge has replaced or a failed one left; returns them.
+
+    Run it while no merge is under way and no reader still holds an older version.
+    """
+    used = {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] for f in bucket_folders(spark, path).values()}
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/data-*/_bucket=*")):
+        folder = status.getPath()
+        if f"{folder.getParent().getName()}/{folder.getName()}" not in used:
+            store.delete(folder, True)
+            gone.append(folder.toString())
+    return sorted(gone)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, *, key: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ its state does not grow with the stream.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed_values as V
 from ..operators.quality import expect
+from ..operators.silver import latest_by_key
 from ..sources.snapshots import upsert
 
 MARKET_REFRESH = {"processingTime": "15 minutes"}
@@ -70,28 +73,36 @@ def stream_session_negative(prices: DataFrame, *, gap_seconds: int = V.SESSION_G
     )
 
 
+def split_batch(batch: DataFrame, batch_id: int, *, event_time: str, delay: str, path: str, late_path: str, bounds: str) -> None:
+    """Write one batch of ``split_late`` into its own folders; written twice it leaves the same."""
+    kind, own = batch.schema[event_time].dataType, f"batch_id={batch_id}"
+    try:
+        past = batch.sparkSession.read.parquet(bounds).filter(F.col("batch_id") < batch_id)
+        bound = past.agg(F.max("newest").alias("newest")).first()["newest"]
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
+            raise
+        bound = None
+    limit = F.lit(bound).cast(kind) - F.expr(f"INTERVAL {delay}")
+    late = F.coalesce(F.col(event_time) < limit, F.lit(False))
+    batch.filter(late).write.mode("overwrite").parquet(f"{late_path}/{own}")
+    batch.filter(~late).write.mode("overwrite").parquet(f"{path}/{own}")
+    batch.agg(F.max(event_time).alias("newest")).write.mode("overwrite").parquet(f"{bounds}/{own}")
+
+
 def split_late(df: DataFrame, *, event_time: str, delay: str, path: str, late_path: str, checkpoint: str,
                trigger: dict = DRAIN) -> StreamingQuery:
-    """Append rows in time to ``path`` and rows that come too late to ``late_path``.
+    """Write rows in time to ``path`` and rows that come too late to ``late_path``, each batch in its ``batch_id`` folder.
 
     Too late means more than ``delay`` behind the newest row of earlier
-    batches, read back from the written table, so a restart does not forget it.
+    batches.  That bound is kept as one row per batch beside the checkpoint, so
+    neither table is read back and a restart does not forget it.  A batch that is
+    replayed looks at earlier batches only and writes its own folders again.
     """
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            newest = spark.read.parquet(path).agg(F.max(event_time).alias("_newest"))
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
-                raise
-            batch.write.mode("append").parquet(path)
-            return
-        bound = newest.collect()[0]["_newest"]
-        limit = F.lit(bound) - F.expr(f"INTERVAL {delay}")
-        late = F.coalesce(F.col(event_time) < limit, F.lit(False))
-        batch.filter(late).write.mode("append").parquet(late_path)
-        batch.filter(~late).write.mode("append").parquet(path)
-
+    write = functools.partial(
+        split_batch, event_time=event_time, delay=delay, path=path, late_path=late_path,
+        bounds=f"{checkpoint.rstrip('/')}-bounds",
+    )
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
@@ -104,15 +115,17 @@ def dropped_by_watermark(query: StreamingQuery) -> int:
     )
 
 
-def stream_upsert(df: DataFrame, path: str, *, key: list[str], checkpoint: str,
+def stream_upsert(df: DataFrame, path: str, *, key: list[str], checkpoint: str, order: list[str] = (),
                   trigger: dict = DRAIN) -> StreamingQuery:
     """Merge each micro-batch into the keyed table at ``path``.
 
-    Merging a batch twice gives the same table, so a replay after a failure is
-    harmless.
+    Of rows of a batch with the same key the latest by ``order`` is merged; without
+    ``order`` a repeated key fails the batch.  Merging a batch twice gives the same
+    table, so a replay after a failure is harmless.
     """
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        upsert(batch.sparkSession, path, batch, key=key)
+        rows = latest_by_key(batch, keys=list(key), order=list(order)) if order else batch
+        upsert(batch.sparkSession, path, rows, key=key)
 
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

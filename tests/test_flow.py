@@ -78,6 +78,53 @@ def test_upsert_replaces_and_adds(spark, rows):
     assert snapshots.read_snapshot(spark, path).count() == 3
 
 
+def test_upsert_leaves_other_buckets_alone(spark, rows):
+    path, schema = scratch_path(spark, "keyed"), "k bigint, v int"
+    snapshots.upsert(spark, path, rows([(i, 0) for i in range(100)], schema), key=["k"], buckets=8)
+    before = snapshots.bucket_folders(spark, path)
+    snapshots.upsert(spark, path, rows([(7, 1)], "k int, v int"), key=["k"])
+    after = snapshots.bucket_folders(spark, path)
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    want = sorted((i, int(i == 7)) for i in range(100))
+    assert sorted(map(tuple, snapshots.read_snapshot(spark, path).collect())) == want
+    assert len(snapshots.vacuum(spark, path)) == 1 and snapshots.vacuum(spark, path) == []
+    assert sorted(map(tuple, snapshots.read_snapshot(spark, path).collect())) == want
+
+
+def test_upsert_of_nothing_and_of_null_keys(spark, rows):
+    path = scratch_path(spark, "keyed")
+    snapshots.upsert(spark, path, rows([], "k string, v int"), key=["k"])
+    assert snapshots.read_snapshot(spark, path).columns == ["k", "v"]
+    for v in (1, 2):
+        snapshots.upsert(spark, path, rows([(None, v), ("a", v)], "k string, v int"), key=["k"])
+    snapshots.upsert(spark, path, rows([], "k string, v int"), key=["k"])
+    assert sorted(map(str, snapshots.read_snapshot(spark, path).collect())) == ["Row(k='a', v=2)", "Row(k=None, v=2)"]
+
+
+def test_streamed_merge_takes_the_latest_of_a_batch(spark, rows):
+    inbox, table, state = (scratch_path(spark, n) for n in ("in", "keyed", "state"))
+    rows([("a", 1, 10), ("a", 2, 20), ("b", 1, 5)], "k string, seq int, v int").coalesce(1).write.parquet(inbox)
+    source = feeds.parquet_stream(spark, inbox, "k string, seq int, v int")
+    feeds.run_to_end(feeds.stream_upsert(source, table, key=["k"], order=["seq"], checkpoint=state))
+    got = snapshots.read_snapshot(spark, table).select("k", "v")
+    assert sorted(map(tuple, got.collect())) == [("a", 20), ("b", 5)]
+
+
+def test_a_replayed_batch_changes_nothing(spark, rows):
+    inbox, out, late, state = (scratch_path(spark, n) for n in ("in", "out", "late", "state"))
+    schema = "id int, ts timestamp"
+    how = {"event_time": "ts", "delay": "1 day", "path": out, "late_path": late}
+    counts = []
+    for i, hours in enumerate((100, 10, 90)):
+        rows([(i, START + dt.timedelta(hours=hours)), (9, None)], schema).coalesce(1).write.mode("append").parquet(inbox)
+        feeds.run_to_end(feeds.split_late(feeds.parquet_stream(spark, inbox, schema), checkpoint=state, **how))
+        counts.append((spark.read.parquet(out).count(), spark.read.parquet(late).count()))
+    assert counts == [(2, 0), (3, 1), (5, 1)]
+    # The last batch is handed out again.
+    feeds.split_batch(rows([(2, START + dt.timedelta(hours=90)), (9, None)], schema), 2, bounds=f"{state}-bounds", **how)
+    assert (spark.read.parquet(out).count(), spark.read.parquet(late).count()) == (5, 1)
+
+
 def test_snapshot_diff(rows):
     old = rows([("a", 1), ("b", 2), ("c", None)], "k string, v int")
     new = rows([("b", 3), ("c", None), ("d", None)], "k string, v int")

@@ -223,3 +223,26 @@ def test_rows_without_key_or_time_stay(rows):
     assert islands.gap_island(df, keys=["market"], ts="delivery_ts", gap_seconds=3700).count() == 6
     frames = {"m": (F.avg("price_eur_mwh"), 2)}
     assert rolling.partitioned_rolling(df, keys=["market"], ts="delivery_ts", frames=frames).count() == 6
+
+
+def test_only_outer_runs_of_a_bucket_go_on(rows):
+    day = dt.datetime(2026, 1, 1)
+    hours = [day + dt.timedelta(days=d, hours=h) for d in range(75) for h in (0, 1, 5, 9, 22, 23) if (d, h) != (31, 0)]
+    df = rows([("NL", t, -1.0, True) for t in hours], "market string, delivery_ts timestamp, price_eur_mwh double, is_negative boolean")
+    runs = df.select("market", F.col("delivery_ts").alias("window_start"), F.col("delivery_ts").alias("window_end"),
+                     F.col("price_eur_mwh").alias("_sum"), F.col("price_eur_mwh").alias("min_price"),
+                     F.lit(1).cast("bigint").alias("hours_count"), F.lit(False).alias("_done"))
+    for bucket in ("day", "month"):
+        runs = islands._join_runs(runs, ["market"], bucket, 3700)
+    left = runs.filter("NOT _done").groupBy(F.trunc("window_start", "month")).count().collect()
+    assert len(left) == 3 and all(r["count"] <= 2 for r in left)
+    # By hand: a new run wherever the step is longer.
+    want, run = [], [hours[0]]
+    for t in hours[1:]:
+        if (t - run[-1]).total_seconds() > 3700:
+            want.append(run)
+            run = []
+        run.append(t)
+    want.append(run)
+    got = islands.negative_windows(df).select("window_start", "window_end", "hours_count").collect()
+    assert sorted(map(tuple, got)) == [(r[0], r[-1], len(r)) for r in want]
