@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -86,26 +86,56 @@ def congestion_level(points: DataFrame, events: DataFrame, *, as_of: Column, poi
     )
 
 
+def _hour_span() -> tuple[Column, Column]:
+    """First and last hour an event touches; one that ends on the hour does not touch the next."""
+    first = F.date_trunc("hour", "start_time")
+    last = F.date_trunc("hour", F.col("end_time") - F.expr("INTERVAL 0.000001 SECOND"))
+    return first, F.greatest(first, last)
+
+
 def event_hours(events: DataFrame) -> DataFrame:
     """One row per event and delivery hour it overlaps.
 
     Turns the interval test into an equality on the hour; the fan-out is the
-    length of an event in hours.  An event that ends on the hour does not touch
-    the next one.
+    length of an event in hours.
     """
-    last = F.date_trunc("hour", F.col("end_time") - F.expr("INTERVAL 0.000001 SECOND"))
-    first = F.date_trunc("hour", "start_time")
-    hours = F.sequence(first, F.greatest(first, last), F.expr("INTERVAL 1 HOUR"))
+    first, last = _hour_span()
+    hours = F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))
     return events.withColumn("delivery_ts", F.explode(hours))
 
 
 def hour_congestion_overlap(hours: DataFrame, events: DataFrame) -> DataFrame:
-    """Each delivery hour with whether, and for how many MW in total, congestion events overlap it."""
-    per_hour = event_hours(events.select("start_time", "end_time", "mw_needed")).groupBy("delivery_ts").agg(
-        F.sum("mw_needed").alias("_mw")
+    """Each delivery hour with whether, and for how many MW in total, congestion events overlap it.
+
+    An event is two rows however long it lasts: its MW are added in its first hour
+    and taken back after its last.  Running sums go over the hours of a day, and
+    over one row per day for what the days before leave open.  Sums are taken to
+    the millionth of a MW, so that what is added and taken back cancels out.
+    """
+    first, last = _hour_span()
+    mw = F.col("mw_needed").cast("decimal(28,6)")
+    ends = events.filter("start_time IS NOT NULL AND end_time IS NOT NULL AND mw_needed IS NOT NULL").select(
+        F.explode(F.array(
+            F.struct(first.alias("delivery_ts"), mw.alias("_mw"), F.lit(1).alias("_n")),
+            F.struct((last + F.expr("INTERVAL 1 HOUR")).alias("delivery_ts"), (-mw).alias("_mw"), F.lit(-1).alias("_n")),
+        )).alias("_e")
+    ).select("_e.*")
+    asked = hours.select("delivery_ts").distinct().filter(F.col("delivery_ts") == F.date_trunc("hour", "delivery_ts"))
+    steps = ends.unionByName(asked.withColumns({"_mw": F.lit(0).cast("decimal(28,6)"), "_n": F.lit(0)})).groupBy(
+        F.to_date("delivery_ts").alias("_day"), "delivery_ts"
+    ).agg(F.sum("_mw").alias("_mw"), F.sum("_n").alias("_n"))
+    days = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    opened = steps.groupBy("_day").agg(F.sum("_mw").alias("_mw"), F.sum("_n").alias("_n")).select(
+        "_day", F.coalesce(F.sum("_mw").over(days), F.lit(0)).alias("_open_mw"), F.coalesce(F.sum("_n").over(days), F.lit(0)).alias("_open")
+    )
+    day = Window.partitionBy("_day").orderBy("delivery_ts").rowsBetween(Window.unboundedPreceding, 0)
+    per_hour = steps.select(
+        "_day", "delivery_ts", F.sum("_mw").over(day).alias("_mw"), F.sum("_n").over(day).alias("_n")
+    ).join(opened, "_day").select(
+        "delivery_ts", (F.col("_open_mw") + F.col("_mw")).cast("double").alias("_mw"), (F.col("_open") + F.col("_n")).alias("_n")
     )
     return hours.join(per_hour, "delivery_ts", "left").select(
         *hours.columns,
-        F.col("_mw").isNotNull().alias("has_gopacs_event"),
+        F.coalesce(F.col("_n") > 0, F.lit(False)).alias("has_gopacs_event"),
         F.coalesce("_mw", F.lit(0.0)).alias("gopacs_requested_mw"),
     )

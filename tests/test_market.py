@@ -246,3 +246,16 @@ def test_only_outer_runs_of_a_bucket_go_on(rows):
     want.append(run)
     got = islands.negative_windows(df).select("window_start", "window_end", "hours_count").collect()
     assert sorted(map(tuple, got)) == [(r[0], r[-1], len(r)) for r in want]
+
+
+def test_an_event_of_a_century(rows):
+    at = dt.datetime(2026, 3, 23)
+    hours = rows([(at + dt.timedelta(hours=h),) for h in range(3)] + [(None,), (at + dt.timedelta(minutes=30),)], "delivery_ts timestamp")
+    ev = rows([(dt.datetime(1960, 1, 1), dt.datetime(2060, 1, 1), 0.1), (at - dt.timedelta(days=2), at + dt.timedelta(hours=1), 0.2),
+               (at, None, 7.0), (at + dt.timedelta(hours=2), at + dt.timedelta(hours=1), 5.0), (at, at, None)],
+              "start_time timestamp, end_time timestamp, mw_needed double")
+    got = {r[0]: (r[1], r[2]) for r in congestion.hour_congestion_overlap(hours, ev).collect()}
+    assert got == {
+        at: (True, 0.3), at + dt.timedelta(hours=1): (True, 0.1), at + dt.timedelta(hours=2): (True, 5.1),
+        None: (False, 0.0), at + dt.timedelta(minutes=30): (False, 0.0),
+    }
