@@ -123,14 +123,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: each round links every node to the
     smallest it sees, with sums by node and joins by node only; the number of rounds is
-    logarithmic.  Rounds are written, so none is computed twice.
+    logarithmic.  Rounds are written, so none is computed twice.  So are the minima: both
+    sides of the join then come straight from a shuffle, and the adaptive skew join can
+    split the rows of a node that most others are linked to.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     now, was = stored(now, "stars"), None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        # An edge belongs to its smaller end's large star; that end moves to its own smallest neighbour, if it has one.
+        least = stored(now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "minima")
+        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = stored(small.select("e.*").filter("u > v").distinct(), "stars")

@@ -116,3 +116,22 @@ def test_near_null_and_repeated_ids(docs):
     assert near_dedup.link(docs([])).count() == 0
     kept = near_dedup.drop_near_copies(docs([(4, text), (2, text), (None, text)]))
     assert rows_of(kept, "doc_id") == [(2,), (None,)] and "_row" in kept.columns
+
+
+def test_components_of_hubs_chains_and_trees(spark):
+    rng = random.Random(11)
+    edges = [(k, 1000) for k in range(1001, 1300)] + [(k, k + 1) for k in range(1, 200)] + [(1299, 2000), (2000, 2001), (5, 5)]
+    edges += [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(300)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        up[high] = low
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long"))
+    assert rows_of(got, "node", "component") == sorted(((x, find(x)) for x in linked), key=str)
