@@ -72,7 +72,9 @@ def scan_versions(
     versions hold it.  ``ledger`` is a table folder of (blob, rules) with findings.  A
     blob that it has under ``rules`` is not read again; of each other blob one
     row's text goes to the scan, and its findings are appended, also when there
-    are none.  Then findings are joined back to all rows by blob.
+    are none.  Then findings are joined back to all rows by blob; they are written
+    before, so that both sides come straight from a shuffle and the adaptive skew join
+    can split the rows of a blob with many paths.
 
     What decides is narrow (path, blob); only texts to be scanned are taken
     on.  A scan that is run twice at once may append a blob twice; equal rows are
@@ -90,7 +92,7 @@ def scan_versions(
     new = texts.join(unseen, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("owner")), "left_semi")
     scanned = new.select("blob", "text").mapInArrow(_scan, _LEDGER.rpartition(",")[0])
     scanned.withColumn("rules", F.lit(rules)).write.mode("append").partitionBy("rules").parquet(ledger)
-    found = read_ledger(versions, ledger, rules).dropDuplicates(["blob"])
+    found = stored(read_ledger(versions, ledger, rules).dropDuplicates(["blob"]), "findings")
     return refs.join(found, "blob").select(
         F.col("path").alias(path_col), F.lower(F.hex("blob")).alias("blob"), "n_assign", "n_access", "n_hex", "spans"
     )
