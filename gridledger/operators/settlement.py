@@ -32,6 +32,35 @@ def feat_renewable_share(generation: DataFrame) -> DataFrame:
     )
 
 
+def events_per_day(days: DataFrame, events: DataFrame) -> DataFrame:
+    """Per distinct ``signal_date`` of ``days``: how many events touch it, and their MW.
+
+    An event is two rows however long it lasts: it is added on its first day and taken
+    back after its last (its first, if it has no end).  Running sums go over one row
+    per day, in millionths of a MW, so that what is added and taken back cancels out.
+    """
+    first = F.to_date("start_time")
+    last = F.greatest(first, F.to_date(F.col("end_time") - F.expr("INTERVAL 0.000001 SECOND")))
+    mw = F.coalesce("mw_needed", F.lit(0.0)).cast("decimal(28,6)")
+    steps = events.filter("start_time IS NOT NULL").select(
+        F.explode(F.array(
+            F.struct(first.alias("signal_date"), mw.alias("_mw"), F.lit(1).alias("_n")),
+            F.struct(F.date_add(last, 1).alias("signal_date"), (-mw).alias("_mw"), F.lit(-1).alias("_n")),
+        )).alias("_e")
+    ).select("_e.*", F.lit(False).alias("_asked"))
+    asked = days.filter("signal_date IS NOT NULL").distinct().select(
+        "signal_date", F.lit(0).cast("decimal(28,6)").alias("_mw"), F.lit(0).alias("_n"), F.lit(True).alias("_asked")
+    )
+    per_day = steps.unionByName(asked).groupBy("signal_date").agg(
+        F.sum("_mw").alias("_mw"), F.sum("_n").alias("_n"), F.bool_or("_asked").alias("_asked")
+    )
+    so_far = Window.orderBy("signal_date").rowsBetween(Window.unboundedPreceding, 0)
+    return per_day.select(
+        "signal_date", "_asked", F.sum("_n").over(so_far).alias("gopacs_events_count"),
+        F.sum("_mw").over(so_far).cast("double").alias("gopacs_total_mw"),
+    ).filter("_asked").drop("_asked")
+
+
 def daily_market_risk(prices: DataFrame, generation: DataFrame, events: DataFrame) -> DataFrame:
     """One row per market and day: level, volatility, counts, capture rates, congestion, risk level."""
     wind = F.col("wind_onshore_mw") + F.col("wind_offshore_mw")
@@ -45,12 +74,7 @@ def daily_market_risk(prices: DataFrame, generation: DataFrame, events: DataFram
         F.try_divide(F.sum(price * F.col("_wind")), F.sum("_wind")).alias("_wind_price"),
         F.try_divide(F.sum(price * F.col("_solar")), F.sum("_solar")).alias("_solar_price"),
     )
-    # An event counts on every day it touches; its fan-out is its length in days.
-    last = F.to_date(F.col("end_time") - F.expr("INTERVAL 0.000001 SECOND"))
-    days = F.sequence(F.to_date("start_time"), F.greatest(F.to_date("start_time"), last))
-    per_day = events.select(F.explode(days).alias("signal_date"), "mw_needed").groupBy("signal_date").agg(
-        F.count(F.lit(1)).alias("gopacs_events_count"), F.sum("mw_needed").alias("gopacs_total_mw")
-    )
+    per_day = events_per_day(prices.select(F.col("delivery_date").alias("signal_date")), events)
     out = daily.join(per_day, "signal_date", "left").select(
         "market", "signal_date", "daily_avg_price", "daily_volatility", "negative_price_hours", "price_spike_hours",
         F.try_divide("_wind_price", "daily_avg_price").alias("capture_rate_wind"),

@@ -73,7 +73,12 @@ def congestion_rows(envelopes: DataFrame) -> DataFrame:
 
 def silver_congestion(envelopes: DataFrame) -> DataFrame:
     """Typed congestion events, one row per event: the latest delivery wins."""
-    return latest_by_key(congestion_rows(envelopes), keys=["event_id"], order=["ingestion_ts"])
+    return latest_events(congestion_rows(envelopes))
+
+
+def latest_events(deliveries: DataFrame) -> DataFrame:
+    """The latest delivery of each congestion event; the rule of batch and stream alike."""
+    return latest_by_key(deliveries, keys=["event_id"], order=["ingestion_ts"])
 
 
 def latest_by_key(df: DataFrame, *, keys: list[str], order: list[str]) -> DataFrame:

@@ -8,9 +8,9 @@ from .. import fixed_values as V
 from .. import schemas as S
 from ..operators import gold, rolling
 from ..operators.quality import expect
-from ..operators.silver import congestion_rows, latest_by_key, silver_congestion, silver_generation, silver_prices
+from ..operators.silver import congestion_rows, latest_by_key, latest_events, silver_congestion, silver_generation, silver_prices
 from ..sources.envelopes import read_envelopes
-from ..streaming.feeds import DRAIN, append_stream, run_to_end, stream_dedupe
+from ..streaming.feeds import DRAIN, append_stream, run_to_end
 
 FEEDS = {
     "prices": (S.PRICE_ENVELOPE, silver_prices, V.PRICE_RULES),
@@ -49,17 +49,22 @@ def run(spark: SparkSession, in_dir: str, out_dir: str) -> None:
 def run_streams(spark: SparkSession, in_dir: str, out_dir: str, *, trigger: dict = DRAIN) -> None:
     """Drain the raw folders into the conformed tables, then recompute the derived ones.
 
-    Started again, it picks up only files that are new.
+    Started again, it picks up only files that are new.  Congestion events come in many
+    deliveries, and the latest counts: all are appended as delivered, and the conformed
+    table is made from them as in the batch.
     """
     queries = []
     for name, (schema, parse, rules) in FEEDS.items():
         raw = read_envelopes(spark, f"{in_dir}/{name}", schema=schema, stream=True)
-        rows = stream_dedupe(congestion_rows(raw)) if name == "congestion" else parse(raw)
+        again = name == "congestion"
         queries.append(append_stream(
-            expect(rows, rules), f"{out_dir}/silver/{name}",
+            congestion_rows(raw) if again else expect(parse(raw), rules),
+            f"{out_dir}/{'deliveries' if again else 'silver'}/{name}",
             checkpoint=f"{out_dir}/_checkpoints/{name}", trigger=trigger,
         ))
     run_to_end(*queries)
+    events = latest_events(spark.read.parquet(f"{out_dir}/deliveries/congestion"))
+    expect(events, V.CONGESTION_RULES).write.mode("overwrite").parquet(f"{out_dir}/silver/congestion")
     finish(spark, out_dir)
 
 

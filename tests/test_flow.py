@@ -193,3 +193,17 @@ def test_a_large_day_does_not_split_others(rows):
     events = rows([("2024-01-01", i) for i in range(40)] + [("2024-01-02", i) for i in range(3)], "day string, event_id int")
     out = envelopes.daily_envelopes(events, date_col="day", order_by=["event_id"], max_rows=4).collect()
     assert sum(r["fetch_date"] == "2024-01-02" for r in out) == 1 and sum(r["fetch_date"] == "2024-01-01" for r in out) > 5
+
+
+def test_latest_delivery_wins_in_batch_and_stream(spark, inbox):
+    row = '[{"event_id": "e1", "dso_zone": "Z", "direction": "%s", "start_time": "2026-03-23T01:00:00Z", ' \
+          '"end_time": "2026-03-23T02:00:00Z", "mw_needed": %s, "price_eur_mwh": 1.0, "status": "active"}]'
+    stream, batch = scratch_path(spark, "lake"), scratch_path(spark, "lake")
+    medallion.run_streams(spark, inbox, stream)
+    for seen, mw, way in (("2999-01-02", 9.0, "downward"), ("2999-01-01", 7.0, "downward")):  # the later one first
+        new = spark.createDataFrame([("c", f"{seen}T00:00:00Z", row % (way, mw))], "source string, ingestion_ts string, raw_payload string")
+        new.write.mode("append").json(f"{inbox}/congestion")
+        medallion.run_streams(spark, inbox, stream)
+    medallion.run(spark, inbox, batch)
+    for lake in (stream, batch):
+        assert [(r.event_id, r.mw_needed) for r in spark.read.parquet(f"{lake}/silver/congestion").collect()] == [("e1", 9.0)]

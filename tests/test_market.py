@@ -259,3 +259,14 @@ def test_an_event_of_a_century(rows):
         at: (True, 0.3), at + dt.timedelta(hours=1): (True, 0.1), at + dt.timedelta(hours=2): (True, 5.1),
         None: (False, 0.0), at + dt.timedelta(minutes=30): (False, 0.0),
     }
+
+
+def test_daily_counts_of_an_event_of_a_century(rows):
+    at = dt.datetime(2026, 3, 23)
+    days = rows([(at.date() + dt.timedelta(days=d),) for d in (0, 1, 2, 2)] + [(None,)], "signal_date date")
+    ev = rows([(dt.datetime(1960, 1, 1), dt.datetime(2060, 1, 1), 0.1), (at - dt.timedelta(days=2), at + dt.timedelta(days=1), 0.2),
+               (at + dt.timedelta(days=1), None, 7.0), (None, at, 9.0), (at + dt.timedelta(days=2), at, 5.0), (at, at, None)],
+              "start_time timestamp, end_time timestamp, mw_needed double")
+    got = {r[0]: (r[1], r[2]) for r in settlement.events_per_day(days, ev).collect()}
+    day = lambda d: at.date() + dt.timedelta(days=d)
+    assert got == {day(0): (3, 0.3), day(1): (2, 7.1), day(2): (2, 5.1)}
