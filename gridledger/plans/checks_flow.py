@@ -400,14 +400,29 @@ def _(spark, sf):
     return _drained(spark, _price_files(spark, sf, flush=False), "appended")
 
 
-@add("stream_bronze_silver", f"SELECT {_PRICE_ROWS}, delivery_date AS fetch_date, TIMESTAMP '2024-02-01 00:00:00' AS ingestion_ts FROM prices")
-def _(spark, sf):
+def _streamed_lake(spark: SparkSession, sf: str) -> str:
+    """The folder of a pipeline run over streams of all three feeds."""
     inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "lake")
     price_envelopes(spark, sf).write.json(f"{inbox}/prices")
     generation_envelopes(spark, sf).write.json(f"{inbox}/generation")
     congestion_envelopes(spark, sf).write.json(f"{inbox}/congestion")
     run_streams(spark, inbox, out)
-    return spark.read.parquet(f"{out}/silver/prices")
+    return out
+
+
+@add("stream_bronze_silver", f"SELECT {_PRICE_ROWS}, delivery_date AS fetch_date, TIMESTAMP '2024-02-01 00:00:00' AS ingestion_ts FROM prices")
+def _(spark, sf):
+    return spark.read.parquet(f"{_streamed_lake(spark, sf)}/silver/prices")
+
+
+@add("stream_bronze_silver_generation", _SILVER_GENERATION_SQL)
+def _(spark, sf):
+    return spark.read.parquet(f"{_streamed_lake(spark, sf)}/silver/generation")
+
+
+@add("stream_bronze_silver_congestion", _SILVER_CONGESTION_SQL)
+def _(spark, sf):
+    return spark.read.parquet(f"{_streamed_lake(spark, sf)}/silver/congestion")
 
 
 @add("stream_dedupe", "SELECT * FROM congestion")
