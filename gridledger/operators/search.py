@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as V
 from .. import schemas as S
+from ..functions import text as X
 
 MAX_QUERY_BLOCK = 4096
 CORPUS_BLOCK_ROWS = 50_000
@@ -187,6 +188,18 @@ def token_overlap_search(queries: DataFrame, chunks: DataFrame, *, k: int = V.SE
     )
 
 
+def token_intersect(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", query: str = "query",
+                    row_key: str = "contract_id", text: str = "text") -> DataFrame:
+    """Number of distinct words that a query and a row share, for every pair that shares one.
+
+    Pairs meet by an equality join on the words, so pairs without a common word are never rows.
+    ``row_key`` names a row: the table has one row per key.
+    """
+    asked = queries.select(query_id, F.explode(X.token_set(F.col(query))).alias("_token"))
+    held = docs.select(row_key, F.explode(X.token_set(F.col(text))).alias("_token"))
+    return held.join(asked, "_token").groupBy(query_id, row_key).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, *, k: int = V.SEARCH_TOP_K,
                   filters: Column | None = None, query_id: str = "query_id", query_vector: str = "query_vector",
                   row_key: str = "vec_id", vector: str = "embedding", columns: list[str] = (), **blocks) -> DataFrame:

@@ -295,6 +295,19 @@ def _(spark, sf):
     return asked.join(docs, "contract_id").select("query_id", "contract_id", shared.alias("shared"))
 
 
+@add("token_intersect_all", """
+SELECT query_id, contract_id, len(list_intersect(q, c)) AS shared FROM query_tokens, (
+  SELECT contract_id, list_distinct(""" + words("lower(text)") + """) AS c
+  FROM (SELECT concat('doc-', doc_id) AS contract_id, text FROM documents))
+WHERE len(list_intersect(q, c)) > 0""")
+def _(spark, sf):
+    # Every question against every document that shares a word with it.
+    docs = D.table(spark, sf, "documents").repartition("doc_id").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("contract_id"), "text"
+    )
+    return search.token_intersect(D.questions(spark, sf), docs)
+
+
 @add("contract_category_filter", """
 SELECT chunk_id, contract_id, risk_category FROM chunks
 WHERE contract_id IN (SELECT concat('doc-', doc_id) FROM labels WHERE quality = 1)

@@ -279,3 +279,10 @@ def test_long_contracts_split_in_linear_space(spark):
         d = spark.sql(f"SELECT 'c' AS contract_id, transform(sequence(0, {lines - 1}), i -> {block}) AS blocks")
         got = sections.split_sections(d).selectExpr("count(*) AS n", "max(length(section_text)) AS longest").first()
         assert got["n"] == lines // 2 and got["longest"] < 100
+
+
+def test_token_intersect_takes_all_documents(rows):
+    asked = rows([(1, "Power price power"), (2, "nothing else"), (3, None)], "query_id long, query string")
+    docs = rows([("doc-1", "else"), ("doc-7", "the price of POWER\nprice"), ("doc-8", None)], "contract_id string, text string")
+    got = sorted(map(tuple, search.token_intersect(asked, docs).collect()))
+    assert got == [(1, "doc-7", 2), (2, "doc-1", 1)]
