@@ -66,6 +66,18 @@ def ragas_token_overlap(samples: DataFrame) -> DataFrame:
     )
 
 
+def retrieved_samples(hits: DataFrame) -> DataFrame:
+    """Per question of a hit list: ``id, question, ground_truth`` and its chunks by rank as ``contexts``.
+
+    The question is the ground truth and no part of the contexts, so chunks that do not
+    speak of it score low.
+    """
+    by_rank = F.sort_array(F.collect_list(F.struct("rank", "chunk_text")))
+    return hits.groupBy(F.col("query_id").alias("id"), F.col("query").alias("question")).agg(
+        F.transform(by_rank, lambda h: h["chunk_text"]).alias("contexts")
+    ).withColumn("ground_truth", F.col("question"))
+
+
 def eval_heuristics(samples: DataFrame) -> DataFrame:
     """Mean of the three scores, rounded half-even to three digits."""
     scores = ragas_token_overlap(samples)

@@ -527,6 +527,42 @@ def _(spark, sf):
     return evaluation.eval_gate(evaluation.eval_heuristics(_samples(spark, sf)))
 
 
+def _retrieved(spark, sf):
+    """Questions answered by their best clause; the contexts are the retrieved chunks, best first."""
+    best = D.clauses(spark, sf).filter("rerank_rank = 1").select("query_id", F.col("chunk_text").alias("answer"))
+    return evaluation.retrieved_samples(D.hits(spark, sf)).join(best, F.col("id") == F.col("query_id")).drop("query_id")
+
+
+_RETRIEVED_SQL = f"""
+SELECT id, CASE WHEN {strip('ctx')} = '' THEN 0.5 ELSE {_overlap('answer', 'ctx')} END AS faithfulness,
+       {_overlap('answer', 'question')} AS answer_relevancy,
+       CASE WHEN {strip('ctx')} = '' THEN 0.5 ELSE {_overlap('ctx', 'question')} END AS context_precision
+FROM (SELECT query_id AS id, query AS question, string_agg(chunk_text, ' ' ORDER BY rank) AS ctx FROM hits GROUP BY ALL)
+JOIN (SELECT query_id AS id, chunk_text AS answer FROM clauses WHERE rerank_rank = 1) USING (id)"""
+_RETRIEVED_MEANS_SQL = f"""
+SELECT round_even(avg(faithfulness), 3) AS faithfulness, round_even(avg(answer_relevancy), 3) AS answer_relevancy,
+       round_even(avg(context_precision), 3) AS context_precision FROM ({_RETRIEVED_SQL})"""
+
+
+@add("ragas_retrieved", f"""
+SELECT id, round(faithfulness, 6) AS faithfulness, round(answer_relevancy, 6) AS answer_relevancy,
+       round(context_precision, 6) AS context_precision FROM ({_RETRIEVED_SQL})""")
+def _(spark, sf):
+    return rounded(evaluation.ragas_token_overlap(_retrieved(spark, sf)))
+
+
+@add("eval_heuristics_retrieved", _RETRIEVED_MEANS_SQL)
+def _(spark, sf):
+    return evaluation.eval_heuristics(_retrieved(spark, sf))
+
+
+@add("eval_gate_retrieved", "SELECT *, CASE WHEN score >= threshold THEN 'PASS' ELSE 'FAIL' END AS status FROM ("
+     + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS score, {t}::DOUBLE AS threshold FROM ({_RETRIEVED_MEANS_SQL})"
+                          for m, t in V.EVAL_THRESHOLDS.items()) + ")")
+def _(spark, sf):
+    return evaluation.eval_gate(evaluation.eval_heuristics(_retrieved(spark, sf)))
+
+
 @add("answer_length_breakdown", """
 SELECT id, substr(question, 1, 60) AS question, CAST(length(answer) AS INT) AS answer_len,
        CAST(length(question) AS INT) AS ground_truth_len FROM pairs""")

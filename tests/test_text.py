@@ -286,3 +286,12 @@ def test_token_intersect_takes_all_documents(rows):
     docs = rows([("doc-1", "else"), ("doc-7", "the price of POWER\nprice"), ("doc-8", None)], "contract_id string, text string")
     got = sorted(map(tuple, search.token_intersect(asked, docs).collect()))
     assert got == [(1, "doc-7", 2), (2, "doc-1", 1)]
+
+
+def test_bad_contexts_score_low(rows):
+    hits = rows([(1, "price floor", 2, "floor of the price"), (1, "price floor", 1, "price a"), (2, "price floor", 1, "grid works")],
+                "query_id long, query string, rank int, chunk_text string")
+    samples = evaluation.retrieved_samples(hits).withColumn("answer", F.element_at("contexts", 1))
+    assert {r["id"]: r["contexts"] for r in samples.collect()} == {1: ["price a", "floor of the price"], 2: ["grid works"]}
+    got = {r["id"]: tuple(r)[1:] for r in evaluation.ragas_token_overlap(samples).collect()}
+    assert got == {1: (0.4, 0.5, 1.0), 2: (1.0, 0.0, 0.0)}
