@@ -897,6 +897,26 @@ def _(spark, sf):
     return rounded(islands.imbalance_trigger(_imbalance(spark, sf), period_seconds=3600, ratio=0.9))
 
 
+_PRICED = "SELECT market, delivery_ts, price_eur_mwh / 2 AS price_eur_mwh, 1.05::DOUBLE * price_eur_mwh AS imbalance_price FROM prices"
+
+
+@add("imbalance_trigger_published", f"""
+SELECT market, min(delivery_ts) AS window_start, max(delivery_ts) AS window_end, count(*) AS periods,
+       round(avg(imbalance_price), 6) AS avg_imbalance_price
+FROM (SELECT *, sum(b) OVER (PARTITION BY market ORDER BY delivery_ts) AS run
+      FROM (SELECT *, CASE WHEN epoch(delivery_ts) - epoch(lag(delivery_ts) OVER (PARTITION BY market ORDER BY delivery_ts))
+                                > 3600 THEN 1 ELSE 0 END AS b
+            FROM ({_PRICED}) WHERE imbalance_price > 2.0 * price_eur_mwh))
+GROUP BY market, run HAVING count(*) >= 3""")
+def _(spark, sf):
+    # The published ratio; the stand-in imbalance price is above twice the day-ahead price in hours of positive prices.
+    periods = D.prices(spark, sf).select(
+        "market", "delivery_ts", (F.col("price_eur_mwh") / 2).alias("price_eur_mwh"),
+        (F.col("price_eur_mwh") * 1.05).alias("imbalance_price"),
+    )
+    return rounded(islands.imbalance_trigger(periods, period_seconds=3600))
+
+
 @add("get_market_signals", """
 SELECT market, delivery_ts, signal_type, severity, price_eur_mwh FROM signals
 WHERE market = 'view' AND delivery_ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 48 HOUR

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gridledger.functions import market as M
+from gridledger.plans import checks_market
 from gridledger.operators import congestion, eda, gold, islands, quality, risk, rolling, settlement, silver
 
 HOUR = dt.timedelta(hours=1)
@@ -270,3 +271,11 @@ def test_daily_counts_of_an_event_of_a_century(rows):
     got = {r[0]: (r[1], r[2]) for r in settlement.events_per_day(days, ev).collect()}
     day = lambda d: at.date() + dt.timedelta(days=d)
     assert got == {day(0): (3, 0.3), day(1): (2, 7.1), day(2): (2, 5.1)}
+
+
+def test_imbalance_trigger_with_published_ratio(rows):
+    hours = [(f"2024-01-01 {h:02d}:00:00", p) for h, p in enumerate([20.0, 20.1, 25.0, 30.0, 20.0, 21.0, 22.0])]
+    df = rows([("a", t, 10.0, p) for t, p in hours], "market string, t string, price_eur_mwh double, imbalance_price double")
+    got = islands.imbalance_trigger(df.selectExpr("*", "timestamp(t) AS delivery_ts"), period_seconds=3600).collect()
+    assert [(r["window_start"].hour, r["window_end"].hour, r["periods"]) for r in got] == [(1, 3, 3)]
+    assert "imbalance_trigger_published" in checks_market.QUERIES
