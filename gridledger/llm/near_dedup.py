@@ -80,7 +80,7 @@ def signatures(
     docs: DataFrame, *, hashes: int = HASHES, banded: int = BANDED, rows: int = ROWS, bits: int = BITS, words: int = WORDS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per document: ``id, n`` (set size), ``digest`` of the set, ``signature``, ``bands``.
+    """Per document: ``id, h`` (hash of the text), ``n`` (set size), ``digest`` of the set, ``signature``, ``bands``.
 
     Of each of ``hashes`` minima the signature keeps the ``bits`` lowest bits, as
     ``bits`` planes of ``hashes`` bits packed in longs; ``rows`` whole minima of the
@@ -100,17 +100,21 @@ def signatures(
             packed = np.concatenate([np.packbits(p, axis=1) for p in planes], axis=1).copy().view(np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _arrays(packed), _arrays(bands),
                 ],
-                names=["id", "n", "digest", "signature", "bands"],
+                names=["id", "h", "n", "digest", "signature", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(
-        sign, "id long, n long, digest binary, signature array<long>, bands array<long>"
+    return _texts(docs, id_col, text_col).mapInArrow(
+        sign, "id long, h long, n long, digest binary, signature array<long>, bands array<long>"
     )
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+
+
 def floor_of_estimates(percent: int = PERCENT, *, hashes: int = HASHES, bits: int = BITS, sigmas: float = SIGMAS) -> float:
     """The estimate below which a pair of at least ``percent`` similarity lies with negligible probability."""
     chance = 2.0**-bits
@@ -317,8 +321,8 @@ def _intersections(one, other) -> np.ndarray:
     return out
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, shingles) of the documents (id, text) whose id is in ``ids``."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, shingles) of each class ``id`` of ``wanted``, from the document (doc, h) that stands for it."""
     def sets(batches):
         known = _Hash()
         for part in slices(batches):
@@ -327,7 +331,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
             values = pa.array(np.concatenate(found))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>")
+    texts = docs.withColumnRenamed("id", "doc").join(wanted, ["doc", "h"]).dropDuplicates(["doc", "h"])
+    return texts.select("id", "text").mapInArrow(sets, "id long, shingles array<long>")
 
 
 def link(
@@ -336,13 +341,13 @@ def link(
 ) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``.
 
-    1. Documents of one shingle set are a class, named by its smallest id.
+    1. Documents of one shingle set are a class, named by a hash of the set.
     2. Classes that share a band hash are a bucket.  Its members are compared by bit
        counts of their packed signatures, and those whose estimate is not more than
        SIGMAS deviations below the threshold are connected.
     3. What is connected over all buckets is a cluster.  Its members' full sets are made
        from the texts and compared; what reaches the threshold is connected.
-    4. Components of that, with their classes, are the result.
+    4. Components of that, with their classes, are the result, named by their smallest id.
 
     Buckets and clusters are compared in pairs of blocks of bounded size, which give
     at most one edge per row: a group's pairs are never rows, and no task
@@ -350,16 +355,36 @@ def link(
 
     A text without words, or null, has no shingles and is linked with nothing.  A null id can
     not be linked: component_id is null and the row is kept.  Rows that
-    repeat an id are one document: their texts count as linked.  An empty table
-    gives no rows.  Other columns are not read.
+    repeat an id with different texts are judged each by its own text; of a component whose
+    smallest id has several texts one class is kept.  An empty table gives no rows.
+    Other columns are not read.
     """
-    signed = stored(
-        signatures(docs, hashes=hashes, banded=banded, rows=rows, bits=bits, words=words, id_col=id_col, text_col=text_col), "signed"
+    found = _linked(
+        docs, percent=percent, words=words, hashes=hashes, banded=banded, rows=rows, bits=bits, id_col=id_col, text_col=text_col
     )
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _linked(
+    docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS, hashes: int = HASHES, banded: int = BANDED,
+    rows: int = ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``link`` with ``id``, ``n`` and the hash ``h`` of the text; ``id`` names a class until the last step."""
+    made = signatures(docs, hashes=hashes, banded=banded, rows=rows, bits=bits, words=words, id_col=id_col, text_col=text_col)
+    key = F.when(F.col("n") > 0, F.xxhash64("digest"))
+    # The row number holds once it is written: it picks one row of a class, whatever ids and texts repeat.
+    signed = stored(made.withColumn("class", key).withColumn("row", F.monotonically_increasing_id()), "signed")
     named = signed.filter("n > 0 AND id IS NOT NULL")
-    classes = stored(named.groupBy("digest").agg(F.min("id").alias("class")), "classes")
+    second = F.xxhash64(F.lit(7), "digest")
+    grouped = named.groupBy("class").agg(
+        F.min("id").alias("first"), F.min("row").alias("row"), F.min(second).alias("_low"), F.max(second).alias("_high")
+    )
+    one = F.when(F.col("_low") == F.col("_high"), F.col("row")).otherwise(F.raise_error(F.lit("different sets have one hash")))
+    classes = stored(grouped.select("class", "first", one.alias("row")), "classes")
     members = stored(
-        named.join(classes.select("digest", F.col("class").alias("id")), ["digest", "id"]).select("id", "n", "signature", "bands"),
+        named.drop("class").join(classes.select("row", F.col("class").alias("_class")), "row").select(
+            F.col("_class").alias("id"), F.col("id").alias("doc"), "h", "n", "signature", "bands"
+        ),
         "class-signatures",
     )
     band_rows = members.select("id", F.explode("bands").alias("band"))
@@ -369,23 +394,32 @@ def link(
     near = stored(candidates(buckets, percent=percent, least=least, bits=bits).distinct(), "candidates")
 
     clusters = stored(components(near).withColumnRenamed("component", "cluster").withColumnRenamed("node", "id"), "clusters")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stored(shingle_sets(texts, clusters.select("id"), words), "sets")
+    wanted = members.join(clusters, "id", "left_semi").select("id", "doc", "h")
+    sets = stored(shingle_sets(_texts(docs, id_col, text_col), wanted, words), "sets")
     counted = clusters.join(members.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     links = confirmed(sets.join(clusters, "id").join(counted, "cluster"), percent=percent)
-    labels = components(links)
-
-    joined = signed.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    whole = joined.join(labels, F.col("class") == F.col("node"), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
-    return whole.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+    labels = stored(components(links).withColumnRenamed("node", "class"), "labels")
+
+    # From here on by doc_id: a component is led by the class of its smallest id.
+    linked = stored(labels.join(classes.select("class", "first"), "class"), "linked")
+    leads = stored(linked.groupBy("component").agg(F.min(F.struct("first", "class")).alias("lead")), "leads")
+    led = stored(linked.join(leads, "component").select("class", "lead"), "led")
+    alone = F.struct("first", "class")
+    whole = signed.select("id", "h", "n", "class").join(
+        classes.join(led, "class", "left").select("class", F.coalesce("lead", alone).alias("lead")), "class", "left"
     )
+    component = F.when(F.col("id").isNotNull(), F.coalesce("lead.first", "id"))
+    stays = (F.col("lead.first") == F.col("id")) & (F.col("lead.class") == F.col("class"))
+    kept = F.when(F.col("id").isNull() | F.col("lead").isNull(), True).otherwise(stays)
+    return whole.select("id", "h", "n", component.alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with all their columns; see ``link``."""
-    id_col = how.get("id_col", "doc_id")
-    gone = stored(link(docs, **how).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, one document of each group, with all their columns; see ``link``.
+
+    Rows go by id and text, so a text stays though another one under its id is a near copy.
+    """
+    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
+    found = _linked(docs, **how).filter(~F.col("kept"))
+    gone = stored(found.select(F.col("id").alias("_gone"), F.col("h").alias("_text")).distinct(), "gone")
+    return docs.join(gone, (F.col(id_col) == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_text")), "left_anti")

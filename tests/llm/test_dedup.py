@@ -118,6 +118,27 @@ def test_near_null_and_repeated_ids(docs):
     assert rows_of(kept, "doc_id") == [(2,), (None,)] and "_row" in kept.columns
 
 
+def test_near_copies_with_different_texts_under_one_id(docs):
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    texts = [(1, one), (4, one + " end"), (4, other), (4, other), (6, other + " end"), (6, "c d"), (1, one + " more")]
+    got = near_dedup.link(docs(texts))
+    # Of the smallest id's two near texts, 1 and 1, one stays.
+    assert rows_of(got.filter("doc_id > 1"), "doc_id", "component_id", "kept") == sorted(
+        [(4, 1, False), (4, 4, True), (4, 4, True), (6, 4, False), (6, 6, True)], key=str
+    )
+    assert sorted(r.kept for r in got.filter("doc_id = 1").collect()) == [False, True]
+    kept = rows_of(near_dedup.drop_near_copies(docs(texts)), "doc_id", "text")
+    assert len([x for x in kept if x[0] == 1]) == 1 and [x for x in kept if x[0] > 1] == [(4, other), (4, other), (6, "c d")]
+
+
+def test_repeated_ids_do_not_multiply_band_rows(docs, monkeypatch):
+    seen, whole = [], near_dedup.candidates
+    monkeypatch.setattr(near_dedup, "candidates", lambda b, **k: seen.append(b.groupBy("band").count().agg({"count": "max"}).first()[0]) or whole(b, **k))
+    text = [f"w{i}" for i in range(80)]
+    near_dedup.link(docs([(3, " ".join([*text, f"end{k}"])) for k in range(12)]))
+    assert seen == [12]
+
+
 def test_components_of_hubs_chains_and_trees(spark):
     rng = random.Random(11)
     edges = [(k, 1000) for k in range(1001, 1300)] + [(k, k + 1) for k in range(1, 200)] + [(1299, 2000), (2000, 2001), (5, 5)]
