@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, secrets, sharding, token_counts, warc
+from . import exact_dedup, hard_negatives, language_id, mixing, near_dedup, packing, quality, secrets, sharding, simhash, token_counts, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,37 @@ def _(spark, sf):
 @add("op10_mixing")
 def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
+
+
+@add("op11_whitening")
+def _(spark, sf):
+    # A deviation beyond a long's range is null here; the operator has it as a decimal.
+    made = whitening.whiten(table(spark, sf, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@add("op12_simhash")
+def _(spark, sf):
+    return simhash.link(table(spark, sf, "documents"))
+
+
+@add("op13_hard_negatives", """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3""")
+def _(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return hard_negatives.mine(rows.withColumn("label", hard_negatives.rotated(F.col("label"), F.col("vec_id"))))
