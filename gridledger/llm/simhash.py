@@ -141,9 +141,8 @@ def links(prints: DataFrame, *, bits: int = BITS, block: int = BLOCK) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(own[at])], names=["key", "print"])
 
     keyed = stored(prints.select("print").mapInArrow(key, "key long, print long"), "keyed")
-    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
-    # Both sides straight from a shuffle: a key that many share can be split.
-    dealt = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    large = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > block), "large-buckets")
+    dealt = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("print", "key"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
