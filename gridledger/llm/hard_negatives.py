@@ -16,7 +16,7 @@ SCALE, EVERY, POSITIVES, NEGATIVES = 256, 50, 5, 3
 #: A negative's score lies within these percentages of its positive's.
 LOW, HIGH = 50, 95
 #: Streams the rows are dealt to; anchors that a task holds while a stream passes; anchors and rows of one product.
-STREAMS, HELD, ANCHORS, ROWS = 64, 8192, 512, 2048
+STREAMS, HELD, ANCHORS, ROWS = 64, 8192, 512, 1024
 #: Dimensions summed in float32 before a reduction; the residues' primes lie below LIMIT: DIMS * (LIMIT / 2) ** 2 <= 2 ** 24.
 DIMS, LIMIT = 64, 1022
 #: Squared lengths from here on take no part: scores would leave the range that the primes and a long hold.
@@ -137,7 +137,7 @@ def mine(
     primes = primes_over(2 * bound)
 
     anchors = whole_rows.filter(F.col("id") % every == 0).drop("length")
-    stream = stored(_packed(whole_rows.drop("length"), dim).withColumn("g", (F.monotonically_increasing_id() % streams).cast("int")), "vector-stream")
+    stream = stored(_packed(whole_rows.drop("length"), dim).withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(streams)).cast("int")), "vector-stream")
     near = _scan(anchors.withColumn("windows", F.lit(None).cast("array<long>")), stream, dim, primes, bound, parts, streams, positives, None)
     best = Window.partitionBy("anchor").orderBy(F.col("score").desc(), "id", "row")
     chosen = stored(
