@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stored
 
 #: Base rules: fewest words; most per cent of words in repeated 3-word windows.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 #: Divergence rules: fewest words to be judged; largest Jensen-Shannon distances from the nearest reference.
 #: A histogram of n words is off by chance by some 1 / sqrt(n): the word bound is MOST_COMMON + CHANCE / sqrt(n).
 GUARD, MOST_CHARS, MOST_COMMON, CHANCE = 50, 0.30, 0.15, 2.6
-#: Common words of a reference; share of a block's words that makes a word a candidate; words of a block.
-COMMON, SHARE, BLOCK = 50, 0.002, 20_000
+#: Common words of a reference; parts that a language's words are ranked in first; words a task counts before it passes them on.
+COMMON, SALTS, HELD = 50, 4, 200_000
 
 _SPACES, _SYMBOLS, _MARKS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b".,;:!?\"()"
 CLASSES = ["lower", "upper", "digit", "space", "mark", "symbol", "other"]
@@ -84,65 +84,43 @@ def distance(p: np.ndarray, references: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame, *, common: int = COMMON, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Per language: counts of character classes, of its common words, and of all words, over all documents.
+    """Per language: counts of character classes, of its ``common`` most frequent words, and of all words, over all documents.
 
-    A word whose share of a language's words is SHARE or more has that share in
-    some block of them.  So one pass over the texts collects the words that have it in a
-    block, and a second counts those exactly, everywhere.  The driver gets at most
-    ``20 * common`` words a language.  Documents without a language give no reference.
+    One pass over the texts counts every word of every language, exactly: a task passes on its
+    words with their counts, Spark adds them up, and the most frequent (the smaller bytes first of
+    equals) are chosen in two levels, so that of a language no task gets more than ``SALTS * common`` at the end.
+    How the table is partitioned changes nothing.  The driver gets ``common + 8`` rows a
+    language.  Documents without a language give no reference.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
 
-    def frequent(batches):
-        held, size, out = defaultdict(Counter), Counter(), Counter()
-
-        def close(lang):
-            least = max(2, SHARE * size[lang])
-            out.update((lang, w) for w, k in held.pop(lang).items() if k >= least)
-            size.pop(lang)
-
-        for part in slices(batches):
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = plain_words(text.encode())
-                for at in range(0, len(words), BLOCK):  # a long text is several blocks
-                    held[lang].update(words[at : at + BLOCK])
-                    size[lang] += len(words[at : at + BLOCK])
-                    if size[lang] >= BLOCK:
-                        close(lang)
-        for lang in list(held):
-            close(lang)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array(list(out.values()), pa.int64())],
-            names=["lang", "word", "blocks"],
-        )
-
-    found = rows.mapInArrow(frequent, "lang string, word binary, blocks long").groupBy("lang", "word").agg(F.sum("blocks").alias("blocks"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("blocks"), "word"))
-    wanted: dict[str, set[bytes]] = defaultdict(set)
-    for r in found.withColumn("k", first).filter(F.col("k") <= 20 * common).collect():
-        wanted[r.lang].add(bytes(r.word))
-    wanted = dict(wanted)
-
     def counted(batches):
-        words, classes, size = defaultdict(Counter), defaultdict(lambda: np.zeros(7, np.int64)), Counter()
+        words, classes, size, held = defaultdict(Counter), defaultdict(lambda: np.zeros(7, np.int64)), Counter(), 0
         for part in slices(batches):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 data = text.encode()
-                these = plain_words(data)
-                words[lang].update(filter(wanted.get(lang, ()).__contains__, these))
+                these, own = plain_words(data), words[lang]
+                held -= len(own)
+                own.update(these)
+                held += len(own)
                 classes[lang] += class_counts(data)
                 size[lang] += len(these)
+            if held > HELD:  # what comes later is added up by Spark
+                yield _counts([(lang, w, k) for lang, c in words.items() for w, k in c.items()])
+                words.clear()
+                held = 0
         out = [(lang, w, k) for lang, c in words.items() for w, k in c.items()]
         out += [(lang, f" {name}".encode(), int(k)) for lang, c in classes.items() for name, k in zip(CLASSES, c, strict=True)]
-        out += [(lang, b" words", k) for lang, k in size.items()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))],
-            names=["lang", "word", "n"],
-        )
-
-    sums = rows.mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        yield _counts(out + [(lang, b" words", k) for lang, k in size.items()])
+
+    sums = stored(rows.mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    is_word = F.substring("word", 1, 1) != F.lit(b" ")
+    most = sums.filter(is_word).withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
+        most = most.withColumn("k", first).filter(F.col("k") <= common)
     made: dict[str, dict] = defaultdict(lambda: {"classes": np.zeros(7), "words": {}, "n": 0})
-    for r in sums.collect():
+    for r in [*sums.filter(~is_word).collect(), *sorted(most.collect(), key=lambda r: (r.lang, r.k))]:
         word, of = bytes(r.word), made[r.lang]
         if word == b" words":
             of["n"] = r.n
@@ -150,12 +128,14 @@ def references(docs: DataFrame, *, common: int = COMMON, text_col: str = "text",
             of["classes"][CLASSES.index(word[1:].decode())] = r.n
         else:
             of["words"][word] = r.n
-    for of in made.values():
-        most = sorted(of["words"].items(), key=lambda x: (-x[1], x[0]))[:common]
-        of["words"] = dict(most)
     return {lang: of for lang, of in sorted(made.items()) if of["n"]}
 
 
+def _counts(rows) -> pa.RecordBatch:
+    types = (pa.string(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["lang", "word", "n"])
+
+
 _FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double"
 
 

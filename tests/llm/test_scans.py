@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -137,7 +138,8 @@ def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    again = {i + k for i, t in enumerate(threes) if threes.count(t) > 1 for k in range(3)}
+    times = Counter(threes)
+    again = {i + k for i, t in enumerate(threes) if times[t] > 1 for k in range(3)}
     lines = text.split("\n")
     dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(again)
@@ -164,12 +166,92 @@ def test_quality_counts_and_verdicts(docs):
 
 
 def test_common_words_are_exact(docs, monkeypatch):
-    monkeypatch.setattr(quality, "BLOCK", 50)
+    monkeypatch.setattr(quality, "HELD", 50)
     rows = [(i, "the cat, The dog. w%d" % i, "en", "s") for i in range(90)]
     refs = quality.references(docs(rows).repartition(7), common=3)
     assert refs["en"]["words"] == {b"the": 180, b"cat": 90, b"dog": 90} and refs["en"]["n"] == 450
 
 
+def test_references_do_not_depend_on_partitioning(docs):
+    # Every document repeats two words of its own; one word is in few documents but 5 % of all.
+    rows = [(i, " ".join(f"own{i}x{k // 2}" for k in range(120)), "en", "s") for i in range(60)]
+    rows[7] = (7, rows[7][1] + " zebra" * 400, "en", "s")
+    frame = docs(rows)
+    one, many = (quality.references(frame.repartition(n)) for n in (1, 60))
+    assert list(one["en"]["words"].items()) == list(many["en"]["words"].items()) and one["en"]["words"][b"zebra"] == 400
+    assert len(one["en"]["words"]) == 50 and (one["en"]["classes"] == many["en"]["classes"]).all() and one["en"]["n"] == many["en"]["n"]
+
+
+def brute_verdicts(rows):
+    """Kept or not of each (id, text, lang), by plain counting over all rows."""
+    import math
+    import re
+
+    def classes(text):
+        names = ["lower", "upper", "digit", "space", "mark", "symbol", "other"]
+        found = Counter()
+        for c in text:
+            kind = "other" if ord(c) > 127 else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else (
+                "space" if c in " \t\n\x0b\x0c\r" else "mark" if c in ".,;:!?'\"()-" else "symbol")
+            found[kind] += 1
+        return [found[n] for n in names]
+
+    def plain(text):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        return [w for w in re.split(r"[\x20\x09-\x0D.,;:!?\"()]+", low) if w]
+
+    def far(p, q):
+        total = 0
+        for a, b in zip(p, q, strict=True):
+            m = (a + b) / 2
+            total += (a * math.log2(a / m) if a else 0) + (b * math.log2(b / m) if b else 0)
+        return math.sqrt(max(0, total / 2))
+
+    refs = {}
+    for lang in {r[2] for r in rows if r[2] is not None}:
+        texts = [t for _, t, x in rows if x == lang and t is not None]
+        words = Counter(w for t in texts for w in plain(t))
+        most = sorted(words.items(), key=lambda x: (-x[1], x[0].encode()))[:50]
+        marks = [sum(c) for c in zip(*map(classes, texts), strict=True)]
+        n = sum(words.values())
+        shares = [k / n for _, k in most]
+        refs[lang] = ([k / sum(marks) for k in marks], [w for w, _ in most], [*shares, max(0, 1 - sum(shares))])
+    out = []
+    for i, text, _ in rows:
+        text = text or ""
+        n, *_, repeated = brute_quality(text)
+        kept = n >= 50 and 100 * repeated <= 50 * n
+        if kept:
+            own, words = classes(text), Counter(plain(text))
+            size = max(1, sum(words.values()))
+            chars = min(far([k / sum(own) for k in own], r[0]) for r in refs.values())
+            close = []
+            for _, names, shares in refs.values():
+                part = [words[w] / size for w in names]
+                close.append(far([*part, 1 - sum(part)], shares))
+            kept = chars <= 0.30 and min(close) <= 0.15 + 2.6 / math.sqrt(n)
+        out.append((i, kept))
+    return out
+
+
+def test_verdicts_equal_plain_counting(docs):
+    rng = random.Random(12)
+    common = {"en": "the of and to in is that it was for".split(), "de": "der die und in den von zu das mit sich".split()}
+    rows = []
+    for i in range(160):
+        lang = ("en", "de")[i % 2]
+        share = rng.choice([0.5, 0.4, 0.15, 0.0])
+        words = [rng.choice(common[lang]) if rng.random() < share else f"w{rng.randrange(900)}" for _ in range(rng.choice([40, 55, 90, 400, 1500]))]
+        if i % 10 == 0:
+            words = [w.upper() + "###" for w in words]
+        rows.append((i, " ".join(words) + ".", lang))
+    rows += [(200, "é" * 30_000 + " a" * 60, "en"), (201, "the of " * 40_000, None), (202, None, "en"), (203, "", "de")]
+    frame = docs([(*r, "s") for r in rows])
+    got = {(r.doc_id, r.kept) for r in quality.judge(frame, quality.references(frame)).collect()}
+    want = brute_verdicts(rows)
+    assert got == set(want) and 20 < sum(k for _, k in want) < 140
+
+
 def test_distance():
     import numpy as np
 
