@@ -22,11 +22,12 @@ def violations(rules: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(~_holds(r), F.lit(n)) for n, r in rules.items()]))
 
 
-def expect(df: DataFrame, rules: dict[str, str], *, action: str = "drop", observation: Observation | None = None):
+def expect(df: DataFrame, rules: dict[str, str], *, action: str = "drop", observation: Observation | str | None = None):
     """Apply named rules.
 
     ``drop`` keeps rows that satisfy all of them; ``warn`` keeps every row and
-    counts violations in ``observation``; ``quarantine`` returns two frames, the
+    counts violations in ``observation``, or for a stream under that
+    name in its progress (``feeds.observed``); ``quarantine`` returns two frames, the
     good rows and the bad rows with the names of the rules they broke.
     """
     if action == "drop":

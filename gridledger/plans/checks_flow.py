@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import silver
 from ..operators.evaluation import question_answer_pairs
+from ..operators.quality import expect
 from ..session import scratch_path
 from ..sources import envelopes as E
 from ..sources import files, snapshots
 from ..streaming import feeds
+from . import medallion
 from . import views as D
-from .checks_market import _WINDOWS
-from .medallion import run_streams
-from .reference_sql import hourly, tag_case, with_tables
+from .checks_market import _WINDOWS, TIGHT, TIGHT_SQL
+from .reference_sql import PREPARED, hourly, tag_case, text_list, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,46 +179,47 @@ def _(spark, sf):
     return raw.groupBy("market").agg(F.count(F.lit(1)).alias("n_envelopes")).withColumn("columns", F.lit(names))
 
 
+#: Pages of one file of the document feed.
+PAGES_PER_FILE = 40
+
+
 def _document_folder(spark, sf) -> str:
-    """Pages as files, one folder per page number, because a text writer names its files itself."""
+    """Pages bound into text files of some dozens, a folder each, because a text writer names its files itself."""
     path = scratch_path(spark, "documents")
-    D.table(spark, sf, "pages").select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(path)
+    bound = D.table(spark, sf, "pages").select(F.expr(f"page_id div {PAGES_PER_FILE}").alias("file"), "html")
+    bound.repartition("file").write.partitionBy("file").text(path)
     return path
 
 
-def _document_rows(spark, sf, *, stream: bool) -> DataFrame:
-    path = _document_folder(spark, sf)
-    found = files.read_documents(spark, path, stream=stream, glob="*.txt")
-    if stream:
-        found = _drained(spark, found, "documents-bronze")
-    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint")
-    return found.select(page.alias("page_id"), (F.length("contract_id") > 0).alias("named"),
-                        "file_size_bytes", F.col("last_modified").isNotNull().alias("dated"))
+def _files_of(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("contract_id").cast("bigint").alias("file"), "file_size_bytes", F.col("last_modified").isNotNull().alias("dated"),
+        F.endswith("path", F.lit(".txt")).alias("is_text"),
+    )
 
 
-_DOCUMENT_SQL = "SELECT page_id, true AS named, CAST(strlen(html) + 1 AS BIGINT) AS file_size_bytes, true AS dated FROM pages"
+_READ = {"glob": "*.txt", "id_pattern": r"file=([^/]+)/"}
+_DOCUMENT_SQL = f"""
+SELECT page_id // {PAGES_PER_FILE} AS file, CAST(sum(strlen(html) + 1) AS BIGINT) AS file_size_bytes, true AS dated, true AS is_text
+FROM pages {{}} GROUP BY ALL"""
 
 
-@add("src_document_stream", _DOCUMENT_SQL)
+@add("src_document_stream", _DOCUMENT_SQL.format(""))
 def _(spark, sf):
-    return _document_rows(spark, sf, stream=True)
+    found = files.read_documents(spark, _document_folder(spark, sf), stream=True, **_READ)
+    return _files_of(_drained(spark, found, "documents-bronze"))
 
 
-@add("files_sorted", _DOCUMENT_SQL)
+@add("files_sorted", _DOCUMENT_SQL.format(""))
 def _(spark, sf):
-    path = _document_folder(spark, sf)
-    found = files.files_sorted(files.read_documents(spark, path, glob="*.txt"))
-    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint")
-    return found.select(page.alias("page_id"), (F.length("contract_id") > 0).alias("named"), "file_size_bytes",
-                        F.col("last_modified").isNotNull().alias("dated"))
+    return _files_of(files.files_sorted(files.read_documents(spark, _document_folder(spark, sf), **_READ)))
 
 
-@add("src_pdf_dir_filtered", "SELECT count(*) AS n_files FROM pages")
+@add("src_pdf_dir_filtered", _DOCUMENT_SQL.format(f"WHERE page_id // {PAGES_PER_FILE} IN (SELECT item_id FROM benchmark WHERE item_id % 3 <> 0)"))
 def _(spark, sf):
-    # The keep-list names every stem in the folder.
-    path = _document_folder(spark, sf)
-    keep = files.read_documents(spark, path, glob="*.txt").select("contract_id").distinct()
-    return files.read_documents(spark, path, glob="*.txt", keep=keep).agg(F.count(F.lit(1)).alias("n_files"))
+    # The keep-list names some of the files that are there, and some that are not.
+    keep = D.table(spark, sf, "benchmark").filter("item_id % 3 <> 0").select(F.col("item_id").cast("string").alias("contract_id"))
+    return _files_of(files.read_documents(spark, _document_folder(spark, sf), keep=keep, **_READ))
 
 
 @add("src_parquet_chunks", f"SELECT chunk_id, contract_id, {tag_case('lower(chunk_text)')} AS risk_category, false AS missing FROM plain_chunks")
@@ -406,23 +408,93 @@ def _streamed_lake(spark: SparkSession, sf: str) -> str:
     price_envelopes(spark, sf).write.json(f"{inbox}/prices")
     generation_envelopes(spark, sf).write.json(f"{inbox}/generation")
     congestion_envelopes(spark, sf).write.json(f"{inbox}/congestion")
-    run_streams(spark, inbox, out)
+    medallion.run_streams(spark, inbox, out)
     return out
 
 
 @add("stream_bronze_silver", f"SELECT {_PRICE_ROWS}, delivery_date AS fetch_date, TIMESTAMP '2024-02-01 00:00:00' AS ingestion_ts FROM prices")
 def _(spark, sf):
-    return spark.read.parquet(f"{_streamed_lake(spark, sf)}/silver/prices")
+    return medallion.read_table(spark, f"{_streamed_lake(spark, sf)}/silver/prices")
 
 
 @add("stream_bronze_silver_generation", _SILVER_GENERATION_SQL)
 def _(spark, sf):
-    return spark.read.parquet(f"{_streamed_lake(spark, sf)}/silver/generation")
+    return medallion.read_table(spark, f"{_streamed_lake(spark, sf)}/silver/generation")
 
 
 @add("stream_bronze_silver_congestion", _SILVER_CONGESTION_SQL)
 def _(spark, sf):
-    return spark.read.parquet(f"{_streamed_lake(spark, sf)}/silver/congestion")
+    return medallion.read_table(spark, f"{_streamed_lake(spark, sf)}/silver/congestion")
+
+
+@add("stream_bronze_raw", "SELECT market, CAST(delivery_date AS VARCHAR) AS fetch_date, count(*) AS n_rows, true AS readable, true AS has_file "
+     "FROM prices GROUP BY ALL")
+def _(spark, sf):
+    raw = spark.read.parquet(f"{_streamed_lake(spark, sf)}/bronze/prices")
+    return raw.select(
+        "market", "fetch_date", F.json_array_length("raw_payload").cast("bigint").alias("n_rows"),
+        F.col("_rescued").isNull().alias("readable"), F.col("_source_file").isNotNull().alias("has_file"),
+    )
+
+
+#: Documents of one contract file.
+DOCUMENTS_PER_CONTRACT = 50
+_CONTRACT_READ = {"glob": "*.txt", "id_pattern": r"contract=([^/]+)/"}
+
+
+def _contract_folder(spark, sf) -> str:
+    """Contract files as text: the blocks of some dozens of documents, one after the other."""
+    inbox = scratch_path(spark, "contract-inbox")
+    number = F.substring("contract_id", 5, 20).cast("bigint")
+    lines = D.blocks(spark, sf).withColumn("number", number).withColumn("contract", F.concat(F.lit("bundle-"), F.expr(f"number div {DOCUMENTS_PER_CONTRACT}")))
+    lines.repartition("contract").sortWithinPartitions("contract", "number", "block_no").select("contract", "text").write.partitionBy(
+        "contract"
+    ).text(f"{inbox}/contracts")
+    return inbox
+
+
+_BOUND_BLOCKS = f"""
+    SELECT concat('bundle-', n // {DOCUMENTS_PER_CONTRACT}) AS contract_id, 1 AS page,
+           CAST(row_number() OVER (PARTITION BY n // {DOCUMENTS_PER_CONTRACT} ORDER BY n, block_no) - 1 AS INT) AS block_no, text
+    FROM (SELECT *, CAST(substr(contract_id, 5) AS BIGINT) AS n FROM ({PREPARED['raw_blocks'].strip()}))"""
+_CHUNKS_SQL = with_tables("SELECT * FROM chunks").replace(PREPARED["raw_blocks"].strip(), _BOUND_BLOCKS.strip())
+
+
+ORACLES["stream_bronze_silver_documents"] = _CHUNKS_SQL
+ORACLES["stream_chunk_rules"] = _CHUNKS_SQL.replace("SELECT * FROM chunks", """
+SELECT 'contract_chunks' AS "table", unnest(['non_null_chunk_text', 'non_null_contract_id']) AS rule,
+       unnest([count(*) FILTER (WHERE chunk_text IS NULL), count(*) FILTER (WHERE contract_id IS NULL)]) AS failed FROM chunks""")
+
+
+@add("stream_bronze_silver_documents")
+def _(spark, sf):
+    inbox, out = _contract_folder(spark, sf), scratch_path(spark, "lake")
+    medallion.drain_documents(spark, inbox, out, extractor=medallion.plain_text, max_files=40, **_CONTRACT_READ)
+    return medallion.contract_chunks(spark, out)
+
+
+@add("stream_chunk_rules")
+def _(spark, sf):
+    inbox, out = _contract_folder(spark, sf), scratch_path(spark, "lake")
+    medallion.drain_documents(spark, inbox, out, extractor=medallion.plain_text, **_CONTRACT_READ)
+    return spark.read.parquet(f"{out}/metrics").groupBy("table", "rule").agg(F.sum("failed").alias("failed"))
+
+
+@add("expect_warn_counts", f"""
+SELECT how, rule, CASE rule WHEN 'valid_price_range' THEN n ELSE 0 END AS failed FROM
+  (SELECT count(*) FILTER (WHERE NOT ({TIGHT_SQL})) AS n FROM prices), unnest(['batch', 'stream']) AS h(how),
+  unnest({text_list(TIGHT)}) AS r(rule)""")
+def _(spark, sf):
+    """What a batch and a stream observed while they passed all rows on."""
+    rows = D.prices(spark, sf)
+    path, out, seen = scratch_path(spark, "price-files"), scratch_path(spark, "warned"), Observation()
+    expect(rows, TIGHT, action="warn", observation=seen).write.parquet(path)
+    stream = expect(feeds.parquet_stream(spark, path, rows.schema), TIGHT, action="warn", observation="price_rules")
+    query = feeds.append_stream(stream, out, checkpoint=scratch_path(spark, "state"))
+    feeds.run_to_end(query)
+    found = {"batch": seen.get, "stream": feeds.observed(query, "price_rules")}
+    counts = [(how, rule, int(n)) for how, rules in found.items() for rule, n in rules.items()]
+    return spark.createDataFrame(counts, "how string, rule string, failed long")
 
 
 @add("stream_dedupe", "SELECT * FROM congestion")

@@ -6,20 +6,27 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..operators.joins import join_same
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..operators.joins import join_same
+
+#: Column with the text of a line that could not be read.
+RESCUED = "_rescued"
 
 
 def read_envelopes(spark: SparkSession, path: str, *, schema: T.StructType = S.PRICE_ENVELOPE,
-                   stream: bool = False, max_files: int | None = None) -> DataFrame:
+                   stream: bool = False, max_files: int | None = None, rescue: bool = False) -> DataFrame:
     """Envelopes with the time they were read and the file they came from.
 
-    As a stream, a directory is read incrementally: each file once.
+    As a stream, a directory is read incrementally: each file once.  With ``rescue`` a line
+    that is no envelope keeps its text in a column ``_rescued``, NULL for all others.
     """
+    if rescue:
+        schema = T.StructType([*schema.fields, T.StructField(RESCUED, T.StringType())])
     reader = (spark.readStream if stream else spark.read).schema(schema)
+    if rescue:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RESCUED)
     if stream and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path).withColumns({

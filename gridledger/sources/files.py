@@ -17,20 +17,24 @@ _BINARY = "path string, modificationTime timestamp, length bigint, content binar
 
 
 def read_documents(spark: SparkSession, path: str, *, stream: bool = False, glob: str = "*.pdf",
-                   keep: list[str] | DataFrame | None = None, content: bool = False) -> DataFrame:
+                   keep: list[str] | DataFrame | None = None, content: bool = False,
+                   id_pattern: str | None = None, max_files: int | None = None) -> DataFrame:
     """Document files as (path, last_modified, file_size_bytes, contract_id, ingestion_ts).
 
+    The contract id is the file's stem, or the first group of ``id_pattern`` in its path.
     File contents are read only with ``content``.  ``keep`` restricts to the named
     contract ids; a long list comes as a frame with a contract_id column.
     """
     reader = (spark.readStream.schema(_BINARY) if stream else spark.read).format("binaryFile")
+    if stream and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     files = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     suffix = glob.rsplit(".", 1)[-1]
     out = files.select(
         "path",
         F.col("modificationTime").alias("last_modified"),
         F.col("length").alias("file_size_bytes"),
-        F.regexp_extract("path", rf"([^/]+)\.{suffix}$", 1).alias("contract_id"),
+        F.regexp_extract("path", id_pattern or rf"([^/]+)\.{suffix}$", 1).alias("contract_id"),
         F.current_timestamp().alias("ingestion_ts"),
         *(["content"] if content else []),
     )

@@ -32,6 +32,24 @@ def append_stream(df: DataFrame, path: str, *, checkpoint: str, trigger: dict =
     return writer.trigger(**trigger).start(path)
 
 
+def batch_folders(df: DataFrame, path: str, *, checkpoint: str, trigger: dict = DRAIN) -> StreamingQuery:
+    """Write each micro-batch to its own folder ``batch=N`` of ``path``; a replayed batch overwrites its folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def observed(query: StreamingQuery, name: str) -> dict[str, int]:
+    """Sums of the counts that the batches of a query's recent progress observed under ``name``."""
+    total: dict[str, int] = {}
+    for progress in query.recentProgress:
+        counts = progress.observedMetrics.get(name)
+        for key, n in counts.asDict().items() if counts else ():
+            total[key] = total.get(key, 0) + int(n)
+    return total
+
+
 def checked_rows(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return expect(df, rules, action="drop")
 
