@@ -1,10 +1,4 @@
-"""Top-k search of many queries over a chunk table in one scan.
-
-A batch of queries is scored against every row of a partition and only the
-best ``k`` rows per query leave the partition, so the shuffle carries
-queries x k x partitions rows whatever the size of the corpus.  No query-row
-pair is ever a row of its own.
-"""
+"""Retrieval: the best chunks of a query by shared words, the best vectors by cosine, text to vectors."""
 
 from __future__ import annotations
 
@@ -12,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,147 +14,8 @@ from pyspark.sql import types as T
 from .. import fixed_values as V
 from .. import schemas as S
 from ..functions import text as X
-
-MAX_QUERY_BLOCK = 4096
-CORPUS_BLOCK_ROWS = 50_000
-MAX_SCORE_CELLS = 4_000_000
-
-# Scorers take the query values and return a function from a batch of row
-# values to a matrix, one line per row and one column per query.
-Scorer = Callable[[list], Callable[[pd.Series], np.ndarray]]
-
-
-def token_overlap_scorer(texts: list) -> Callable[[pd.Series], np.ndarray]:
-    """Share of a query's distinct lower-cased words that the row's text holds."""
-    sets = [set((t or "").lower().split()) for t in texts]
-    postings: dict[str, list[int]] = {}
-    for i, tokens in enumerate(sets):
-        for token in tokens:
-            postings.setdefault(token, []).append(i)
-    lists = {t: np.array(ids) for t, ids in postings.items()}
-    sizes = np.maximum([len(s) for s in sets], 1).astype(float)
-    vocabulary = lists.keys()
-
-    def score(batch: pd.Series) -> np.ndarray:
-        counts = np.zeros((len(batch), len(sets)))
-        for row, text in enumerate(batch):
-            if isinstance(text, str):
-                shared = [lists[t] for t in vocabulary & set(text.lower().split())]
-                if shared:
-                    counts[row] = np.bincount(np.concatenate(shared), minlength=len(sets))
-        return counts / sizes
-
-    return score
-
-
-def cosine_scorer(vectors: list) -> Callable[[pd.Series], np.ndarray]:
-    """Cosine similarity in double precision; a zero vector scores 0."""
-    def unit(rows) -> np.ndarray:
-        m = np.stack([np.asarray(r, dtype=float) for r in rows])
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norm == 0, 1.0, norm)
-
-    columns = unit(vectors).T
-    return lambda batch: unit(batch) @ columns
-
-
-def _sortable(keys: pd.Series) -> np.ndarray:
-    return keys.to_numpy() if keys.dtype.kind in "iuf" else keys.to_numpy().astype(str)
-
-
-class _Best:
-    """The best ``k`` rows per query seen so far; ties go to the smaller key."""
-
-    def __init__(self, n_queries: int, k: int, key: str):
-        self.k, self.key = k, key
-        self.kept: list[pd.DataFrame | None] = [None] * n_queries
-
-    def add(self, rows: pd.DataFrame, scores: np.ndarray) -> None:
-        keys = _sortable(rows[self.key])
-        for q, kept in enumerate(self.kept):
-            column = scores[:, q]
-            if len(column) > self.k:
-                bar = np.partition(column, len(column) - self.k)[len(column) - self.k]
-                index = np.nonzero(column >= bar)[0]
-            else:
-                index = np.arange(len(column))
-            if kept is not None and len(kept) == self.k:
-                index = index[column[index] >= kept["score"].iloc[-1]]
-            if not len(index):
-                continue
-            order = np.lexsort((keys[index], -column[index]))[: self.k]
-            fresh = rows.iloc[index[order]].assign(score=column[index[order]])
-            merged = fresh if kept is None else pd.concat([kept, fresh], ignore_index=True)
-            merged = merged.iloc[np.lexsort((_sortable(merged[self.key]), -merged["score"].to_numpy()))[: self.k]]
-            self.kept[q] = merged.reset_index(drop=True)
-
-    def rows(self, query_ids: list, query_column: str) -> pd.DataFrame | None:
-        parts = [p.assign(**{query_column: i}) for i, p in zip(query_ids, self.kept, strict=True) if p is not None]
-        return pd.concat(parts, ignore_index=True) if parts else None
-
-
-def scan_topk(queries: DataFrame, corpus: DataFrame, *, k: int, scorer: Scorer, query_id: str, query_value: str,
-              row_key: str, row_value: str, columns: list[str],
-              max_query_block: int = MAX_QUERY_BLOCK, corpus_block_rows: int = CORPUS_BLOCK_ROWS) -> DataFrame:
-    """Best ``k`` rows of ``corpus`` for every query, with their rank and score.
-
-    Runs one small action: it fetches at most ``max_query_block`` + 1 queries to
-    see whether they fit one batch.  If so the batch travels with the task and
-    the corpus is scanned in place.  If not, queries and corpus are both hashed
-    into bounded blocks and every pair of blocks is one task; the result is the
-    same.
-    """
-    kept = list(dict.fromkeys([row_key, *columns]))
-    source = corpus.select(*dict.fromkeys([*kept, row_value]))
-    asked = queries.select(query_id, query_value)
-    fields = [source.schema[c] for c in kept] + [
-        T.StructField("score", T.DoubleType()), asked.schema[query_id],
-    ]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    order = [f.name for f in schema]
-
-    sample = asked.limit(max_query_block + 1).collect()
-    if len(sample) <= max_query_block:
-        ids = [r[0] for r in sample]
-        values = [r[1] for r in sample]
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if not ids:
-                return
-            score, best = scorer(values), _Best(len(ids), k, row_key)
-            rows = max(1, MAX_SCORE_CELLS // len(ids))
-            for batch in batches:
-                for first in range(0, len(batch), rows):
-                    part = batch.iloc[first : first + rows]
-                    best.add(part[kept], score(part[row_value]))
-            out = best.rows(ids, query_id)
-            if out is not None:
-                yield out[order]
-
-        found = source.mapInPandas(scan, schema)
-    else:
-        n_query = -(-asked.count() // (max_query_block // 2))
-        n_corpus = max(1, -(-source.count() // corpus_block_rows))
-        left = asked.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(n_query).cast("bigint"))).withColumn(
-            "_cb", F.explode(F.sequence(F.lit(0), F.lit(n_corpus - 1)))
-        )
-        right = source.withColumn("_cb", F.pmod(F.xxhash64(row_key), F.lit(n_corpus)).cast("int")).withColumn(
-            "_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_query - 1).cast("bigint")))
-        )
-
-        def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or c.empty:
-                return pd.DataFrame(columns=order)
-            score, best = scorer(list(q[query_value])), _Best(len(q), k, row_key)
-            rows = max(1, MAX_SCORE_CELLS // len(q))
-            for first in range(0, len(c), rows):
-                part = c.iloc[first : first + rows]
-                best.add(part[kept], score(part[row_value]))
-            return best.rows(list(q[query_id]), query_id)[order]
-
-        found = left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(pair, schema)
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), row_key)
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+from .token_index import TokenIndex, index_of, search_index
+from .vector_index import VectorIndex, build_cells, search_cells
 
 
 def contract_category_filter(chunks: DataFrame, *, contract_ids: list[str] | DataFrame | None = None,
@@ -177,15 +33,18 @@ def contract_category_filter(chunks: DataFrame, *, contract_ids: list[str] | Dat
     return chunks
 
 
-def token_overlap_search(queries: DataFrame, chunks: DataFrame, *, k: int = V.SEARCH_TOP_K,
-                         contract_ids=None, categories=None, query_id: str = "query_id",
-                         query: str = "query", **blocks) -> DataFrame:
-    """Best ``k`` chunks per query by shared words; chunks without a shared word fill up with score 0."""
-    return scan_topk(
-        queries, contract_category_filter(chunks, contract_ids=contract_ids, categories=categories),
-        k=k, scorer=token_overlap_scorer, query_id=query_id, query_value=query,
-        row_key="chunk_id", row_value="chunk_text", columns=S.HIT_COLUMNS, **blocks,
-    )
+def token_overlap_search(queries: DataFrame, chunks: DataFrame | TokenIndex, *, k: int = V.SEARCH_TOP_K,
+                         contract_ids=None, categories=None, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """Best ``k`` chunks per query by shared words; chunks without a shared word fill up with score 0.
+
+    ``chunks`` is a written index or a chunk table, which is indexed first; so is the part of an
+    index that a filter leaves.
+    """
+    if contract_ids or categories or not isinstance(chunks, TokenIndex):
+        rows = chunks.rows if isinstance(chunks, TokenIndex) else chunks
+        rows = contract_category_filter(rows, contract_ids=contract_ids, categories=categories)
+        chunks = index_of(rows, key="chunk_id", text="chunk_text", columns=S.HIT_COLUMNS)
+    return search_index(queries, chunks, k=k, query_id=query_id, query=query)
 
 
 def token_intersect(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", query: str = "query",
@@ -200,15 +59,21 @@ def token_intersect(queries: DataFrame, docs: DataFrame, *, query_id: str = "que
     return held.join(asked, "_token").groupBy(query_id, row_key).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, *, k: int = V.SEARCH_TOP_K,
-                  filters: Column | None = None, query_id: str = "query_id", query_vector: str = "query_vector",
-                  row_key: str = "vec_id", vector: str = "embedding", columns: list[str] = (), **blocks) -> DataFrame:
-    """Exact cosine top ``k`` per query vector, optionally over a filtered part of the table."""
-    rows = vectors if filters is None else vectors.filter(filters)
-    return scan_topk(
-        queries, rows, k=k, scorer=cosine_scorer, query_id=query_id, query_value=query_vector,
-        row_key=row_key, row_value=vector, columns=list(columns), **blocks,
-    )
+def vector_search(queries: DataFrame, vectors: DataFrame | VectorIndex, *, k: int = V.SEARCH_TOP_K,
+                  filters: Column | None = None, probes: int | None = None, query_id: str = "query_id",
+                  query_vector: str = "query_vector", row_key: str = "vec_id", vector: str = "embedding",
+                  columns: list[str] = (), **cells) -> DataFrame:
+    """Cosine top ``k`` per query vector, optionally over a filtered part of the table.
+
+    Exact by default; with ``probes`` each query looks into so many nearest cells only.
+    ``vectors`` is a written index or a table, which is dealt to cells first.
+    """
+    if not isinstance(vectors, VectorIndex):
+        rows = vectors if filters is None else vectors.filter(filters)
+        vectors = build_cells(rows, key=row_key, vector=vector, columns=list(columns), **cells)
+    elif filters is not None:
+        raise ValueError("filter the table before it is indexed")
+    return search_cells(queries, vectors, k=k, probes=probes, query_id=query_id, query_vector=query_vector)
 
 
 def query_contract_clauses(queries: DataFrame, chunks: DataFrame, *, risk_category: str | None = None,
@@ -235,28 +100,25 @@ def embed_text(df: DataFrame, *, key: str, text: str, dim: int = 256,
     """Text to unit vectors (``embedding``), by a user's model or by hashed word counts.
 
     The model maps a series of texts to a series of float lists and is called
-    with one Arrow batch at a time.
+    with one Arrow batch at a time.  A word's slot is its MD5 modulo ``dim``,
+    an expression; only slot numbers go to Python, where a batch is counted at once.
     """
-    if model is None:
-        def model(texts: pd.Series) -> pd.Series:
-            return _hashed_counts(texts, dim)
-
-    embed = F.pandas_udf(model, T.ArrayType(T.DoubleType()))
-    return df.select(key, embed(F.col(text)).alias("embedding"))
-
-
-def _hashed_counts(texts: pd.Series, dim: int) -> pd.Series:
-    import hashlib
-
-    slots: dict[str, int] = {}
-    out = []
-    for text in texts:
-        counts = np.zeros(dim)
-        for token in (text or "").lower().split():
-            slot = slots.get(token)
-            if slot is None:
-                slot = slots[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-            counts[slot] += 1.0
-        norm = np.sqrt((counts * counts).sum())
-        out.append(counts / norm if norm else counts)
-    return pd.Series(out)
+    if model is not None:
+        embed = F.pandas_udf(model, T.ArrayType(T.DoubleType()))
+        return df.select(key, embed(F.col(text)).alias("embedding"))
+    slot = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    slots = df.select(key, F.transform(X.words(F.lower(F.coalesce(text, F.lit("")))), slot).alias("_slots"))
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column(1)
+            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            at = row * dim + lists.flatten().to_numpy()
+            counts = np.bincount(at, minlength=n * dim).reshape(n, dim).astype(float)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            unit = counts / np.where(norm == 0, 1.0, norm)
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(unit.reshape(-1)))], names=[key, "embedding"])
+
+    kind = df.schema[key].dataType
+    return slots.mapInArrow(count, T.StructType([T.StructField(key, kind), T.StructField("embedding", T.ArrayType(T.DoubleType()))]))

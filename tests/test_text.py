@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridledger import fixed_values as V
 from gridledger.functions import text as X
-from gridledger.operators import corpus, evaluation, report, rerank, risk, search, sections
+from gridledger.operators import corpus, evaluation, report, rerank, risk, search, sections, token_index, vector_index
 
 
 def column(df, expr):
@@ -136,16 +136,16 @@ def brute_overlap(queries, chunks, k):
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 4])
-def test_search_equals_brute_force(rows, block):
+@pytest.mark.parametrize("bits, first", [(9, 3), (2, 1), (0, 4)])
+def test_search_equals_brute_force(rows, bits, first):
     rnd = random.Random(5)
     pool = [f"w{i}" for i in range(30)] + ["the"] * 15
     chunks = [(f"c{i:03d}", " ".join(rnd.choices(pool, k=rnd.randint(0, 12)))) for i in range(120)]
     queries = [(i, " ".join(rnd.choices(pool, k=rnd.randint(0, 6)))) for i in range(9)]
     corpus_df = rows([(c, "k", "7", "T", None, t) for c, t in chunks],
                      "chunk_id string, contract_id string, clause_id string, section_title string, risk_category string, chunk_text string")
-    got = search.token_overlap_search(rows(queries, "query_id int, query string"), corpus_df, k=5,
-                                      max_query_block=block, corpus_block_rows=30).collect()
+    index = token_index.index_of(corpus_df, key="chunk_id", text="chunk_text", columns=["contract_id"], block_bits=bits)
+    got = token_index.search_index(rows(queries, "query_id int, query string"), index, k=5, first_blocks=first).collect()
     assert {(r["query_id"], r["chunk_id"], round(r["score"], 9), r["rank"]) for r in got} == brute_overlap(queries, chunks, 5)
 
 
@@ -295,3 +295,77 @@ def test_bad_contexts_score_low(rows):
     assert {r["id"]: r["contexts"] for r in samples.collect()} == {1: ["price a", "floor of the price"], 2: ["grid works"]}
     got = {r["id"]: tuple(r)[1:] for r in evaluation.ragas_token_overlap(samples).collect()}
     assert got == {1: (0.4, 0.5, 1.0), 2: (1.0, 0.0, 0.0)}
+
+
+def vectors(rows, n=600, dim=8, seed=4):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    data = rng.standard_normal((n, dim)).round(2)
+    data[5] = 0
+    data[7:11] = data[6]  # ties
+    frame = rows([(f"v{i:04d}", v.tolist(), i % 3) for i, v in enumerate(data)] + [("none", None, 0)], "id string, v array<double>, g int")
+    return data, frame
+
+
+def brute_cosine(data, asked, k):
+    import numpy as np
+
+    norm = lambda m: m / np.where((s := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, s)
+    out = set()
+    for q, scores in enumerate(norm(asked) @ norm(data).T):
+        order = sorted(range(len(scores)), key=lambda i: (-round(scores[i], 12), i))[:k]
+        out |= {(q, f"v{i:04d}", i % 3, r + 1) for r, i in enumerate(order)}
+    return out
+
+
+@pytest.mark.parametrize("cells, part_rows", [(None, 4096), (5, 16), (1, 50)])
+def test_all_cells_give_the_exact_neighbours(rows, cells, part_rows):
+    data, frame = vectors(rows)
+    asked = data[::60].round(1)
+    queries = rows([(i, v.tolist()) for i, v in enumerate(asked)] + [(99, None)], "query_id int, query_vector array<double>")
+    got = search.vector_search(queries, frame, k=7, row_key="id", vector="v", columns=["g"], cells=cells, part_rows=part_rows)
+    assert {(r.query_id, r.id, r.g, r["rank"]) for r in got.collect()} == brute_cosine(data, asked, 7)
+    index = vector_index.build_cells(frame, key="id", vector="v", columns=["g"], spill=3, cells=9, part_rows=part_rows)
+    assert {(r.query_id, r.id, r.g, r["rank"]) for r in search.vector_search(queries, index, k=7).collect()} == brute_cosine(data, asked, 7)
+
+
+def test_near_cells_find_most_neighbours_of_each_query(rows):
+    data, frame = vectors(rows, n=2000)
+    index = vector_index.build_cells(frame, key="id", vector="v", spill=3)
+    assert len(index.centroids) == 45 and index.rows.filter("turn = 0").count() == 2000 and index.rows.count() == 6000
+    queries = rows([(i, v.tolist()) for i, v in enumerate(data[::50])], "query_id int, query_vector array<double>")
+    want = {x[:2] for x in brute_cosine(data, data[::50], 10)}
+    got = {(r.query_id, r.id) for r in search.vector_search(queries, index, k=10, probes=23).collect()}
+    hit = [sum((q, i) in got for p, i in want if p == q) for q in range(40)]
+    assert len(got) == 400 and min(hit) >= 9
+
+
+def test_search_of_little(rows):
+    none = rows([], "id string, v array<double>")
+    queries = rows([(1, [1.0, 0.0])], "query_id int, query_vector array<double>")
+    assert search.vector_search(queries, none, row_key="id", vector="v").count() == 0
+    chunks = rows([("b", None), ("a", "x y")], "chunk_id string, chunk_text string")
+    index = token_index.index_of(chunks, key="chunk_id", text="chunk_text", columns=[])
+    asked = rows([("p", "X"), ("q", None), ("r", "zzz")], "query_id string, query string")
+    got = sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in token_index.search_index(asked, index, k=5).collect())
+    assert got == [("p", 1, "a", 1.0), ("p", 2, "b", 0.0)] + [(q, i + 1, "ab"[i], 0.0) for q in "qr" for i in (0, 1)]
+
+
+def test_search_collects_no_query(rows):
+    chunks = rows([("a", "x y")], "chunk_id string, chunk_text string")
+    index = token_index.index_of(chunks, key="chunk_id", text="chunk_text", columns=[])
+    many = chunks.sparkSession.range(6_000).selectExpr("id AS query_id", "concat('x w', id) AS query")
+    got = token_index.search_index(many, index, k=1)
+    assert got.count() == 6_000 and got.agg(F.min("score")).first()[0] == 0.5
+
+
+def test_hashed_counts_are_unit_vectors(rows):
+    import hashlib
+
+    got = {r.k: r.embedding for r in search.embed_text(rows([(1, "A a b"), (2, None), (3, "")], "k int, t string"), key="k", text="t", dim=16).collect()}
+    want = [0.0] * 16
+    for w in ("a", "a", "b"):
+        want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+    size = sum(x * x for x in want) ** 0.5
+    assert got[1] == pytest.approx([x / size for x in want]) and got[2] == got[3] == [0.0] * 16
