@@ -1,10 +1,9 @@
 """Top-k by shared words over a written inverted index.
 
-The rows of a table are numbered into blocks of rows with about as many distinct words each; a
-posting is a word, a block, and the places in the block whose text holds the word.  A
-block can give a query at most as many shared words as it holds of the query's words at all, and
-no more than its largest row has.  So a query looks into its most promising blocks, and then only
-into those that its k-th best row so far does not rule out.
+The rows of a table are numbered into blocks of rows of about the same length; a block's postings are
+its words and, for each, the places in the block whose text holds it.  A block can give a query at most as many shared words as it holds of the query's words at all, and
+no more than its largest row has.  A task takes blocks of long rows first, and passes over those
+that a query's k-th best row so far rules out.
 """
 
 from __future__ import annotations
@@ -14,54 +13,110 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..session import cut, scratch_path
+from ..session import scratch_path
 
-#: Rows of a block, as a power of two; blocks that a query looks into before it rules others out.
-BLOCK_BITS, FIRST_BLOCKS = 9, 3
+#: Rows of a block, as a power of two.
+BLOCK_BITS = 10
 
 
 class TokenIndex(NamedTuple):
-    """``rows`` (block, slot, key, the table's columns), ``postings`` (token, block, slots), ``blocks`` (block, most)."""
+    """``rows`` (block, slot, key, the table's columns), ``postings`` (block, most, tokens, ends, slots), ``terms`` (token, block, most).
+
+    A block is one row of ``postings``: places of the i-th word end at ``ends[i]`` in ``slots``;
+    ``most`` is the largest number of words of one of its rows.
+    """
 
     rows: DataFrame
     postings: DataFrame
-    blocks: DataFrame
+    terms: DataFrame
     key: str
 
 
 def build_index(rows: DataFrame, path: str, *, key: str, text: str, columns: list[str], block_bits: int = BLOCK_BITS) -> TokenIndex:
     """Write the index of a table to ``path`` and open it.
 
-    Blocks take rows in the order of their number of distinct words, so that the bound of a block is
+    Blocks take rows in the order of their length, so that the bound of a block is
     close for most of its rows; within a block places follow the key, so that the smaller key is the
-    earlier place.  A null text holds no word.
+    earlier place.  A null text holds no word.  One shuffle deals the rows out by length; numbers
+    and postings are made in the tasks that hold the blocks.
     """
-    spark = rows.sparkSession
+    spark, size = rows.sparkSession, 1 << block_bits
     kept = list(dict.fromkeys([key, *columns]))
-    tokens = F.coalesce(X.token_set(F.col(text)), F.array().cast("array<string>"))
-    source = rows.select(*kept, tokens.alias("_tokens")).withColumn("_n", F.size("_tokens"))
-    source.write.parquet(f"{path}/source")
-    source = spark.read.schema(source.schema).parquet(f"{path}/source")
-    ordered = source.repartitionByRange(F.desc("_n"), key).sortWithinPartitions(F.desc("_n"), key)
-    blocked = ordered.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), block_bits))
-    place = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
-    blocked.withColumn("_slot", place.cast("int")).write.parquet(f"{path}/rows")
-    numbered = spark.read.parquet(f"{path}/rows")
-    postings = numbered.select("_block", "_slot", F.explode("_tokens").alias("_token")).groupBy("_token", "_block").agg(
-        F.sort_array(F.collect_list("_slot")).alias("_slots")
+    length = F.coalesce(F.length(text), F.lit(0))
+    dealt = rows.select(*kept, F.col(text).alias("_text"), length.alias("_length")).repartitionByRange(F.desc("_length"), key).sortWithinPartitions(
+        F.desc("_length"), key
     )
-    postings.write.parquet(f"{path}/postings")
-    numbered.groupBy("_block").agg(F.max("_n").alias("_most")).write.parquet(f"{path}/blocks")
+    tokens = F.coalesce(X.token_set(F.col("_text")), F.array().cast("array<string>"))
+    source = dealt.select(F.spark_partition_id().cast("long").alias("_block"), *kept, tokens.alias("_tokens"))
+
+    def number(batches) -> Iterator[pa.RecordBatch]:
+        for turn, block in enumerate(_gathered(batches, size)):
+            block = block.take(pc.sort_indices(block.column(kept_at)))
+            n = block.num_rows
+            number = pa.array(np.full(n, (block.column(0)[0].as_py() << 40) + turn))
+            yield pa.RecordBatch.from_arrays([number, pa.array(np.arange(n, dtype=np.int32)), *block.columns[1:]], names=["_block", "_slot", *block.schema.names[1:]])
+
+    kept_at = 1 + kept.index(key)
+    schema = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_slot", T.IntegerType()), *source.schema.fields[1:]])
+    source.mapInArrow(number, schema).write.parquet(f"{path}/rows")
+    numbered = spark.read.schema(schema).parquet(f"{path}/rows")
+    packed = numbered.select("_block", "_slot", "_tokens").mapInArrow(_postings, _POSTINGS)
+    packed.write.parquet(f"{path}/postings")
+    held = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+    held.select(F.explode("_tokens").alias("_token"), "_block", "_most").write.parquet(f"{path}/terms")
     return open_index(spark, path, key=key)
 
 
+def _gathered(batches, rows: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined and cut to ``rows`` rows each, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        while size + batch.num_rows >= rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, rows - size)]).combine_chunks().to_batches()[0]
+            batch, held, size = batch.slice(rows - size), [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+_POSTINGS = "_block long, _most int, _tokens array<string>, _ends array<int>, _slots array<int>"
+
+
+def _postings(batches) -> Iterator[pa.RecordBatch]:
+    """One row a block of rows whose blocks come one after the other; one that two batches share gives two."""
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)] if len(blocks) else [0]
+        for a, z in zip(edges, edges[1:], strict=False):
+            part = batch.slice(a, z - a)
+            lists = part.column(2)
+            times = np.diff(lists.offsets.to_numpy())
+            words = lists.flatten().dictionary_encode()
+            slot, code = np.repeat(part.column(1).to_numpy(), times), words.indices.to_numpy()
+            ends = np.cumsum(np.bincount(code, minlength=len(words.dictionary))).astype(np.int32)
+            lasts = lambda n: pa.array(np.array([0, n], np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(blocks[a : a + 1]), pa.array([times.max()], pa.int32()),
+                    pa.ListArray.from_arrays(lasts(len(ends)), words.dictionary), pa.ListArray.from_arrays(lasts(len(ends)), pa.array(ends)),
+                    pa.ListArray.from_arrays(lasts(len(slot)), pa.array(slot[np.argsort(code, kind="stable")])),
+                ],
+                names=["_block", "_most", "_tokens", "_ends", "_slots"],
+            )
+
+
 def open_index(spark: SparkSession, path: str, *, key: str) -> TokenIndex:
-    rows = spark.read.parquet(f"{path}/rows").drop("_tokens", "_n")
-    return TokenIndex(rows, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/blocks"), key)
+    rows = spark.read.parquet(f"{path}/rows").drop("_tokens")
+    postings = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+    return TokenIndex(rows, postings, spark.read.schema("_token string, _block long, _most int").parquet(f"{path}/terms"), key)
 
 
 def index_of(rows: DataFrame, *, key: str, text: str, columns: list[str], **how) -> TokenIndex:
@@ -69,73 +124,86 @@ def index_of(rows: DataFrame, *, key: str, text: str, columns: list[str], **how)
     return build_index(rows, scratch_path(rows.sparkSession, "token-index"), key=key, text=text, columns=columns, **how)
 
 
-def search_index(queries: DataFrame, index: TokenIndex, *, k: int, query_id: str = "query_id", query: str = "query",
-                 first_blocks: int = FIRST_BLOCKS) -> DataFrame:
+def search_index(queries: DataFrame, index: TokenIndex, *, k: int, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """Best ``k`` rows of the index for each query by the share of its distinct words, with score and rank.
 
     Ties go to the smaller key; rows without a shared word fill up with score 0.  Exact: a
     block is left out only if no row of it can be among the best ``k``.  Queries stay distributed.
     """
-    asked = queries.select(query_id, F.coalesce(X.token_set(F.col(query)), F.array().cast("array<string>")).alias("_tokens"))
-    terms = asked.select(query_id, F.explode("_tokens").alias("_token"))
-    bounds = cut(
-        terms.join(index.postings.select("_token", "_block"), "_token").groupBy(query_id, "_block").agg(F.count("*").alias("_held"))
-        .join(index.blocks, "_block").select(query_id, "_block", F.least("_held", "_most").alias("_bound"))
+    asked = queries.select(query_id, F.coalesce(X.token_set(F.col(query)), F.array().cast("array<string>")).alias("_words"))
+    words = asked.select(query_id, F.explode("_words").alias("_token"))
+    bounds = words.join(index.terms, "_token").groupBy(query_id, "_block").agg(
+        F.least(F.count("*"), F.max("_most")).alias("_bound")
     )
-    order = Window.partitionBy(query_id).orderBy(F.desc("_bound"), "_block")
-    promising = bounds.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= first_blocks).select(query_id, "_block")
-    first = cut(_block_best(promising, terms, index, k, query_id))
-    by_score = Window.partitionBy(query_id).orderBy(F.desc("_shared"))
-    bar = first.withColumn("_turn", F.row_number().over(by_score)).filter(F.col("_turn") == k).select(query_id, F.col("_shared").alias("_bar"))
-    rest = bounds.join(promising, [query_id, "_block"], "left_anti").join(bar, query_id, "left").filter(
-        F.col("_bound") >= F.coalesce("_bar", F.lit(1))
+    # The smallest keys, as often as can be needed, fill up what is short.
+    leading = index.rows.select(F.struct(index.key, "_block", "_slot").alias("_row")).orderBy(f"_row.{index.key}").limit(2 * k)
+    filled = asked.select(query_id, F.explode(leading.agg(F.collect_list("_row")).scalar()).alias("_row")).select(
+        query_id, "_row._block", "_row._slot", F.lit(0).cast("long").alias("_shared")
     )
-    found = first.unionByName(_block_best(rest.select(query_id, "_block"), terms, index, k, query_id))
+    by_score = Window.partitionBy(query_id).orderBy(F.desc("_shared"))
+    found = _block_best(bounds, asked, index, k, query_id).unionByName(filled).groupBy(query_id, "_block", "_slot").agg(F.max("_shared").alias("_shared"))
     # Rows that tie with the k-th stay until their keys are known.
     near = found.withColumn("_turn", F.rank().over(by_score)).filter(F.col("_turn") <= k).drop("_turn")
-    hits = cut(near.join(index.rows, ["_block", "_slot"]).drop("_block", "_slot"))
-
-    held = hits.groupBy(query_id).agg(F.count("*").alias("_hits"))
-    short = asked.join(held, query_id, "left").filter(F.coalesce("_hits", F.lit(0)) < k).select(query_id)
-    names = [c for c in index.rows.columns if c not in ("_block", "_slot")]
-    leading = index.rows.select(F.struct(index.key, *[c for c in names if c != index.key]).alias("_row")).orderBy("_row." + index.key).limit(2 * k)
-    filled = short.withColumn("_row", F.explode(leading.agg(F.collect_list("_row")).scalar())).select(query_id, F.lit(0).cast("long").alias("_shared"), "_row.*")
-    filled = filled.join(hits.select(query_id, index.key), [query_id, index.key], "left_anti")
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), index.key)
-    score = F.col("_shared") / F.greatest(F.size("_tokens"), F.lit(1))
-    return hits.unionByName(filled.select(*hits.columns)).join(asked, query_id).withColumn("score", score).drop("_shared", "_tokens").withColumn(
+    score = F.col("_shared") / F.greatest(F.size("_words"), F.lit(1))
+    return near.join(index.rows, ["_block", "_slot"]).join(asked, query_id).withColumn("score", score).drop("_block", "_slot", "_shared", "_words").withColumn(
         "rank", F.row_number().over(best)
     ).filter(F.col("rank") <= k)
 
 
-def _block_best(pairs: DataFrame, terms: DataFrame, index: TokenIndex, k: int, query_id: str) -> DataFrame:
-    """The best ``k`` places of each (query, block) of ``pairs`` that share a word: query, block, slot, shared."""
-    places = pairs.join(terms, query_id).join(index.postings, ["_token", "_block"]).groupBy(query_id, "_block").agg(
-        F.flatten(F.collect_list("_slots")).alias("_slots")
+def _block_best(bounds: DataFrame, asked: DataFrame, index: TokenIndex, k: int, query_id: str) -> DataFrame:
+    """The best ``k`` places of each (query, block) of ``bounds`` that is not ruled out: query, block, slot, shared.
+
+    A task has the postings of a block at hand while the queries that look into it pass by, and keeps the
+    k-th best count of each query over the blocks it has seen.
+    """
+    kind = asked.schema[query_id].dataType
+    held = index.postings.select(
+        "_block", F.lit(0).alias("side"), F.lit(0).cast("long").alias("_bound"), F.lit(None).cast(kind).alias("query"), F.col("_tokens").alias("words"), "_ends", "_slots"
+    )
+    none = F.lit(None).cast("array<int>")
+    coming = bounds.join(asked, query_id).select(
+        "_block", F.lit(1).alias("side"), "_bound", F.col(query_id).alias("query"), F.col("_words").alias("words"), none.alias("_ends"), none.alias("_slots")
     )
 
     def count(batches) -> Iterator[pa.RecordBatch]:
+        now, places, best = None, {}, {}
         for batch in batches:
-            slots = batch.column(2)
-            values, ends = slots.values.to_numpy(), slots.offsets.to_numpy()
+            blocks, sides, limits = (batch.column(c).to_numpy() for c in (0, 1, 2))
+            names, words = batch.column(3), batch.column(4)
             which, taken, shared = [], [], []
             for i in range(batch.num_rows):
-                times = np.bincount(values[ends[i] : ends[i + 1]])
-                held = np.flatnonzero(times)
-                if len(held) > k:
-                    bar = np.partition(times[held], len(held) - k)[len(held) - k]
-                    held = held[times[held] >= bar]
-                    held = held[np.argsort(-times[held], kind="stable")[:k]]
-                which.append(np.full(len(held), i))
-                taken.append(held)
-                shared.append(times[held])
-            if not which:
-                continue
-            at = pa.array(np.concatenate(which))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(taken).astype(np.int32)), pa.array(np.concatenate(shared).astype(np.int64))],
-                names=[query_id, "_block", "_slot", "_shared"],
-            )
-
-    kind = places.schema[query_id].dataType.simpleString()
-    return places.mapInArrow(count, f"`{query_id}` {kind}, _block long, _slot int, _shared long")
+                if blocks[i] != now:
+                    now, places = blocks[i], {}
+                if sides[i] == 0:  # a block may come in two pieces
+                    ends, slots = (batch.column(c)[i].values.to_numpy() for c in (5, 6))
+                    for word, a, z in zip(words[i].as_py(), np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
+                        places.setdefault(word, []).append(slots[a:z])
+                    continue
+                name = names[i].as_py()
+                bar = best.get(name)
+                if bar is not None and limits[i] < bar[0]:
+                    continue
+                met = [p for word in words[i].as_py() for p in places.get(word, ())]
+                if not met:
+                    continue
+                times = np.bincount(np.concatenate(met))
+                at = np.flatnonzero(times)
+                if len(at) > k:
+                    at = at[times[at] >= np.partition(times[at], len(at) - k)[len(at) - k]]
+                    at = at[np.argsort(-times[at], kind="stable")[:k]]
+                if len(seen := np.sort(np.append(times[at], [] if bar is None else bar))[-k:]) == k:
+                    best[name] = seen
+                which.append(np.full(len(at), i))
+                taken.append(at)
+                shared.append(times[at])
+            if which:
+                rows = pa.array(np.concatenate(which))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(rows), batch.column(0).take(rows), pa.array(np.concatenate(taken).astype(np.int32)),
+                     pa.array(np.concatenate(shared).astype(np.int64))],
+                    names=[query_id, "_block", "_slot", "_shared"],
+                )
+
+    fields = [T.StructField(query_id, kind), T.StructField("_block", T.LongType()), T.StructField("_slot", T.IntegerType()), T.StructField("_shared", T.LongType())]
+    return held.unionByName(coming).repartition("_block").sortWithinPartitions("_block", "side").mapInArrow(count, T.StructType(fields))

@@ -11,6 +11,7 @@ from .. import fixed_values as V
 from ..functions import text as X
 from .. import schemas as S
 from ..operators import corpus, evaluation, rerank, search, sections, token_index, vector_index
+from ..session import written
 from . import views as D
 from .reference_sql import (
     any_of, has_floor, head_case, in_category, strip, tag_case, text_list, with_tables, words,
@@ -256,7 +257,7 @@ _HIT = "query_id, chunk_id, contract_id, clause_id, section_title, risk_category
 
 def _hits(spark, sf, k):
     found = search.token_overlap_search(D.questions(spark, sf), D.chunk_index(spark, sf), k=k)
-    return rounded(sections.tag_batch(found).drop("chunk_text"), 9)
+    return rounded(sections.tag_batch(written(found, "hits")).drop("chunk_text"), 9)
 
 
 @add("token_overlap_search", f"SELECT {_HIT} FROM hits WHERE rank <= 10")
@@ -273,8 +274,8 @@ def _(spark, sf):
 def _(spark, sf):
     # An index of its own, in small blocks: most are ruled out by their bounds.
     index = token_index.index_of(D.chunk_table(spark, sf), key="chunk_id", text="chunk_text", columns=S.HIT_COLUMNS, block_bits=5)
-    found = token_index.search_index(D.questions(spark, sf), index, k=5, first_blocks=8)
-    return rounded(sections.tag_batch(found).drop("chunk_text"), 9)
+    found = token_index.search_index(D.questions(spark, sf), index, k=5)
+    return rounded(sections.tag_batch(written(found, "hits")).drop("chunk_text"), 9)
 
 
 @add("token_intersect", """
@@ -447,7 +448,7 @@ SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) A
   SELECT doc_id, CAST(('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS INT) AS slot, count(*) AS n
   FROM (SELECT doc_id, unnest({words('lower(text)')}) AS token FROM documents) GROUP BY ALL)""")
 def _(spark, sf):
-    vectors = search.embed_text(D.table(spark, sf, "documents"), key="doc_id", text="text", dim=64)
+    vectors = search.embed_text(D.table(spark, sf, "documents").repartition("doc_id"), key="doc_id", text="text", dim=64)
     long = vectors.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).filter("weight > 0")
     return rounded(long)
 

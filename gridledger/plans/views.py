@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .. import schemas as S
 from ..operators import gold, rerank, risk, search, sections, silver, token_index
-from ..session import kept
+from ..session import kept, written
 
 # Events of each type run on this fuel; the share of renewables then crosses
 # the oversupply threshold in some hours.
@@ -204,11 +204,11 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     """The 15 best chunks per question, with the question's text and market.
 
     Without a filter on the category only the hits need one, so they are tagged
-    after the search.
+    after the search, from a table: the optimizer would look at the tag expressions anew after each stage of it.
     """
     asked = questions(spark, sf)
     found = search.token_overlap_search(asked, chunk_index(spark, sf), k=V.RETRIEVE_TOP_K)
-    return sections.tag_batch(found).join(asked, "query_id")
+    return sections.tag_batch(written(found, "hits")).join(asked, "query_id")
 
 
 def clauses(spark: SparkSession, sf: str) -> DataFrame:

@@ -63,6 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: computed once, where ``cut`` computes it twice."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _KEPT: dict[tuple, str] = {}
 
 
