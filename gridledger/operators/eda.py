@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 
 def neg_by_hour(prices: DataFrame, *, first: int = 0, last: int = 23) -> DataFrame:
     neg = F.col("is_negative").cast("int")
@@ -16,19 +18,69 @@ def neg_by_hour(prices: DataFrame, *, first: int = 0, last: int = 23) -> DataFra
     )
 
 
+#: Values between two boundaries that a round of a selection counts.
+PARTS = 256
+
+
+def order_statistics(df: DataFrame, value: str, ranks: list[int]) -> dict[int, float]:
+    """The values of the given ranks (from 0) among the filled ones of a column of numbers, exactly.
+
+    A round cuts the stretch that still holds a rank into ``PARTS`` equal ones and counts each
+    with its least and greatest value; the one that holds the rank is the next
+    stretch.  It ends where both are equal.  The driver sees ``PARTS`` rows a stretch.
+    """
+    numbers = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    low, high = numbers.agg(F.min("v"), F.max("v")).first()
+    open_ = {rank: (low, high, 0) for rank in ranks} if low is not None else {}
+    while todo := sorted({(a, b, c) for a, b, c in open_.values() if a != b}):
+        pieces = []
+        for number, (a, b, _before) in enumerate(todo):
+            # Halved first: a stretch may be as wide as all doubles.
+            part = F.least(F.floor((F.col("v") / 2 - a / 2) / (b / 2 - a / 2) * PARTS), F.lit(PARTS - 1)).cast("int")
+            pieces.append(F.when(F.col("v").between(a, b), F.struct(F.lit(number).alias("s"), part.alias("p"))))
+        counted = numbers.select("v", F.explode(F.array_compact(F.array(*pieces))).alias("at")).groupBy("at.s", "at.p").agg(
+            F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")
+        )
+        found: dict[int, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: (r["s"], r["p"])):
+            found.setdefault(r["s"], []).append(r)
+        for rank, stretch in list(open_.items()):
+            if stretch[0] == stretch[1]:
+                continue
+            before = stretch[2]
+            for r in found[todo.index(stretch)]:
+                if rank < before + r["n"]:
+                    open_[rank] = (r["a"], r["b"], before)
+                    break
+                before += r["n"]
+    return {rank: a for rank, (a, _b, _before) in open_.items()}
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Quantiles with linear interpolation between neighbours, without a buffer that grows with the table."""
+    n = df.filter(F.col(value).isNotNull()).count()
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    at = order_statistics(df, value, sorted({r for p in places for r in (math.floor(p), math.ceil(p))}))
+    return [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]
+
+
 def describe_stats(prices: DataFrame, *, approximate: bool = False) -> DataFrame:
-    """One row of summary statistics; ``approximate`` swaps exact quartiles for mergeable sketches."""
+    """One row of summary statistics; ``approximate`` takes mergeable sketches for the quartiles, else a few jobs select them."""
     price = F.col("price_eur_mwh")
-    quart = F.percentile_approx if approximate else F.percentile
+    if approximate:
+        quarts = [F.percentile_approx(price, F.lit(q)) for q in (0.25, 0.5, 0.75)]
+    else:
+        values = written(prices.select(price), "prices")
+        quarts = [F.lit(q).cast("double") for q in exact_quantiles(values, "price_eur_mwh", [0.25, 0.5, 0.75])]
     negative = F.when(F.col("is_negative"), price)
     return prices.agg(
         F.count(price).alias("n"),
         F.avg(price).alias("mean"),
         F.stddev_samp(price).alias("std"),
         F.min(price).alias("min"),
-        quart(price, F.lit(0.25)).alias("p25"),
-        quart(price, F.lit(0.5)).alias("p50"),
-        quart(price, F.lit(0.75)).alias("p75"),
+        *[q.alias(name) for q, name in zip(quarts, ("p25", "p50", "p75"), strict=True)],
         F.max(price).alias("max"),
         F.count_if("is_negative").alias("negative_hours"),
         F.avg(F.col("is_negative").cast("int")).alias("negative_share"),

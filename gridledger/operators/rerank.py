@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as V
 from ..functions import text as X
+from .joins import join_same
 
 K1, B = 1.2, 0.75
 
@@ -19,9 +20,8 @@ def bm25_scores(hits: DataFrame, *, query_id: str = "query_id", query: str = "qu
                 passage: str = "chunk_text") -> DataFrame:
     """Add ``rerank_score``: BM25 of each passage within the candidates of its query.
 
-    Document frequency and mean length are those of a query's candidates, a list
-    of fixed length, so one window per query gives both and the candidates are
-    computed only once.
+    Number and mean length of a query's candidates and, per term, how many of them hold it are
+    counted per query and joined back: the work is linear in the candidates, however many a query has.
     """
     counted = hits.withColumn("_words", X.words(F.lower(passage))).withColumns({
         "_n": F.size("_words"),
@@ -29,18 +29,21 @@ def bm25_scores(hits: DataFrame, *, query_id: str = "query_id", query: str = "qu
             X.token_set(F.col(query)), lambda t: F.size(F.filter("_words", lambda w: w == t))
         ),
     }).drop("_words")
-    w = Window.partitionBy(query_id)
-    seen = counted.withColumns({"_all": F.collect_list("_tf").over(w), "_mean": F.avg("_n").over(w)})
-    docs = F.size("_all")
+    sizes = counted.groupBy(query_id).agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"))
+    held = counted.select(query_id, F.posexplode("_tf").alias("_i", "_t")).groupBy(query_id, "_i").agg(F.count_if(F.col("_t") > 0).alias("_df"))
+    listed = held.groupBy(query_id).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_df"))), lambda x: x["_df"]).alias("_held")
+    )
+    seen = join_same(join_same(counted, sizes, [query_id]), listed, [query_id], "left")
     norm = K1 * (1 - B + B * F.col("_n") / F.col("_mean"))
 
     def part(tf, i):
-        df = F.size(F.filter("_all", lambda a: F.get(a, i) > 0))
-        idf = F.log(1 + (docs - df + 0.5) / (df + 0.5))
+        df = F.get("_held", i)
+        idf = F.log(1 + (F.col("_docs") - df + 0.5) / (df + 0.5))
         return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(F.lit(0.0))
 
     total = F.aggregate(F.transform("_tf", part), F.lit(0.0), lambda acc, x: acc + x)
-    return seen.withColumn("rerank_score", total).drop("_tf", "_n", "_all", "_mean")
+    return seen.withColumn("rerank_score", total).drop("_tf", "_n", "_docs", "_held", "_mean")
 
 
 def rerank(hits: DataFrame, *, n: int = V.RERANK_TOP_N,

@@ -1,38 +1,43 @@
 """Row and time frames over long series with few keys.
 
-A plain window over ``partitionBy(market)`` puts a whole market into one task.
-Here each series is cut into blocks of whole days; a block also receives the
-days before it that its first rows look back to (the halo), windows run per
-(key, block), and halo rows are dropped again.  The result is exactly that of
-the plain window.
+A plain window over ``partitionBy(market)`` puts a whole market into one task.  Here a series is cut
+into blocks that are windowed one by one: for row frames, so many rows by their place in the series,
+and the last rows of the block before; for time frames, calendar blocks with the block before.  The
+result is exactly that of the plain window.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as V
+from ..session import written
 from .joins import join_same
 
 
 def with_blocks(df: DataFrame, *, keys: list[str], ts: str, block_rows: int, halo_rows: int) -> DataFrame:
-    """Rows with ``_block`` and ``_own``; rows another block looks back to appear once more, not owned.
+    """Rows with ``_place`` in their series, ``_block`` and ``_own``; a block's last rows appear in the next one too, not owned.
 
-    Only the table of row counts per (key, day) is windowed as a whole: one
-    row per calendar day and key, however many rows the series has.
+    The table is sorted into ranges by key and time, however many rows a day or an instant has, and written,
+    so that a row number holds.  A row's place is its number within its key and range, and what the ranges
+    before have of the key: only those counts are windowed as a whole.  A block of ``block_rows`` places, more than
+    ``halo_rows``, hands its last ``halo_rows`` on.  A NULL key or time sorts first and stays.
     """
-    days = df.groupBy(*keys, F.to_date(ts).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    days = days.withColumn("_first", first).withColumn("_home", F.floor(F.col("_first") / block_rows))
-    # Block k starts at row k * block_rows or a little later; a day is needed
-    # there if its last row is at most halo_rows before that.
-    reach = F.floor((F.col("_first") + F.col("_n") + F.lit(halo_rows - 1)) / block_rows)
-    placed = days.select(
-        *keys, "_day", "_home", F.explode(F.sequence("_home", F.greatest("_home", reach))).alias("_block")
-    ).select(*keys, "_day", "_block", (F.col("_block") == F.col("_home")).alias("_own"))
-    return join_same(df.withColumn("_day", F.to_date(ts)), placed, [*keys, "_day"]).drop("_day")
+    ranged = df.repartitionByRange(*keys, ts).sortWithinPartitions(*keys, ts).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(ranged, "ranged").withColumn("_range", F.shiftright("_row", 33))
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    placed = join_same(rows, starts, [*keys, "_range"]).withColumn("_place", F.col("_row") + F.col("_start")).drop("_row", "_range", "_start")
+    home = F.floor(F.col("_place") / block_rows)
+    handed = F.col("_place") % block_rows >= block_rows - halo_rows
+    return placed.withColumn("_home", home).withColumn(
+        "_block", F.explode(F.when(handed, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home")))
+    ).withColumn("_own", F.col("_block") == F.col("_home")).drop("_home")
 
 
 def partitioned_rolling(df: DataFrame, *, keys: list[str], ts: str, frames: dict[str, tuple[Column, int]],
@@ -40,9 +45,9 @@ def partitioned_rolling(df: DataFrame, *, keys: list[str], ts: str, frames: dict
     """Add trailing row-frame aggregates: ``frames`` maps a name to (aggregate, frame length in rows)."""
     halo = max(n for _, n in frames.values()) - 1
     blocks = with_blocks(df, keys=keys, ts=ts, block_rows=max(block_rows, halo + 1), halo_rows=halo)
-    w = Window.partitionBy(*keys, "_block").orderBy(ts)
+    w = Window.partitionBy(*keys, "_block").orderBy("_place")
     added = {name: agg.over(w.rowsBetween(1 - n, 0)) for name, (agg, n) in frames.items()}
-    return blocks.withColumns(added).filter("_own").drop("_block", "_own")
+    return blocks.withColumns(added).filter("_own").drop("_block", "_own", "_place")
 
 
 def hourly_price_features(prices: DataFrame, *, keys: list[str] = ("market",), ts: str = "delivery_ts",
@@ -77,18 +82,22 @@ def time_rolling(df: DataFrame, *, keys: list[str], ts: str, aggregates: dict[st
 
     A frame covers the ``days`` up to and including the row.  Series are cut into
     calendar blocks at least as long as the longest frame, so a row's frame
-    touches its own block and the one before: each row is sent to two blocks.
+    touches its own block and the one before: each row is sent to two blocks.  Rows without
+    a time are each other's frame.
     """
     span = max(days for _, days in aggregates.values())
-    block = (block_days or span) if (block_days or span) >= span else span
     second = F.unix_timestamp(ts)
-    home = F.floor(second / (block * 86_400))
-    placed = df.withColumn("_home", home).withColumn(
-        "_block", F.explode(F.array(F.col("_home"), F.col("_home") + 1))
-    )
+    placed = _calendar_blocks(df, ts, max(block_days or span, span))
     w = Window.partitionBy(*keys, "_block").orderBy(second)
     added = {n: agg.over(w.rangeBetween(1 - days * 86_400, 0)) for n, (agg, days) in aggregates.items()}
-    return placed.withColumns(added).filter(F.col("_block") == F.col("_home")).drop("_block", "_home")
+    return placed.withColumns(added).filter(F.col("_block").eqNullSafe(F.col("_home"))).drop("_block", "_home")
+
+
+def _calendar_blocks(df: DataFrame, ts: str, days: int) -> DataFrame:
+    """Rows in the calendar block ``_home`` of their time and in the next one; without a time, once, in a block of their own."""
+    placed = df.withColumn("_home", F.floor(F.unix_timestamp(ts) / (days * 86_400)))
+    blocks = F.when(F.col("_home").isNull(), F.array("_home")).otherwise(F.array("_home", F.col("_home") + 1))
+    return placed.withColumn("_block", F.explode(blocks))
 
 
 def feat_rolling_30_90(prices: DataFrame, *, short_days: int = 30, long_days: int = 90) -> DataFrame:
@@ -106,16 +115,48 @@ def feat_rolling_30_90(prices: DataFrame, *, short_days: int = 30, long_days: in
 def feat_percentile_90d(prices: DataFrame, *, days: int = 90) -> DataFrame:
     """Share of the prices of the last ``days`` days (this hour included) that are not above this hour's.
 
-    The frame of an hourly series holds 24 values per day, so the list the
-    window builds is bounded by the frame, not by the table.
+    A task holds two calendar blocks of a market as columns and counts all its rows at once
+    (``counts_at_most``); no row carries its frame.  Rows without a time are each other's frame; a row
+    without a price, which counts in no frame, has none.
     """
-    seen = time_rolling(
-        prices, keys=["market"], ts="delivery_ts",
-        aggregates={"_seen": (F.collect_list("price_eur_mwh"), days)},
-    )
-    below = F.size(F.filter("_seen", lambda p: p <= F.col("price_eur_mwh")))
-    return seen.select("market", "delivery_ts", "price_eur_mwh",
-                       (below / F.size("_seen")).alias("price_percentile_90d"))
+    span = days * 86_400
+
+    def rank(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("_second", kind="stable", na_position="first")
+        price = batch["price_eur_mwh"].to_numpy(dtype=float, na_value=np.nan)
+        known = ~np.isnan(price)
+        second = np.nan_to_num(batch["_second"].to_numpy(dtype=float)[known], nan=0.0)
+        low, high = np.searchsorted(second, second - span, side="right"), np.searchsorted(second, second, side="right")
+        share = np.full(len(batch), np.nan)
+        if known.any():
+            share[known] = counts_at_most(price[known], low, high) / (high - low)
+        return batch.assign(share=share)[batch["_own"]][["market", "delivery_ts", "price_eur_mwh", "share"]]
+
+    blocks = _calendar_blocks(prices.select("market", "delivery_ts", "price_eur_mwh"), "delivery_ts", days)
+    kinds = [prices.schema[c] for c in ("market", "delivery_ts", "price_eur_mwh")]
+    ranked = blocks.withColumns({
+        "_second": F.unix_timestamp("delivery_ts").cast("double"), "_own": F.col("_block").eqNullSafe(F.col("_home")),
+    }).groupBy("market", "_block").applyInPandas(rank, T.StructType([*kinds, T.StructField("share", T.DoubleType())]))
+    return ranked.select("market", "delivery_ts", "price_eur_mwh", F.nanvl("share", F.lit(None).cast("double")).alias("price_percentile_90d"))
+
+
+def counts_at_most(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each i, how many of ``values[low[i]:high[i]]`` are at most ``values[i]``.
+
+    A wavelet matrix over the ranks: per bit of a rank, all frames are followed at once, with running
+    counts of the zeros, so the work is a number of passes that grows with the logarithm of the length.
+    """
+    rank = np.unique(values, return_inverse=True)[1].reshape(-1)
+    bound, low, high, found = rank + 1, low.copy(), high.copy(), np.zeros(len(values), np.int64)
+    for bit in range(int(bound.max()).bit_length() - 1, -1, -1):
+        one = (rank >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        z_low, z_high = zeros[low], zeros[high]
+        up = (bound >> bit & 1).astype(bool)
+        found += np.where(up, z_high - z_low, 0)
+        low, high = np.where(up, zeros[-1] + low - z_low, z_low), np.where(up, zeros[-1] + high - z_high, z_high)
+        rank = np.concatenate([rank[~one], rank[one]])
+    return found
 
 
 def daily_neg_count(prices: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import silver
+from ..operators import search, silver
 from ..operators.evaluation import question_answer_pairs
 from ..operators.quality import expect
 from ..session import scratch_path
@@ -18,7 +18,7 @@ from ..streaming import feeds
 from . import medallion
 from . import views as D
 from .checks_market import _WINDOWS, TIGHT, TIGHT_SQL
-from .reference_sql import PREPARED, hourly, tag_case, text_list, with_tables
+from .reference_sql import PREPARED, hourly, tag_case, text_list, with_tables, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -362,6 +362,24 @@ def _(spark, sf):
     return snapshots.snapshot_diff(*_old_new(spark, sf), key=_KEY)
 
 
+@add("cdf_vector_refresh", f"""
+SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM (
+  SELECT doc_id, CAST(('0x' || substr(md5(token), 1, 8))::BIGINT % 32 AS INT) AS slot, count(*) AS n
+  FROM (SELECT doc_id, unnest({words('lower(text)')}) AS token FROM documents) GROUP BY ALL)""")
+def _(spark, sf):
+    # Vectors of an older state of the documents, brought up to date by the difference alone.
+    new = D.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" older"))).otherwise(F.col("text"))
+    old = new.filter("doc_id % 7 <> 0").withColumn("text", changed)
+    gone = new.filter("doc_id % 11 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    vectors = lambda rows: search.embed_text(rows, key="doc_id", text="text", dim=32)
+    old = old.unionByName(gone)
+    changes = snapshots.snapshot_diff(old, new, key=["doc_id"])
+    fresh = snapshots.apply_changes(vectors(old), changes, vectors, key=["doc_id"])
+    long = fresh.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).filter("weight > 0")
+    return long.withColumn("weight", F.round("weight", 6))
+
+
 @add("feedback_append", """
 SELECT CAST(conv_id AS VARCHAR) AS session_id, text AS query, CAST(NULL AS VARCHAR) AS response_summary, turn % 2 = 0 AS thumbs_up,
        role AS comment, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM conversations""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import operator
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,99 +37,57 @@ def upsert_union(target: DataFrame, source: DataFrame, *, key: list[str]) -> Dat
 
 
 #: Buckets of a new table.  Each merge reads and writes the buckets that its keys fall into.
-BUCKETS = 64
-_ENTRY = "version bigint, buckets int, bucket int, folder string"
+BUCKETS = 16
+_COLUMN = "_bucket_of_"
 
 
-def _log(path: str) -> str:
-    return f"{path.rstrip('/')}/_log"
+def _bucket(columns: list[str]) -> str | None:
+    """The partition column of a keyed table; its name ends in the number of buckets."""
+    return next((c for c in columns if c.startswith(_COLUMN)), None)
 
 
-def _state(spark: SparkSession, path: str) -> tuple[int, int, dict[int, str]]:
-    """Version, number of buckets, and the folder of each bucket that holds rows (version 0: no table).
-
-    One entry of the log is one merge and bucket; the latest per bucket counts, so
-    at most as many rows as buckets come to the driver.
-    """
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        log = spark.read.schema(_ENTRY).json(_log(path))
+        return spark.read.parquet(path)
     except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
+        if (missing.getCondition() or "").split(".")[0] not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return 0, 0, {}
-    last = log.groupBy("buckets", "bucket").agg(
-        F.max("version").alias("version"), F.max_by("folder", "version").alias("folder")
-    ).collect()
-    if not last:
-        return 0, 0, {}
-    return max(r["version"] for r in last), last[0]["buckets"], {r["bucket"]: r["folder"] for r in last}
-
-
-def bucket_folders(spark: SparkSession, path: str) -> dict[int, str]:
-    """The folder that holds each bucket of the table now."""
-    return _state(spark, path)[2]
+        return None
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    folders = bucket_folders(spark, path)
-    if not folders:
+    table = _table(spark, path)
+    if table is None:
         raise FileNotFoundError(path)
-    return spark.read.parquet(*folders.values())
+    return table.drop(_bucket(table.columns))
 
 
 def upsert(spark: SparkSession, path: str, source: DataFrame, *, key: list[str], buckets: int = BUCKETS) -> None:
-    """Merge ``source`` into the table at ``path``.
-
-    The table is cut into ``buckets`` by a hash of the key when it is made (later merges
-    follow its own number).  A merge reads and writes only the buckets that a source key
-    falls into: a change of a few keys touches a few buckets, and a table that
-    takes small changes wants many.  New buckets are written to new folders and then entered in
-    a small log, in one file; readers follow the log, so they see the old or the
-    new table whole, and a failed write leaves no trace.  One writer at a time.
-    ``vacuum`` removes what no reader is led to any more.
+    """Merge ``source`` into the Parquet table at ``path``, partitioned by a hash of the key.
+
+    A merge reads and overwrites only the partitions that a source key falls into; later merges follow the
+    number of buckets the table was made with.  Spark writes all new partitions aside and
+    moves them in when the job commits; a merge that fails before leaves the table as it was, and one that is run
+    again gives the same table.  One writer at a time.
     """
-    version, known, folders = _state(spark, path)
-    n = known or buckets
+    table = _table(spark, path)
+    name = _bucket(table.columns) if table is not None else f"{_COLUMN}{buckets}"
+    n = int(name.removeprefix(_COLUMN))
     # As text, so that a key hashes alike whatever integer type a batch brings.
     bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(n)).cast("int")
-    touched = sorted(r[0] for r in source.select(bucket.alias("_bucket")).distinct().collect())
-    old = [folders[b] for b in touched if b in folders]
-    if old:
-        merged = upsert_union(spark.read.parquet(*old), source, key=key)
-    elif folders:
-        merged = unique_source(source, key).select(*read_snapshot(spark, path).columns)
-    else:
+    if table is None:
         merged = unique_source(source, key)
-    fresh = f"{path.rstrip('/')}/data-{uuid.uuid4().hex}"
-    if touched:
-        merged.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(fresh)
-    elif not folders:  # an empty table still has its columns
-        merged.write.parquet(f"{fresh}/_bucket=0")
-        touched = [0]
-    entries = [(version + 1, n, b, f"{fresh}/_bucket={b}") for b in touched]
-    if entries:
-        spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("append").json(_log(path))
-
-
-def vacuum(spark: SparkSession, path: str) -> list[str]:
-    """Delete bucket folders that a later merge has replaced or a failed one left; returns them.
-
-    Run it while no merge is under way and no reader still holds an older version.
-    """
-    used = {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] for f in bucket_folders(spark, path).values()}
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = []
-    for status in store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/data-*/_bucket=*")):
-        folder = status.getPath()
-        if f"{folder.getParent().getName()}/{folder.getName()}" not in used:
-            store.delete(folder, True)
-            gone.append(folder.toString())
-    return sorted(gone)
+    else:
+        touched = source.select(bucket.alias(name)).distinct()
+        merged = upsert_union(table.join(touched, name, "left_semi").drop(name), source, key=key)
+    writer = merged.withColumn(name, bucket).repartition(name).write.option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").partitionBy(name).parquet(path)
+    if table is None:  # an empty table still has its columns
+        merged.limit(0).write.mode("append").parquet(f"{path.rstrip('/')}/{name}=0")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, *, key: list[str]) -> DataFrame:
-    """Change rows between two snapshots: ``_change`` is insert, update or delete.
+    """Change rows between two snapshots: ``_change`` is insert, update or delete; a NULL in a key equals a NULL.
 
     Only keys and a 64-bit hash per row meet in the join, plus the new row for
     output; deleted rows carry NULLs outside the key.  The hash covers which
@@ -138,13 +95,24 @@ def snapshot_diff(old: DataFrame, new: DataFrame, *, key: list[str]) -> DataFram
     """
     rest = [c for c in new.columns if c not in key]
     marked = [x for c in rest for x in (F.col(c).isNull(), F.col(c))]
-    a = old.select(*key, F.xxhash64(F.lit(0), *marked).alias("_old"))
+    a = old.select(*[F.col(k).alias(f"_old_{k}") for k in key], F.xxhash64(F.lit(0), *marked).alias("_old"))
     b = new.select(*key, F.xxhash64(F.lit(0), *marked).alias("_new"), *rest)
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in key])
     change = (
         F.when(F.col("_old").isNull(), F.lit("insert"))
         .when(F.col("_new").isNull(), F.lit("delete"))
         .when(F.col("_old") != F.col("_new"), F.lit("update"))
     )
-    return a.join(b, key, "full_outer").withColumn("_change", change).filter(
-        F.col("_change").isNotNull()
-    ).select(*key, "_change", *rest)
+    named = [F.when(F.col("_new").isNull(), F.col(f"_old_{k}")).otherwise(F.col(k)).alias(k) for k in key]
+    return a.join(b, same, "full_outer").withColumn("_change", change).filter(F.col("_change").isNotNull()).select(*named, "_change", *rest)
+
+
+def apply_changes(derived: DataFrame, changes: DataFrame, make, *, key: list[str]) -> DataFrame:
+    """A table derived row by row from another, after the changes of that one (``snapshot_diff``).
+
+    ``make`` derives rows from source rows; only inserted and updated ones go through it.  Rows of
+    changed and deleted keys are taken out, NULL keys included; all others stay as they are.
+    """
+    kept = upsert_anti_join(derived, changes.select(*key), key=key)
+    made = make(changes.filter(F.col("_change") != "delete").drop("_change"))
+    return kept.unionByName(made.select(*derived.columns))

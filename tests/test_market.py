@@ -279,3 +279,55 @@ def test_imbalance_trigger_with_published_ratio(rows):
     got = islands.imbalance_trigger(df.selectExpr("*", "timestamp(t) AS delivery_ts"), period_seconds=3600).collect()
     assert [(r["window_start"].hour, r["window_end"].hour, r["periods"]) for r in got] == [(1, 3, 3)]
     assert "imbalance_trigger_published" in checks_market.QUERIES
+
+
+@pytest.mark.parametrize("frame", ["short", "percentile"])
+def test_rows_without_a_time_stay_in_time_frames(rows, frame):
+    data = [(m, t, p) for m in ("NL", None) for t in ("2024-01-01 00:00:00", "2024-03-01 01:00:00", None) for p in (1.0, 2.0, 2.0, 3.0, None, -1.0, 0.5, 4.0)]
+    df = rows(data, "market string, t string, price_eur_mwh double").selectExpr("market", "timestamp(t) AS delivery_ts", "price_eur_mwh")
+    assert df.count() == 48
+    if frame == "short":
+        got = rolling.feat_rolling_30_90(df).collect()
+        assert len(got) == 48 and all(abs(r.rolling_30d_mean - 11.5 / 7) < 1e-9 for r in got)
+    else:
+        got = rolling.feat_percentile_90d(df).collect()
+        assert len(got) == 48
+        below = {1.0: 3, 2.0: 5, 3.0: 6, -1.0: 1, 0.5: 2, 4.0: 7}
+        for r in got:
+            earlier = 2 if r.delivery_ts is not None and r.delivery_ts.month == 3 else 1  # the frame holds January too
+            want = None if r.price_eur_mwh is None else below[r.price_eur_mwh] * earlier / (7 * earlier)
+            assert r.price_percentile_90d is None if want is None else abs(r.price_percentile_90d - want) < 1e-12
+
+
+def test_a_dense_day_is_not_copied_into_each_block(spark):
+    day = spark.range(86_400).selectExpr("'NL' AS market", "timestamp_seconds(1700000000 + id) AS delivery_ts", "cast(id % 97 AS double) AS v")
+    placed = rolling.with_blocks(day, keys=["market"], ts="delivery_ts", block_rows=4096, halo_rows=167)
+    assert 86_400 < placed.count() < 1.1 * 86_400 and placed.filter("_own").count() == 86_400
+    same = spark.range(20_000).selectExpr("'NL' AS market", "timestamp'2024-01-01' AS delivery_ts", "1.0 AS v")
+    got = rolling.partitioned_rolling(same, keys=["market"], ts="delivery_ts", frames={"n": (F.count("*"), 24)}).groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in got} == {**{i: 1 for i in range(1, 24)}, 24: 20_000 - 23}
+
+
+def test_counts_at_most_equal_plain_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 33, 400):
+        values = rng.integers(-5, 6, n).astype(float)
+        low = np.minimum(rng.integers(0, n, n), np.arange(n))
+        high = np.arange(n) + 1
+        want = [int((values[a:b] <= v).sum()) for v, a, b in zip(values, low, high, strict=True)]
+        assert rolling.counts_at_most(values, low, high).tolist() == want
+
+
+def test_order_statistics_are_exact(rows):
+    from gridledger.operators import eda
+
+    rnd = random.Random(8)
+    data = [rnd.choice([0.0, -0.0, 1.5, rnd.gauss(0, 1), rnd.gauss(0, 1) * 1e300, 1e-300, -1e308, 1e308, 7.0]) for _ in range(999)]
+    df = rows([(v,) for v in data] + [(None,)], "v double")
+    got = eda.order_statistics(df, "v", [0, 1, 400, 500, 501, 997, 998])
+    assert got == {r: sorted(data)[r] for r in got} and len(got) == 7
+    tens = rows([(float(i),) for i in range(10)], "v double")
+    assert eda.exact_quantiles(tens, "v", [0.0, 0.25, 0.5, 1.0]) == [0.0, 2.25, 4.5, 9.0]
+    assert eda.exact_quantiles(tens.limit(0), "v", [0.5]) == [None] and eda.exact_quantiles(rows([(3.0,)] * 5, "v double"), "v", [0.3]) == [3.0]

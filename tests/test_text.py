@@ -369,3 +369,12 @@ def test_hashed_counts_are_unit_vectors(rows):
         want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
     size = sum(x * x for x in want) ** 0.5
     assert got[1] == pytest.approx([x / size for x in want]) and got[2] == got[3] == [0.0] * 16
+
+
+def test_long_lists_are_reranked_in_linear_work(spark):
+    many = spark.range(1).selectExpr("1 AS query_id", "'price floor of power' AS query",
+                                     "transform(sequence(1, 10000), i -> concat('word', i, IF(i % 100 = 0, ' floor', ''), IF(i = 700, ' price', ''))) AS texts")
+    got = rerank.rerank_texts(many, n=3).orderBy("rerank_rank").collect()
+    assert [r["orig_index"] for r in got] == [699, 99, 199]
+    plan = rerank.rerank_texts(many)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(_tf" not in plan
