@@ -204,11 +204,12 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     """The 15 best chunks per question, with the question's text and market.
 
     Without a filter on the category only the hits need one, so they are tagged
-    after the search, from a table: the optimizer would look at the tag expressions anew after each stage of it.
+    after the search.  Both are written: the optimizer would look at the tag expressions anew after each
+    stage of the search and of what follows.
     """
     asked = questions(spark, sf)
     found = search.token_overlap_search(asked, chunk_index(spark, sf), k=V.RETRIEVE_TOP_K)
-    return sections.tag_batch(written(found, "hits")).join(asked, "query_id")
+    return written(sections.tag_batch(written(found, "found")).join(asked, "query_id"), "hits")
 
 
 def clauses(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,8 +223,9 @@ def top_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def market_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Negative-hour statistics and the congestion mark per market."""
-    stats = gold.negative_stats(signals(spark, sf), by=["market"])
-    marks = risk.has_congestion(top_signals(spark, sf))
+    seen = written(signals(spark, sf), "signals")  # two statistics, one scan of the feeds
+    stats = gold.negative_stats(seen, by=["market"])
+    marks = risk.has_congestion(gold.signals_top_per_market(seen))
     return marks.join(stats, "market", "left")
 
 
