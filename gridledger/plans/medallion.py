@@ -90,8 +90,9 @@ def rebuild(spark: SparkSession, out_dir: str, name: str, *, repair: Callable[[C
 
 
 def _replace(rows: DataFrame, path: str) -> None:
-    rows.withColumn("batch", F.lit("whole")).write.mode("overwrite").partitionBy("batch").parquet(path)
-    rows.limit(0).write.mode("append").parquet(f"{path}/batch=whole")  # a table without rows still has its columns
+    """All rows as the first batch; those of streams to come are later ones."""
+    rows.withColumn("batch", F.lit(0)).write.mode("overwrite").partitionBy("batch").parquet(path)
+    rows.limit(0).write.mode("append").parquet(f"{path}/batch=0")  # a table without rows still has its columns
 
 
 # --- contract documents ---------------------------------------------------------------------------
