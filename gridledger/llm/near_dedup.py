@@ -421,5 +421,7 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
     found = _linked(docs, **how).filter(~F.col("kept"))
-    gone = stored(found.select(F.col("id").alias("_gone"), F.col("h").alias("_text")).distinct(), "gone")
-    return docs.join(gone, (F.col(id_col) == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_text")), "left_anti")
+    gone = stored(found.select(F.col("id").alias("gone"), F.col("h").alias("text")).distinct(), "gone")
+    # Whole rows go in one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"))
+    return rows.join(gone, (F.col("_id") == F.col("gone")) & (F.col("_h") == F.col("text")), "left_anti").select("_row.*")
