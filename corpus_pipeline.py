@@ -20,8 +20,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         docs.select(F.struct(F.xxhash64("text").alias("h"), "doc_id").alias("key"), "text"), quality.references(docs), id_col="key"
     )
     bad = stored(judged.filter(~F.col("kept")).select("key.*").distinct(), "rejected")
-    gone = bad.select(F.col("h").alias("_h"), F.col("doc_id").alias("_id"))
-    return docs.join(gone, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = bad.select(F.col("h").alias("bad_h"), F.col("doc_id").alias("bad_id"))
+    # Whole rows go in one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text").alias("_h"), F.col("doc_id").alias("_id"))
+    return rows.join(gone, (F.col("_h") == F.col("bad_h")) & F.col("_id").eqNullSafe(F.col("bad_id")), "left_anti").select("_row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
