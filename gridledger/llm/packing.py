@@ -143,8 +143,8 @@ def _packed(items: DataFrame, level: int, capacity: int) -> DataFrame:
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """``pieces`` (key long, length) with ``sequence_id`` and ``offset``; ``key`` tells pieces apart.
 
-    Level 0: each task best-fits its own pieces.  Bins at least ``nearly_full``, and
-    bins whose room is below the shortest item anywhere, are closed.  The others
+    Level 0: narrow (key, length) rows are dealt by a hash of the key and each task best-fits its own, so
+    that a table sorted by length or source packs like any other.  Bins at least ``nearly_full``, and bins whose room is below the shortest item anywhere, are closed.  The others
     are the items of the next level, where one node merges the rest of FAN_IN
     nodes by best fit again, up to a single node or until a level closes nothing
     more.  What moves between levels is the rest: (bin, fill) rows.
@@ -155,9 +155,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, nearly_full: float = NE
     shortest = known.agg(F.min("length")).first()[0]
     if shortest is None:
         return known.select("key", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    items = known.filter(F.col("length") < capacity).select(
-        F.spark_partition_id().cast("long").alias("node"), F.col("key").alias("item"), "length"
-    )
+    # Two hashes: one deals the rows, the other orders those of a task, whose blocks are then mixed as well.
+    dealt = known.filter(F.col("length") < capacity).repartition("key").sortWithinPartitions(F.xxhash64("key"))
+    items = dealt.select(F.spark_partition_id().cast("long").alias("node"), F.col("key").alias("item"), "length")
     closed = max(1, min(int(nearly_full * capacity), capacity))
     levels, level, before = [], 0, None
     while True:

@@ -98,3 +98,16 @@ def test_levels_and_bins_that_nothing_fills(spark, monkeypatch):
         n = check_packed(got, 100)
         per = {60: len(lengths), 70: 200, 100: 5, 1: 1, 33: 101}[lengths[0]]
         assert n <= per * 1.1 + 1
+
+
+def test_packing_does_not_depend_on_the_order_of_its_input(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 200)
+    rng = random.Random(6)
+    lengths = [rng.randrange(1, 4000) for _ in range(4000)]
+    counts = []
+    for order in (lengths, sorted(lengths), sorted(lengths, reverse=True)):
+        pieces = spark.createDataFrame(list(enumerate(order)), "key long, length long").coalesce(16)
+        counts.append(check_packed(packing.pack(pieces).join(pieces, "key").collect(), 4096))
+    at_once = len(packing.best_fit(np.asarray(lengths), 4096)[2])
+    assert max(counts) <= 1.01 * min(counts) + 1
+    assert max(counts) <= 1.05 * at_once  # blocks of 200 pieces see little of the table
