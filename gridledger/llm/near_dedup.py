@@ -341,7 +341,7 @@ def link(
 ) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``.
 
-    1. Documents of one shingle set are a class, named by a hash of the set.
+    1. Documents whose shingle sets have one 128-bit digest are a class, named by the number of one of its rows.
     2. Classes that share a band hash are a bucket.  Its members are compared by bit
        counts of their packed signatures, and those whose estimate is not more than
        SIGMAS deviations below the threshold are connected.
@@ -371,19 +371,13 @@ def _linked(
 ) -> DataFrame:
     """``link`` with ``id``, ``n`` and the hash ``h`` of the text; ``id`` names a class until the last step."""
     made = signatures(docs, hashes=hashes, banded=banded, rows=rows, bits=bits, words=words, id_col=id_col, text_col=text_col)
-    key = F.when(F.col("n") > 0, F.xxhash64("digest"))
-    # The row number holds once it is written: it picks one row of a class, whatever ids and texts repeat.
-    signed = stored(made.withColumn("class", key).withColumn("row", F.monotonically_increasing_id()), "signed")
+    # The row number holds once it is written: it picks one row of a class, whatever ids and texts repeat, and names the class.
+    signed = stored(made.withColumn("row", F.monotonically_increasing_id()), "signed")
     named = signed.filter("n > 0 AND id IS NOT NULL")
-    second = F.xxhash64(F.lit(7), "digest")
-    grouped = named.groupBy("class").agg(
-        F.min("id").alias("first"), F.min("row").alias("row"), F.min(second).alias("_low"), F.max(second).alias("_high")
-    )
-    one = F.when(F.col("_low") == F.col("_high"), F.col("row")).otherwise(F.raise_error(F.lit("different sets have one hash")))
-    classes = stored(grouped.select("class", "first", one.alias("row")), "classes")
+    classes = stored(named.groupBy("digest").agg(F.min("id").alias("first"), F.min("row").alias("class")), "classes")
     members = stored(
-        named.drop("class").join(classes.select("row", F.col("class").alias("_class")), "row").select(
-            F.col("_class").alias("id"), F.col("id").alias("doc"), "h", "n", "signature", "bands"
+        named.join(classes.select(F.col("class").alias("row")), "row").select(
+            F.col("row").alias("id"), F.col("id").alias("doc"), "h", "n", "signature", "bands"
         ),
         "class-signatures",
     )
@@ -400,16 +394,16 @@ def _linked(
     links = confirmed(sets.join(clusters, "id").join(counted, "cluster"), percent=percent)
     labels = stored(components(links).withColumnRenamed("node", "class"), "labels")
 
-    # From here on by doc_id: a component is led by the class of its smallest id.
-    linked = stored(labels.join(classes.select("class", "first"), "class"), "linked")
-    leads = stored(linked.groupBy("component").agg(F.min(F.struct("first", "class")).alias("lead")), "leads")
+    # From here on by doc_id: a component is led by the class of its smallest id; of several, by the smallest digest.
+    alone = F.struct("first", "digest")
+    linked = stored(labels.join(classes, "class").select("class", "component", alone.alias("own")), "linked")
+    leads = stored(linked.groupBy("component").agg(F.min("own").alias("lead")), "leads")
     led = stored(linked.join(leads, "component").select("class", "lead"), "led")
-    alone = F.struct("first", "class")
-    whole = signed.select("id", "h", "n", "class").join(
-        classes.join(led, "class", "left").select("class", F.coalesce("lead", alone).alias("lead")), "class", "left"
-    )
+    leading = classes.join(led, "class", "left").select("digest", F.coalesce("lead", alone).alias("lead"))
+    mine = F.when(F.col("n") > 0, F.col("digest")).alias("digest")
+    whole = signed.select("id", "h", "n", mine).join(leading, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("lead.first", "id"))
-    stays = (F.col("lead.first") == F.col("id")) & (F.col("lead.class") == F.col("class"))
+    stays = (F.col("lead.first") == F.col("id")) & (F.col("lead.digest") == F.col("digest"))
     kept = F.when(F.col("id").isNull() | F.col("lead").isNull(), True).otherwise(stays)
     return whole.select("id", "h", "n", component.alias("component_id"), kept.alias("kept"))
 
