@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content
+from .common import content, stored
 
 #: Payloads of at least REVISIT bytes are written once; payloads are cut into segments of SEGMENT code points.
 REVISIT, SEGMENT = 1000, 65_536
@@ -47,11 +47,15 @@ def write_archive(
     html = content(payload_col)
     rows = pages.select(
         F.col(id_col).alias("page"), F.coalesce(F.regexp_replace(url_col, r"[\x00-\x20\x7f]", "%20"), F.lit("")).alias("url"),
-        html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("n"),
+        html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("n"), F.xxhash64(html).alias("check"),
     )
-    groups = (
-        rows.filter(F.col("n") >= revisit).groupBy("digest").agg(F.max("page").alias("keeper"), F.count("*").alias("of"))
-        .filter("of > 1 AND keeper IS NOT NULL").drop("of")
+    # Equal payloads agree in length and two hashes.  Groups are written: the join's sides then both come straight
+    # from a shuffle, and the adaptive skew join can split the pages of a payload that most others have.
+    same = ["digest", "n", "check"]
+    groups = stored(
+        rows.filter(F.col("n") >= revisit).groupBy(*same).agg(F.max("page").alias("keeper"), F.count("*").alias("of"))
+        .filter("of > 1 AND keeper IS NOT NULL").drop("of"),
+        "payload-groups",
     )
     again = F.col("keeper").isNotNull() & ~F.col("page").eqNullSafe(F.col("keeper"))
     http = F.concat(
@@ -60,7 +64,7 @@ def write_archive(
     # The HTTP header is never cut: the payload's parts are, and the first follows the header.
     parts = F.regexp_extract_all("html", F.lit(f"(?s).{{1,{segment}}}"), F.lit(0))
     stored_ = F.when(F.col("again") | (F.col("html") == ""), F.array(F.lit(""))).otherwise(parts)
-    cut = rows.join(groups, "digest", "left").withColumn("again", again).withColumn("http", http).withColumn("parts", stored_).select(
+    cut = rows.join(groups, same, "left").withColumn("again", again).withColumn("http", http).withColumn("parts", stored_).select(
         "page", "url", "digest", "keeper", "again", "http", (F.octet_length("http") + F.col("n")).alias("total"),
         F.size("parts").alias("of"), F.posexplode("parts").alias("no", "part"),
     ).withColumn("part", F.when(F.col("no") == 0, F.concat("http", "part")).otherwise(F.col("part")))

@@ -79,6 +79,29 @@ def test_warc_round_trip(spark, segment):
         assert segment > 64 or len(chunks) > 10
 
 
+def test_warc_payload_of_a_third_of_all_pages(spark, monkeypatch):
+    """The join on payloads reads both sides straight from a shuffle (or a small side whole): no aggregate between."""
+    rows = [(i, "u", "hot " * 400 if i % 3 == 0 else f"page {i} " * 150) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    seen, write = [], warc.stored
+    monkeypatch.setattr(warc, "stored", lambda df, name: seen.append(name) or write(df, name))
+    got = warc.round_trip(pages, scratch_path(spark, "warc")).collect()
+    assert seen == ["payload-groups"] and len(got) == 300
+    hot = {r.page_id: r for r in got if r.page_id % 3 == 0}
+    assert hot[297].record_type == "response" and all(r.refers_to == 297 for i, r in hot.items() if i != 297)
+    assert {r.record_type for r in got if r.page_id % 3} == {"response"}
+
+
+def test_warc_payloads_with_one_sha1_are_told_apart(spark, monkeypatch):
+    """With a hash that is the same for all payloads, length and second hash still tell them apart."""
+    monkeypatch.setattr(warc.F, "sha1", lambda c: warc.F.rpad(warc.F.lit("0"), 40, "0"))
+    rows = [(1, "u", "a" * 1200), (2, "u", "b" * 1200), (3, "u", "a" * 1300), (4, "u", "a" * 1200)]
+    path = scratch_path(spark, "warc")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    heads = [r.value for r in spark.read.option("lineSep", "WARC/1.1").text(path).collect()]
+    assert sum("WARC-Type: revisit" in h for h in heads) == 1 and sum("X-Refers-To-Page: 4" in h for h in heads) == 1
+
+
 def test_warc_empty_and_damaged(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(none, scratch_path(spark, "warc")).count() == 0
