@@ -97,6 +97,39 @@ def test_shards(docs):
     assert sum(len(s) > 1 for s in shard.values()) <= 7
 
 
+def test_groups_that_fit_are_not_cut(docs):
+    rng = random.Random(8)
+    rows = [(i, f"{i} " + "é" * rng.randrange(0, 200)) for i in range(3000)]
+    copies = [9000, 700, 300, 260, 80, 20, 3, 2]  # the first is more than a shard
+    rows += [(10_000 * (g + 1) + i, f"group {g} of equal texts") for g, n in enumerate(copies) for i in range(n)]
+    got = sharding.place(docs(rows).repartition(7)).collect()
+    check_shards(got, 8, 0.001 * sum(r.size for r in got) / 8 * 6 + 402)
+    assert len(got) == len(rows)
+    homes = {}
+    for r in got:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    cut = {c for c, s in homes.items() if len(s) > 1}
+    assert cut == {zlib.crc32(b"group 0 of equal texts")}
+
+
+def test_groups_beyond_what_equal_shards_hold(docs):
+    """Nine groups that are each a ninth: eight stay whole, the ninth is cut so that shards come out equal."""
+    rows = [(1000 * g + i, f"group {g}") for g in range(9) for i in range(400)]
+    got = sharding.place(docs(rows)).collect()
+    check_shards(got, 8, 0.001 * 3600 * 8 / 8 * 2 + 8)
+    homes = {}
+    for r in got:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sorted(len(s) for s in homes.values()) == [1] * 8 + [8]
+
+
+def test_shards_of_very_long_texts(docs):
+    rows = [(1, "long " * 200_000), (2, "long " * 200_000), (3, "ä" * 400_000), *[(i, "t" * i) for i in range(4, 300)]]
+    got = {r.doc_id: r for r in sharding.place(docs(rows), 2).collect()}
+    assert len(got) == len(rows) and got[3].size == 800_001 and got[1].text_crc32 == zlib.crc32(b"long " * 200_000)
+    assert {s for s in (got[i].shard for i in got)} == {0, 1}
+
+
 def test_shards_of_a_hot_text_nulls_and_repeats(docs):
     rows = [(i, "same text") for i in range(900)] + [(i, f"t{i}") for i in range(900, 1500)] + [(None, "n"), (None, None), (3, ""), (3, "")]
     got = sharding.place(docs(rows)).collect()
