@@ -60,6 +60,11 @@ CONGESTION_RULES = {
     "positive_mw": "mw_needed > 0",
     "valid_time_window": "end_time > start_time",
 }
+IMBALANCE_RULES = {
+    "non_null_timestamp": "delivery_ts IS NOT NULL",
+    "non_null_market": "market IS NOT NULL",
+    "non_null_price": "imbalance_price IS NOT NULL",
+}
 CHUNK_RULES = {
     "non_null_chunk_text": "chunk_text IS NOT NULL",
     "non_null_contract_id": "contract_id IS NOT NULL",

@@ -86,6 +86,28 @@ def congestion_level(points: DataFrame, events: DataFrame, *, as_of: Column, poi
     )
 
 
+def register_get_gopacs_congestion(spark, view: str) -> None:
+    """Table function ``get_gopacs_congestion(zone, lookback_hours, as_of)`` over a registered view of events.
+
+    Events that began in the hours before ``as_of``, in zones whose name holds ``zone`` (literal, in any case; an
+    empty one holds for all named zones), with the level of their request.
+    """
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION get_gopacs_congestion(
+            zone STRING DEFAULT '', lookback_hours INT DEFAULT 48, as_of TIMESTAMP DEFAULT current_timestamp())
+        RETURNS TABLE (event_id STRING, dso_zone STRING, direction STRING, start_time TIMESTAMP, end_time TIMESTAMP,
+                       mw_needed DOUBLE, active BOOLEAN, risk_level STRING)
+        RETURN SELECT e.event_id, e.dso_zone, e.direction, e.start_time, e.end_time, e.mw_needed,
+                      coalesce(e.end_time >= get_gopacs_congestion.as_of, false),
+                      CASE WHEN e.mw_needed > {V.CONGESTION_HIGH_MW} THEN 'HIGH'
+                           WHEN e.mw_needed > {V.CONGESTION_MEDIUM_MW} THEN 'MEDIUM' ELSE 'LOW' END
+        FROM {view} e
+        WHERE contains(lower(e.dso_zone), lower(get_gopacs_congestion.zone))
+          AND e.start_time >= get_gopacs_congestion.as_of - make_interval(0, 0, 0, 0, get_gopacs_congestion.lookback_hours)
+          AND e.start_time <= get_gopacs_congestion.as_of
+    """)
+
+
 def _hour_span() -> tuple[Column, Column]:
     """First and last hour an event touches; one that ends on the hour does not touch the next."""
     first = F.date_trunc("hour", "start_time")

@@ -180,6 +180,14 @@ def high_re_overlap(top_signals: DataFrame) -> DataFrame:
     )
 
 
+def imbalance_prices(prices: DataFrame, imbalance: DataFrame) -> DataFrame:
+    """Each period that has both, with its day-ahead and its imbalance price; the latest delivery of a period counts."""
+    latest = latest_by_key(imbalance, keys=["market", "delivery_ts"], order=["ingestion_ts"])
+    return prices.select("market", "delivery_ts", "price_eur_mwh").join(
+        latest.select("market", "delivery_ts", "imbalance_price"), ["market", "delivery_ts"]
+    )
+
+
 def register_get_market_signals(spark, view: str) -> None:
     """Table function ``get_market_signals(market, lookback_hours, as_of)`` over a registered signal view."""
     spark.sql(f"""

@@ -59,6 +59,21 @@ def token_intersect(queries: DataFrame, docs: DataFrame, *, query_id: str = "que
     return held.join(asked, "_token").groupBy(query_id, row_key).agg(F.count(F.lit(1)).alias("shared"))
 
 
+def token_intersect_top(queries: DataFrame, docs: DataFrame | TokenIndex, *, k: int = 10, query_id: str = "query_id",
+                        query: str = "query", row_key: str = "contract_id", text: str = "text") -> DataFrame:
+    """The ``k`` rows that share most distinct words with a query, with that number; ties go to the smaller key.
+
+    Exact, over a written inverted index: its blocks that can not hold one of the ``k`` best are left out, so a
+    word that most rows hold makes no pairs.  At most ``k`` rows a query; rows that share nothing are no rows.
+    """
+    if not isinstance(docs, TokenIndex):
+        docs = index_of(docs, key=row_key, text=text, columns=[row_key])
+    best = search_index(queries.select(query_id, query), docs, k=k, query_id=query_id, query=query)
+    asked = queries.select(query_id, F.size(X.token_set(F.col(query))).alias("_n"))
+    shared = F.round(F.col("score") * F.col("_n")).cast("bigint")
+    return best.filter("score > 0").join(asked, query_id).select(query_id, row_key, shared.alias("shared"), "rank")
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame | VectorIndex, *, k: int = V.SEARCH_TOP_K,
                   filters: Column | None = None, probes: int | None = None, query_id: str = "query_id",
                   query_vector: str = "query_vector", row_key: str = "vec_id", vector: str = "embedding",

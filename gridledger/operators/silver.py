@@ -55,6 +55,19 @@ def silver_generation(envelopes: DataFrame) -> DataFrame:
     )
 
 
+def silver_imbalance(envelopes: DataFrame) -> DataFrame:
+    """Typed imbalance prices, one row per market and period delivered."""
+    rows = payload_rows(envelopes, S.IMBALANCE_ROW, ["ingestion_ts"])
+    ts = parse_ts(F.col("row.delivery_ts"))
+    return rows.select(
+        F.col("row.market").alias("market"),
+        ts.alias("delivery_ts"),
+        F.to_date(ts).alias("delivery_date"),
+        F.col("row.imbalance_price").alias("imbalance_price"),
+        F.try_to_timestamp("ingestion_ts").alias("ingestion_ts"),
+    )
+
+
 def congestion_rows(envelopes: DataFrame) -> DataFrame:
     """Typed congestion events, re-deliveries still in."""
     rows = payload_rows(envelopes, S.CONGESTION_ROW, ["ingestion_ts"])

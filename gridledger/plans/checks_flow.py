@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import search, silver
+from ..operators import gold, search, silver
 from ..operators.evaluation import question_answer_pairs
 from ..operators.quality import expect
 from ..session import scratch_path
@@ -17,7 +17,7 @@ from ..sources import files, snapshots
 from ..streaming import feeds
 from . import medallion
 from . import views as D
-from .checks_market import _WINDOWS, TIGHT, TIGHT_SQL
+from .checks_market import _IMBALANCE, _WINDOWS, TIGHT, TIGHT_SQL
 from .reference_sql import PREPARED, hourly, tag_case, text_list, with_tables, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,21 @@ def congestion_envelopes(spark, sf) -> DataFrame:
     }).select(*[f.name for f in S.CONGESTION_ENVELOPE])
 
 
+def imbalance_envelopes(spark, sf) -> DataFrame:
+    """One envelope per market and day with the last event value of each hour, delivered twice."""
+    late = D.hourly(D.events(spark, sf), latest=True)
+    rows = late.select(
+        F.unix_millis("delivery_ts").alias("delivery_ts"), "market", F.col("price_eur_mwh").alias("imbalance_price"), "delivery_date",
+        F.col("market").alias("feed"),
+    )
+    first = rows.withColumn("imbalance_price", F.col("imbalance_price") + 1)  # an earlier delivery, since corrected
+    made = [
+        E.daily_envelopes(df, order_by=["delivery_ts"], keys=["feed"], constants={"source_api": F.lit("imbalance")}, ingestion_ts=at)
+        for df, at in ((first, stamp() - F.expr("INTERVAL 1 DAY")), (rows, stamp()))
+    ]
+    return made[0].unionByName(made[1]).withColumnRenamed("feed", "market").select(*[f.name for f in S.IMBALANCE_ENVELOPE])
+
+
 def _written(envelopes: DataFrame, spark, name: str) -> str:
     path = scratch_path(spark, name)
     envelopes.write.json(path)
@@ -119,6 +134,14 @@ def _(spark, sf):
     return rows.select("row.market", "row.hour", "row.price_eur_mwh")
 
 
+@add("imbalance_feed", f"SELECT * FROM ({_IMBALANCE})")
+def _(spark, sf):
+    # From envelopes in files to conformed rows, the latest delivery next to the day-ahead price.
+    path = _written(imbalance_envelopes(spark, sf), spark, "imbalance")
+    rows = medallion.conformed("imbalance", E.read_envelopes(spark, path, schema=S.IMBALANCE_ENVELOPE, rescue=True))
+    return gold.imbalance_prices(D.prices(spark, sf), rows)
+
+
 @add("sink_daily_envelopes", """
 SELECT market, CAST(delivery_date AS VARCHAR) AS fetch_date, count(*) AS n_rows,
        CAST(min(epoch_ms(delivery_ts)) AS BIGINT) AS first_ms, round(sum(price_eur_mwh), 6) AS price_sum

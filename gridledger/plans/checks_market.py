@@ -190,6 +190,17 @@ def _(spark, sf):
     return spark.sql("SELECT contract_id, delivery_point, congested, active_events, max_mw, risk_level FROM gopacs_congestion")
 
 
+@add("get_gopacs_congestion_events", f"""
+SELECT event_id, dso_zone, direction, start_time, end_time, mw_needed, end_time >= TIMESTAMP '{D.AS_OF}' AS active,
+       CASE WHEN mw_needed > 100 THEN 'HIGH' WHEN mw_needed > 50 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
+FROM congestion WHERE contains(lower(dso_zone), 'liander')
+  AND start_time >= TIMESTAMP '{D.AS_OF}' - INTERVAL 72 HOUR AND start_time <= TIMESTAMP '{D.AS_OF}'""")
+def _(spark, sf):
+    D.congestion(spark, sf).createOrReplaceTempView("congestion_events")
+    C.register_get_gopacs_congestion(spark, "congestion_events")
+    return spark.sql(f"SELECT * FROM get_gopacs_congestion('Liander', 72, TIMESTAMP '{D.AS_OF}')")
+
+
 @add("hour_congestion_overlap", """
 SELECT h.delivery_ts, count(e.event_id) > 0 AS has_gopacs_event,
        round(coalesce(sum(e.mw_needed), 0), 6) AS gopacs_requested_mw

@@ -309,6 +309,22 @@ def _(spark, sf):
     return search.token_intersect(D.questions(spark, sf), docs)
 
 
+@add("token_intersect_top", """
+SELECT query_id, contract_id, shared, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, contract_id) AS INT) AS rank FROM (
+    SELECT query_id, contract_id, len(list_intersect(q, c)) AS shared FROM query_tokens, (
+      SELECT contract_id, list_distinct(""" + words("lower(text)") + """) AS c
+      FROM (SELECT concat('doc-', doc_id) AS contract_id, text FROM documents))
+    WHERE len(list_intersect(q, c)) > 0))
+WHERE rank <= 10""")
+def _(spark, sf):
+    # The documents that share most words with a question, out of all.
+    docs = D.table(spark, sf, "documents").repartition("doc_id").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("contract_id"), "text"
+    )
+    return search.token_intersect_top(D.questions(spark, sf), docs)
+
+
 @add("contract_category_filter", """
 SELECT chunk_id, contract_id, risk_category FROM chunks
 WHERE contract_id IN (SELECT concat('doc-', doc_id) FROM labels WHERE quality = 1)

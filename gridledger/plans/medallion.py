@@ -18,7 +18,7 @@ from .. import fixed_values as V
 from .. import schemas as S
 from ..operators import gold, rolling, sections
 from ..operators.quality import expect
-from ..operators.silver import latest_by_key, silver_congestion, silver_generation, silver_prices
+from ..operators.silver import latest_by_key, silver_congestion, silver_generation, silver_imbalance, silver_prices
 from ..sources.envelopes import RESCUED, read_envelopes
 from ..sources.files import read_documents
 from ..streaming.feeds import DRAIN, append_stream, batch_folders, run_to_end
@@ -27,7 +27,10 @@ FEEDS = {
     "prices": (S.PRICE_ENVELOPE, silver_prices, V.PRICE_RULES),
     "generation": (S.GENERATION_ENVELOPE, silver_generation, V.GENERATION_RULES),
     "congestion": (S.CONGESTION_ENVELOPE, silver_congestion, V.CONGESTION_RULES),
+    "imbalance": (S.IMBALANCE_ENVELOPE, silver_imbalance, V.IMBALANCE_RULES),
 }
+#: The feeds of a run that names none.
+CORE = ("prices", "generation", "congestion")
 Extractor = Callable[[bytes], Iterable[tuple[int, str]]]
 
 
@@ -49,12 +52,13 @@ def _known(spark: SparkSession, path: str) -> DataFrame | None:
 # --- price, generation and congestion feeds -------------------------------------------------------
 
 
-def append_raw(spark: SparkSession, in_dir: str, out_dir: str) -> None:
+def append_raw(spark: SparkSession, in_dir: str, out_dir: str, feeds: Iterable[str] = CORE) -> None:
     """Append the envelopes of files that the raw tables do not hold yet; what is there is never rewritten.
 
     A line that is no envelope keeps its text in ``_rescued``.
     """
-    for name, (schema, _parse, _rules) in FEEDS.items():
+    for name in feeds:
+        schema = FEEDS[name][0]
         raw = read_envelopes(spark, f"{in_dir}/{name}", schema=schema, rescue=True)
         seen = _known(spark, f"{out_dir}/bronze/{name}")
         if seen is not None:
@@ -185,13 +189,15 @@ def derived(prices: DataFrame, generation: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def run(spark: SparkSession, in_dir: str, out_dir: str, *, extractor: Extractor | None = None, **reading) -> None:
+def run(
+    spark: SparkSession, in_dir: str, out_dir: str, *, extractor: Extractor | None = None, feeds: Iterable[str] = CORE, **reading
+) -> None:
     """One batch run over all files: raw tables take what is new, the others are made from them.
 
     With ``extractor`` the folder ``contracts`` is read too; ``reading`` goes to ``read_documents``.
     """
-    append_raw(spark, in_dir, out_dir)
-    for name in FEEDS:
+    append_raw(spark, in_dir, out_dir, feeds)
+    for name in feeds:
         _replace(conformed(name, spark.read.parquet(f"{out_dir}/bronze/{name}")), f"{out_dir}/silver/{name}")
     if extractor is not None:
         files = read_documents(spark, f"{in_dir}/contracts", content=True, **reading)
@@ -200,7 +206,8 @@ def run(spark: SparkSession, in_dir: str, out_dir: str, *, extractor: Extractor
 
 
 def run_streams(
-    spark: SparkSession, in_dir: str, out_dir: str, *, trigger: dict = DRAIN, extractor: Extractor | None = None, **reading
+    spark: SparkSession, in_dir: str, out_dir: str, *, trigger: dict = DRAIN, extractor: Extractor | None = None,
+    feeds: Iterable[str] = CORE, **reading
 ) -> None:
     """Drain the raw folders into the raw and conformed tables, then recompute the derived ones.
 
@@ -210,10 +217,10 @@ def run_streams(
     """
     raw = [
         append_stream(
-            read_envelopes(spark, f"{in_dir}/{name}", schema=schema, stream=True, rescue=True), f"{out_dir}/bronze/{name}",
+            read_envelopes(spark, f"{in_dir}/{name}", schema=FEEDS[name][0], stream=True, rescue=True), f"{out_dir}/bronze/{name}",
             checkpoint=f"{out_dir}/_checkpoints/raw-{name}", trigger=trigger,
         )
-        for name, (schema, _parse, _rules) in FEEDS.items()
+        for name in feeds
     ]
     run_to_end(*raw)
     if extractor is not None:
@@ -223,9 +230,10 @@ def run_streams(
             conformed(name, spark.readStream.schema(spark.read.parquet(f"{out_dir}/bronze/{name}").schema).parquet(f"{out_dir}/bronze/{name}")),
             f"{out_dir}/silver/{name}", checkpoint=f"{out_dir}/_checkpoints/{name}", trigger=trigger,
         )
-        for name in FEEDS if name != "congestion"
+        for name in feeds if name != "congestion"
     ])
-    _replace(conformed("congestion", spark.read.parquet(f"{out_dir}/bronze/congestion")), f"{out_dir}/silver/congestion")
+    if "congestion" in feeds:
+        _replace(conformed("congestion", spark.read.parquet(f"{out_dir}/bronze/congestion")), f"{out_dir}/silver/congestion")
     finish(spark, out_dir)
 
 

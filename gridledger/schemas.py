@@ -51,6 +51,12 @@ CONGESTION_ROW = T.StructType([
     T.StructField("price_eur_mwh", T.DoubleType()),
     T.StructField("status", T.StringType()),
 ])
+IMBALANCE_ENVELOPE = PRICE_ENVELOPE
+IMBALANCE_ROW = T.StructType([
+    T.StructField("delivery_ts", T.StringType()),
+    T.StructField("market", T.StringType()),
+    T.StructField("imbalance_price", T.DoubleType()),
+])
 
 CHUNK = T.StructType([
     T.StructField("chunk_id", T.StringType()),

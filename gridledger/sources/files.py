@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,63 +89,58 @@ def read_eval_items(spark: SparkSession, path: str, *, schema: T.StructType = S.
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-class _FirstTable(HTMLParser):
-    """Cells of the first table of a page."""
+def _first_table(html: Column) -> Column:
+    """What lies between the first table's tags, tables inside it included; empty without a table."""
+    clean = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    # Each part ends where a table does: the first table ends where as many have ended as begun.
+    parts = F.split(F.regexp_extract(clean, r"(?is)<table\b.*", 0), r"(?i)</table\s*>")
+    start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("done"), F.lit("").alias("text"))
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows: list[list[str]] = []
-        self.depth, self.done, self.cell = 0, False, None
+    def step(so_far: Column, part: Column) -> Column:
+        left = so_far["open"] + F.regexp_count(part, F.lit(r"(?i)<table\b")) - 1
+        more = F.struct(left.alias("open"), (left <= 0).alias("done"), F.concat(so_far["text"], part).alias("text"))
+        return F.when(so_far["done"], so_far).otherwise(more)
 
-    def handle_starttag(self, tag, attrs):
-        if self.done:
-            return
-        if tag == "table":
-            self.depth += 1
-        elif self.depth and tag == "tr":
-            self.rows.append([])
-        elif self.depth and tag in ("td", "th") and self.rows:
-            self.cell = []
+    return F.aggregate(parts, start, step)["text"]
 
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
 
-    def handle_endtag(self, tag):
-        if self.done:
-            return
-        if tag in ("td", "th") and self.cell is not None:
-            self.rows[-1].append("".join(self.cell).strip())
-            self.cell = None
-        elif tag == "table" and self.depth:
-            self.depth -= 1
-            self.done = self.depth == 0
+def _plain(markup: Column) -> Column:
+    """Text of a piece of HTML: without tags, with characters for entities, without white space at its ends."""
+    named = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, code)])
+    pieces = F.split(F.regexp_replace(markup, r"(?s)<[^>]*>", ""), "&")
+
+    def decoded(piece: Column) -> Column:
+        entity = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = (
+            F.when(entity.rlike("^#[xX]"), F.conv(F.substr(entity, F.lit(3)), 16, 10).cast("int"))
+            .when(F.startswith(entity, F.lit("#")), F.substr(entity, F.lit(2)).cast("int"))
+            .otherwise(F.try_element_at(named, entity))
+        )
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(letter, F.substr(piece, F.length(entity) + 2))).otherwise(F.concat(F.lit("&"), piece))
+
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.regexp_replace(F.concat(pieces[0], F.array_join(rest, "")), r"^[\s\u00A0]+|[\s\u00A0]+$", "")
 
 
 def parse_html_tables(df: DataFrame, *, key: str, html_col: str, columns: list[str]) -> DataFrame:
     """Rows of the first table of each page, as text columns named in its header row.
 
-    Pages are parsed a batch at a time in the tasks that hold them; a page
-    without a table gives no row.
+    Expressions alone, so pages stay in the JVM and a page's cells are one array of arrays.  A cell ends at
+    its end tag or where the next cell or row begins.  A short row has NULL in the columns it lacks, and so has a column
+    that the header does not name; a page without a table, or NULL, gives no row.
     """
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for page, html in zip(batch[key], batch[html_col], strict=True):
-                parser = _FirstTable()
-                parser.feed(html or "")
-                if not parser.rows:
-                    continue
-                header, *body = parser.rows
-                at = {name: i for i, name in enumerate(header)}
-                for n, cells in enumerate(body):
-                    out.append([page, n, *[
-                        cells[at[c]] if c in at and at[c] < len(cells) else None for c in columns
-                    ]])
-            yield pd.DataFrame(out, columns=[key, "row_no", *columns])
-
-    schema = T.StructType(
-        [T.StructField(key, df.schema[key].dataType), T.StructField("row_no", T.IntegerType())]
-        + [T.StructField(c, T.StringType()) for c in columns]
+    rows = F.split(_first_table(F.col(html_col)), r"(?i)<tr\b[^>]*>")
+    cells = F.transform(
+        F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))),
+        lambda row: F.transform(
+            F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</?t[dhr]\b|\z)"), F.lit(1)), _plain
+        ),
+    )
+    read = df.select(key, cells.alias("_cells")).filter(F.size("_cells") > 1)
+    body = read.select(
+        key, F.col("_cells")[0].alias("_header"), F.posexplode(F.slice("_cells", 2, F.size("_cells") - 1)).alias("row_no", "_row")
     )
-    return df.select(key, html_col).mapInPandas(parse, schema)
+    at = lambda c: F.array_position("_header", F.lit(c)).cast("int")
+    return body.select(key, "row_no", *[F.when(at(c) > 0, F.get("_row", at(c) - 1)).alias(c) for c in columns])

@@ -147,6 +147,24 @@ def test_html_table_stops_at_the_first(rows):
     assert [tuple(r) for r in got] == [(1, 0, "A & B", "5"), (1, 1, "C", None)]
 
 
+def test_html_table_of_untidy_pages(rows):
+    pages = [
+        (1, "<TABLE class='a'><thead><TR><TH> Zone</TH><th>MW</th></tr></thead><!-- <tr><td>no</td></tr> -->"
+            "<tr><td>caf&eacute;&nbsp;<b>x</b> &#8364;&#x1F600; &unknown; &#xD800; a&b<td>5 &lt; 6</tr><tr></tr></TABLE>"),
+        (2, "<table><tr><th>Zone<th>MW<tr><td><table><tr><td>in</td></tr></table></td><td>7</td></tr><tr><td>last</td></tr></table><tr><td>out"),
+        (3, "<table><tr><th>MW</th></tr></table>"), (4, "<table></table>"), (5, "<table><tr><td>Other</td></tr><tr><td>1</td></tr>"), (6, ""),
+        (7, "<p>first</p><table><tr><th>Zone</th></tr>" + "".join(f"<tr><td>z{i}</td></tr>" for i in range(5000)) + "</table>"),
+    ]
+    got = files.parse_html_tables(rows(pages, "page_id int, html string"), key="page_id", html_col="html", columns=["Zone", "MW"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.page_id, []).append((r.row_no, r.Zone, r.MW))
+    assert by.pop(7) == [(i, f"z{i}", None) for i in range(5000)]
+    assert by.pop(1) == [(0, "café\xa0x €\U0001F600 &unknown; &#xD800; a&b", "5 < 6"), (1, None, None)]
+    assert by.pop(5) == [(0, None, None)]
+    assert [r[1] for r in by[2]] == ["", "in", "last"] and set(by) == {2}
+
+
 def test_normalised_rows_are_repeatable(rows):
     raw = rows([("Z", "up", "2026-03-23 01:00:00", "later", "x", "7.5")],
                "Zone string, Direction string, Start string, End string, MW string, `Price (€/MWh)` string")

@@ -10,6 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gridledger import fixed_values as V
+from gridledger.operators import gold
 from gridledger.operators.quality import expect
 from gridledger.plans import medallion
 from gridledger.session import scratch_path
@@ -52,6 +53,21 @@ def prices(spark, lake):
     return sorted((r.hour, r.price_eur_mwh) for r in medallion.read_table(spark, f"{lake}/silver/prices").collect())
 
 
+@pytest.mark.parametrize("how", sorted(RUNS))
+def test_imbalance_prices_are_a_feed(spark, inbox, how):
+    row = '[{"delivery_ts": "2026-03-23T01:00:00Z", "market": "NL", "imbalance_price": %s}, {"market": "NL", "imbalance_price": 1.0}]'
+    made = {"source_api": "a", "market": "NL", "fetch_date": "2026-03-23"}
+    lines = [json.dumps(made | {"ingestion_ts": f"2026-04-0{day}T00:00:00Z", "raw_payload": row % price}) for day, price in ((2, 9.5), (1, 8.5))]
+    drop(f"{inbox}/imbalance", "a.json", [*lines, "# broken"])
+    lake = scratch_path(spark, "lake")
+    RUNS[how](spark, inbox, lake, feeds=(*medallion.CORE, "imbalance"))
+    assert spark.read.parquet(f"{lake}/bronze/imbalance").filter("_rescued IS NOT NULL").count() == 1
+    kept = medallion.read_table(spark, f"{lake}/silver/imbalance")
+    assert sorted(r.imbalance_price for r in kept.collect()) == [8.5, 9.5]
+    both = gold.imbalance_prices(medallion.read_table(spark, f"{lake}/silver/prices"), kept).collect()
+    assert [(r.price_eur_mwh, r.imbalance_price) for r in both] == [(5.0, 9.5)]
+
+
 @pytest.mark.parametrize("how", sorted(RUNS))
 def test_raw_rows_are_kept_and_replayed(spark, inbox, how):
     lake = scratch_path(spark, "lake")
