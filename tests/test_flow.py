@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridledger.operators import islands, silver
-from gridledger.plans import medallion
+from gridledger.plans import checks_flow, medallion
 from gridledger.session import scratch_path
 from gridledger.sources import envelopes, files, snapshots
 from gridledger.streaming import feeds
@@ -249,3 +249,11 @@ def test_changes_bring_derived_vectors_up_to_date(rows):
     made = []
     snapshots.apply_changes(derive(old), changes, lambda d: made.append(d) or derive(d), key=["k"])
     assert made[0].count() == 4  # what did not change is not derived again
+
+
+@pytest.mark.parametrize("name", ["files_sorted", "src_document_stream"])
+def test_every_page_is_a_file(spark, rows, name):
+    folder = scratch_path(spark, "pages")
+    rows([(i, None if i == 3 else "x" * i) for i in range(50)], "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
+    got = sorted((r.file, r.file_size_bytes) for r in checks_flow.QUERIES[name](spark, folder).collect())
+    assert got == [(i, 1 if i == 3 else i + 1) for i in range(50)]
