@@ -118,7 +118,7 @@ def write_document_batch(files: DataFrame, batch: int | str, *, out_dir: str, ex
     spark, own = files.sparkSession, f"batch={batch}"
     meta = files.drop("content").withColumn("attempt", F.lit(attempt))
     meta.write.mode("overwrite").parquet(f"{out_dir}/bronze/documents/{own}")
-    latest = latest_by_key(spark.read.parquet(f"{out_dir}/bronze/documents/{own}"), keys=["contract_id"], order=["last_modified", "path"])
+    latest = latest_by_key(spark.read.schema(meta.schema).parquet(f"{out_dir}/bronze/documents/{own}"), keys=["contract_id"], order=["last_modified", "path"])
     chosen = files.join(latest.select("path", "last_modified"), ["path", "last_modified"], "left_semi")
     decoded = sections.extract_blocks(chosen, extractor=extractor)
     decoded.write.mode("overwrite").parquet(f"{out_dir}/silver/contract_blocks/{own}")
