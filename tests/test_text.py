@@ -419,3 +419,14 @@ def test_best_words_cut_tables(monkeypatch):
         for q, n, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             got.setdefault(q, set()).add((n, key))
     assert got == {"p": {(2, "4"), (1, "1")}, "q": {(1, "1"), (1, "4")}, "r": {(0, "1"), (0, "2")}}
+
+
+def test_tags_replace_the_long_s_without_a_look_at_each_character(spark, rows):
+    df = rows([("A \u017fecurity DEPO\u017fIT, a performance bond and a default",), ("securityx depositx",), (None,)], "t string")
+    X.register_tag_text(spark)
+    df.createOrReplaceTempView("long_s")
+    tagged = df.select(X.tag_chunk(F.col("t")).alias("c"))
+    by_sql = spark.sql("SELECT tag_text(t) AS c FROM long_s")
+    for frame in (tagged, by_sql):
+        assert [r.c for r in frame.collect()] == ["counterparty_risk", None, None]
+        assert "translate(" not in frame._jdf.queryExecution().toString()
