@@ -207,10 +207,10 @@ PAGES_PER_FILE = 40
 
 
 def _document_folder(spark, sf, *, pages: int = 1) -> str:
-    """Pages as text files, ``pages`` to a file, a folder each, because a text writer names its files itself."""
+    """Pages as text files, ``pages`` to a file, a folder each, whose name has the number."""
     path = scratch_path(spark, "documents")
     bound = D.table(spark, sf, "pages").select(F.expr(f"page_id div {pages}").alias("file"), "html")
-    bound.repartition("file").write.partitionBy("file").text(path)
+    files.write_texts(bound, path, key="file", text="html")
     return path
 
 
@@ -491,9 +491,7 @@ def _contract_folder(spark, sf) -> str:
     inbox = scratch_path(spark, "contract-inbox")
     number = F.substring("contract_id", 5, 20).cast("bigint")
     lines = D.blocks(spark, sf).withColumn("number", number).withColumn("contract", F.concat(F.lit("bundle-"), F.expr(f"number div {DOCUMENTS_PER_CONTRACT}")))
-    lines.repartition("contract").sortWithinPartitions("contract", "number", "block_no").select("contract", "text").write.partitionBy(
-        "contract"
-    ).text(f"{inbox}/contracts")
+    files.write_texts(lines, f"{inbox}/contracts", key="contract", text="text", order=["number", "block_no"])
     return inbox
 
 

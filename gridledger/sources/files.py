@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+import re
+from collections.abc import Iterable, Sequence
 from html.entities import name2codepoint
+from urllib.parse import unquote, urlsplit
 
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +19,13 @@ from pyspark.sql import types as T
 from .. import schemas as S
 
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+#: Tasks that read the metadata of files, however many files there are.  A task otherwise gets a few
+#: files, whatever they hold, because opening a file counts as reading megabytes.
+METADATA_TASKS = 256
+#: Folders that the folders of written texts are dealt to: each is listed by a task of its own.
+TEXT_FOLDERS = 256
+#: The folder of texts without a key, as Spark's writers name it.
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
 
 
 def read_documents(spark: SparkSession, path: str, *, stream: bool = False, glob: str = "*.pdf",
@@ -20,8 +34,8 @@ def read_documents(spark: SparkSession, path: str, *, stream: bool = False, glob
     """Document files as (path, last_modified, file_size_bytes, contract_id, ingestion_ts).
 
     The contract id is the file's stem, or the first group of ``id_pattern`` in its path.
-    File contents are read only with ``content``.  ``keep`` restricts to the named
-    contract ids; a long list comes as a frame with a contract_id column.
+    File contents are read only with ``content``; without it many files share a task.  ``keep``
+    restricts to the named contract ids; a long list comes as a frame with a contract_id column.
     """
     reader = (spark.readStream.schema(_BINARY) if stream else spark.read).format("binaryFile")
     if stream and max_files:
@@ -36,11 +50,58 @@ def read_documents(spark: SparkSession, path: str, *, stream: bool = False, glob
         F.current_timestamp().alias("ingestion_ts"),
         *(["content"] if content else []),
     )
+    if not content:
+        out = out.coalesce(METADATA_TASKS)
     if isinstance(keep, DataFrame):
         return out.join(keep.select("contract_id"), "contract_id", "left_semi")
     return out.filter(F.col("contract_id").isin(keep)) if keep else out
 
 
+def _shared_disk(spark: SparkSession, path: str) -> str | None:
+    """The path without its scheme if it is on a disk that all machines mount; None for another store."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    found = urlsplit(path)
+    local = (found.scheme or urlsplit(default).scheme) == "file"
+    return unquote(found.path) if found.scheme and local else path if local else None
+
+
+def _write_lines(rows: Iterable, *, path: str, key: str) -> None:
+    """Rows of (folder, key, text), sorted by key, as one file a key.  Another attempt of the task replaces it by the same."""
+    mark = TaskContext.get().taskAttemptId()
+    for (folder, name), lines in itertools.groupby(rows, key=lambda r: (r[0], r[1])):
+        value = re.sub(r"""["#%'*/:=?\\{\[\]^\x01-\x1f\x7f]""", lambda c: f"%{ord(c[0]):02X}", name)  # as Spark's writers do
+        at = f"{path}/folder={folder}/{key}={value}"
+        os.makedirs(at, exist_ok=True)
+        with open(f"{at}/.{mark}", "wb") as file:
+            for line in lines:
+                file.write(line[2] or b"")
+                file.write(b"\n")
+        os.replace(file.name, f"{at}/text.txt")
+
+
+def write_texts(rows: DataFrame, path: str, *, key: str, text: str, order: Sequence[str] = ()) -> None:
+    """One text file a key, in a folder ``KEY=value`` of its own, with the key's texts as lines in the given order.
+
+    The folders of the keys lie in ``TEXT_FOLDERS`` folders, so that a reader lists them in that many tasks and not in one
+    a file.  On a disk the tasks write the files themselves: Hadoop's local file system starts several
+    processes (chmod) for each file and folder.  In other stores Spark's writer writes them.
+    """
+    spark, by = rows.sparkSession, [f"_order{i}" for i in range(len(order))]
+    name = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit(NO_KEY))
+    named = rows.select(
+        F.pmod(F.xxhash64(name), F.lit(TEXT_FOLDERS)).alias("folder"), name.alias(key), F.col(text).alias("value"),
+        *[F.col(c).alias(o) for c, o in zip(order, by, strict=True)],
+    )
+    dealt = named.repartition(key).sortWithinPartitions("folder", key, *by).select("folder", key, "value")
+    disk = _shared_disk(spark, path)
+    if disk is None:
+        dealt.write.partitionBy("folder", key).text(path)
+    else:
+        os.makedirs(disk)
+        lines = dealt.withColumn("value", F.col("value").cast("binary"))
+        lines.foreachPartition(functools.partial(_write_lines, path=disk, key=key))
+
+
 def files_sorted(documents: DataFrame) -> DataFrame:
     return documents.orderBy("path")
 

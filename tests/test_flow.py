@@ -1,6 +1,8 @@
 """Envelopes, keyed tables, the whole pipeline, and batch against stream."""
 
 import datetime as dt
+import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,3 +259,39 @@ def test_every_page_is_a_file(spark, rows, name):
     rows([(i, None if i == 3 else "x" * i) for i in range(50)], "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
     got = sorted((r.file, r.file_size_bytes) for r in checks_flow.QUERIES[name](spark, folder).collect())
     assert got == [(i, 1 if i == 3 else i + 1) for i in range(50)]
+
+
+TEXTS = [("a", 2, "two"), (None, 0, "no key"), ("b c", 0, None), ("a", 1, "eins\u00e9"), ("", 1, "empty key"), ("a", 3, None), ("x=y%é", 0, "z")]
+
+
+@pytest.mark.parametrize("where", ["disk", "store"])
+def test_texts_are_written_as_a_file_a_key(spark, rows, monkeypatch, where):
+    if where == "store":  # Spark's writer, as for a path that is on no disk
+        monkeypatch.setattr(files, "_shared_disk", lambda *_: None)
+    path = scratch_path(spark, "texts")
+    files.write_texts(rows(TEXTS, "k string, n int, t string"), path, key="k", text="t", order=["n"])
+    found = files.read_documents(spark, path, glob="*.txt", id_pattern=r"k=([^/]+)/", content=True).collect()
+    assert {r.contract_id: bytes(r.content).decode() for r in found} == {
+        "a": "eins\u00e9\ntwo\n\n", files.NO_KEY: "no key\nempty key\n", "b c": "\n", "x%3Dy%25é": "z\n"}
+    assert len(found) == 4 and all("/folder=" in r.path for r in found)
+
+
+def test_texts_on_a_disk_are_written_by_the_tasks(spark, rows):
+    # A file a key and nothing beside it: Hadoop's local file system adds a checksum file and starts processes for each.
+    path = scratch_path(spark, "texts")
+    files.write_texts(rows([(i, "x") for i in range(600)], "k long, t string"), path, key="k", text="t")
+    made = [f for f in glob.glob(f"{path}/**", recursive=True, include_hidden=True) if os.path.isfile(f)]
+    assert sorted(os.path.basename(f) for f in made) == ["text.txt"] * 600
+    assert len(os.listdir(path)) <= files.TEXT_FOLDERS
+
+
+def test_many_files_share_the_tasks_that_read_their_metadata(spark, rows):
+    path, size = scratch_path(spark, "texts"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    files.write_texts(rows([(i, "x") for i in range(600)], "k long, t string"), path, key="k", text="t")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file a task
+    try:
+        found = files.read_documents(spark, path, glob="*.txt")
+        assert found.rdd.getNumPartitions() <= files.METADATA_TASKS and found.count() == 600
+        assert files.read_documents(spark, path, glob="*.txt", content=True).rdd.getNumPartitions() == 600
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
