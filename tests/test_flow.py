@@ -295,3 +295,18 @@ def test_many_files_share_the_tasks_that_read_their_metadata(spark, rows):
         assert files.read_documents(spark, path, glob="*.txt", content=True).rdd.getNumPartitions() == 600
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_a_stream_of_files_writes_no_file_a_few_files(spark, rows):
+    folder, out, state = (scratch_path(spark, n) for n in ("texts", "out", "state"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    files.write_texts(rows([(i, "x" * i) for i in range(600)], "file long, html string"), folder, key="file", text="html")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = files.read_documents(spark, folder, stream=True, glob="*.txt", id_pattern=r"file=([^/]+)/")
+        feeds.run_to_end(feeds.append_stream(found, out, checkpoint=state))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(glob.glob(f"{out}/*.parquet")) <= files.METADATA_TASKS
+    got = spark.read.parquet(out).selectExpr("cast(contract_id as int) AS file", "file_size_bytes").collect()
+    assert sorted(map(tuple, got)) == [(i, i + 1) for i in range(600)]
