@@ -20,7 +20,7 @@ from ..operators import gold, rolling, sections
 from ..operators.quality import expect
 from ..operators.silver import latest_by_key, silver_congestion, silver_generation, silver_imbalance, silver_prices
 from ..sources.envelopes import RESCUED, read_envelopes
-from ..sources.files import read_documents
+from ..sources.files import METADATA_TASKS, read_documents
 from ..streaming.feeds import DRAIN, append_stream, batch_folders, run_to_end
 
 FEEDS = {
@@ -32,6 +32,8 @@ FEEDS = {
 #: The feeds of a run that names none.
 CORE = ("prices", "generation", "congestion")
 Extractor = Callable[[bytes], Iterable[tuple[int, str]]]
+#: Files whose metadata one task writes, where a batch has a bound.
+FILES_PER_TASK = 1000
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -108,15 +110,18 @@ def plain_text(content: bytes) -> list[tuple[int, str]]:
     return [(number, line) for number, page in enumerate(pages, 1) for line in page.split("\n") if line]
 
 
-def write_document_batch(files: DataFrame, batch: int | str, *, out_dir: str, extractor: Extractor, attempt: int = 0) -> None:
+def write_document_batch(files: DataFrame, batch: int | str, *, out_dir: str, extractor: Extractor, attempt: int = 0,
+                         chunked: Callable[[DataFrame], DataFrame] | None = None, most: int | None = None) -> None:
     """One batch of document files to raw metadata, decoded blocks, tagged chunks and rule counts.
 
     Each goes to the batch's own folder, so that a batch written twice leaves the same.  A
     file that can not be decoded keeps a row with the error and NULL blocks.  Of files with one contract id the
-    latest of the batch is decoded.
+    latest of the batch is decoded.  ``chunked`` makes the chunks; a stream builds it once for all its batches.
+    ``most`` is the number of files that a batch has at most, if it has a bound.
     """
     spark, own = files.sparkSession, f"batch={batch}"
-    meta = files.drop("content").withColumn("attempt", F.lit(attempt))
+    tasks = METADATA_TASKS if most is None else min(METADATA_TASKS, -(-most // FILES_PER_TASK))
+    meta = files.drop("content").withColumn("attempt", F.lit(attempt)).coalesce(tasks)
     meta.write.mode("overwrite").parquet(f"{out_dir}/bronze/documents/{own}")
     latest = latest_by_key(spark.read.schema(meta.schema).parquet(f"{out_dir}/bronze/documents/{own}"), keys=["contract_id"], order=["last_modified", "path"])
     chosen = files.join(latest.select("path", "last_modified"), ["path", "last_modified"], "left_semi")
@@ -124,10 +129,12 @@ def write_document_batch(files: DataFrame, batch: int | str, *, out_dir: str, ex
     decoded.write.mode("overwrite").parquet(f"{out_dir}/silver/contract_blocks/{own}")
     blocks = spark.read.schema(decoded.schema).parquet(f"{out_dir}/silver/contract_blocks/{own}")
     seen = Observation()
-    chunks = sections.chunk_documents(blocks.filter(F.col("error").isNull()))
+    chunks = (chunked or sections.chunker())(blocks.filter(F.col("error").isNull()))
     expect(chunks, V.CHUNK_RULES, action="warn", observation=seen).write.mode("overwrite").parquet(f"{out_dir}/silver/contract_chunks/{own}")
-    counts = [("contract_chunks", rule, int(n)) for rule, n in seen.get.items()]
-    spark.createDataFrame(counts, "table string, rule string, failed long").coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/metrics/{own}")
+    counts = [F.struct(F.lit(rule).alias("rule"), F.lit(int(n)).cast("long").alias("failed")) for rule, n in seen.get.items()]
+    # Literals in one task: rows from a list would go through Python workers, slice by slice.
+    metrics = spark.range(0, 1, 1, 1).select(F.lit("contract_chunks").alias("table"), F.inline(F.array(*counts)))
+    metrics.write.mode("overwrite").parquet(f"{out_dir}/metrics/{own}")
 
 
 def drain_documents(spark: SparkSession, in_dir: str, out_dir: str, *, extractor: Extractor, trigger: dict = DRAIN, **reading) -> None:
@@ -136,7 +143,9 @@ def drain_documents(spark: SparkSession, in_dir: str, out_dir: str, *, extractor
     A path is read once: a new version of a contract comes under a new path, with the same file name.
     """
     files = read_documents(spark, f"{in_dir}/contracts", stream=True, content=True, **reading)
-    write = functools.partial(write_document_batch, out_dir=out_dir, extractor=extractor)
+    write = functools.partial(
+        write_document_batch, out_dir=out_dir, extractor=extractor, chunked=sections.chunker(), most=reading.get("max_files")
+    )
     run_to_end(files.writeStream.foreachBatch(write).option("checkpointLocation", f"{out_dir}/_checkpoints/documents").trigger(**trigger).start())
 
 

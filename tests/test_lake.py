@@ -10,7 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gridledger import fixed_values as V
-from gridledger.operators import gold
+from gridledger.operators import gold, sections
 from gridledger.operators.quality import expect
 from gridledger.plans import medallion
 from gridledger.session import scratch_path
@@ -139,6 +139,28 @@ def test_a_changed_file_replaces_its_chunks_and_a_replayed_batch_changes_nothing
     assert spark.read.parquet(f"{lake}/silver/contract_chunks").count() == 3  # the old version stays in its batch
 
 
+def test_expressions_are_built_once_a_stream_not_once_a_batch(spark, inbox, monkeypatch):
+    built = []
+    for name in ("tag_chunk", "detect_clause"):
+        make = getattr(sections.X, name)
+        monkeypatch.setattr(sections.X, name, lambda *a, n=name, f=make: built.append(n) or f(*a))
+    drop(f"{inbox}/contracts", "three.txt", ["ARTICLE 3 — Fee", "Collateral or a letter of credit is due."])
+    lake = scratch_path(spark, "lake")
+    medallion.drain_documents(spark, inbox, lake, max_files=1, **TEXT)
+    assert len(glob.glob(f"{lake}/silver/contract_chunks/batch=*")) == 3
+    assert [c for c, *_ in chunks(spark, lake)] == ["one", "three", "two"]
+    assert sorted(built) == ["detect_clause", "tag_chunk"]
+
+
+def test_metadata_of_a_bounded_batch_are_one_file(spark, inbox):
+    for i in range(12):
+        drop(f"{inbox}/contracts", f"c{i}.txt", ["ARTICLE 3 — Fee", "Collateral or a letter of credit is due."])
+    lake = scratch_path(spark, "lake")
+    medallion.drain_documents(spark, inbox, lake, max_files=40, **TEXT)
+    assert len(glob.glob(f"{lake}/bronze/documents/batch=0/*.parquet")) == 1
+    assert spark.read.parquet(f"{lake}/bronze/documents").count() == 14
+
+
 def test_plain_text_pages():
     assert medallion.plain_text("a\n\nb\fc".encode()) == [(1, "a"), (1, "b"), (2, "c")]
 
